@@ -6,15 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
+from .decontaminate import op2_decontaminate
+from .language_id import op1_language_id
+from .media import op5_media
+from .near_dup import op10_near_dedup
+from .quality import op9_quality
 from .substring_dedup import op8_substring_dedup
 from .suffix_array_dedup import op6_suffix_array_dedup
+from .token_store import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
+        op2_decontaminate,
+        op3_token_store,
+        op5_media,
         op6_suffix_array_dedup,
         op8_substring_dedup,
+        op9_quality,
+        op10_near_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
