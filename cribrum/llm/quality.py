@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from .repeats import text_bytes
 from .tables import documents
 
-EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 4, 24
+EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 4, 32
+#: A byte repeats if it ends GRAM bytes that also end at one of the LAGS bytes before.
+GRAM, LAGS = 4, range(3, 25)
 #: Chunks overlap by half and cover the whole document.
 CHUNK = 1024
 #: Training reads at most about this many labelled documents of each class.
 PER_CLASS = 1200
-EPOCHS, BATCH, RATE = 6, 24, 4e-3
+STEPS, BATCH, RATE = 900, 24, 4e-3
 CUT = 0.3
 
 
@@ -31,12 +33,25 @@ def chunks(raw: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::half]
 
 
+def repeats(rows: np.ndarray) -> np.ndarray:
+    """The second input channel: 1 where a byte repeats what stands shortly before it in its chunk."""
+    flag = np.zeros(rows.shape, bool)
+    for lag in LAGS:
+        same = (rows[:, lag:] == rows[:, :-lag]) & (rows[:, lag:] != 0)
+        run = same[:, GRAM - 1 :].copy()
+        for i in range(1, GRAM):
+            run &= same[:, GRAM - 1 - i : -i]
+        flag[:, lag + GRAM - 1 :] |= run
+    return flag.astype(np.float32)
+
+
 @dataclass
 class ByteNet:
-    """Embedding, one convolution, max pooling per chunk, mean over chunks, logistic output."""
+    """Embedding and repeat channel, one convolution, max pooling per chunk, mean over chunks, logistic output."""
 
     embed: np.ndarray
     filters: np.ndarray
+    again: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     shift: np.ndarray
@@ -47,18 +62,19 @@ class ByteNet:
         embed = rng.normal(0, 0.5, (256, EMBED)).astype(np.float32)
         embed[0] = 0
         filters = rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32)
-        return ByteNet(embed, filters, np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), np.zeros(1, np.float32))
+        again = rng.normal(0, WIDTH**-0.5, (WIDTH, FILTERS)).astype(np.float32)
+        return ByteNet(embed, filters, again, np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), np.zeros(1, np.float32))
 
     def patches(self, rows: np.ndarray) -> np.ndarray:
         """Bytes under each filter position: (chunks, positions, WIDTH)."""
         return np.lib.stride_tricks.sliding_window_view(rows, WIDTH, axis=1)[:, ::STRIDE]
 
-    def pooled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Max-pooled activations of each chunk, where they were, and the patches."""
-        patches = self.patches(rows)
-        values = self.embed[patches].reshape(patches.shape[0], patches.shape[1], WIDTH * EMBED) @ self.filters
+    def pooled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Max-pooled activations of each chunk, where they were, and the patches of both channels."""
+        patches, flags = self.patches(rows), np.ascontiguousarray(self.patches(repeats(rows)))
+        values = self.embed[patches].reshape(patches.shape[0], patches.shape[1], WIDTH * EMBED) @ self.filters + flags @ self.again
         where = values.argmax(axis=1)
-        return np.maximum(np.take_along_axis(values, where[:, None], 1)[:, 0] + self.bias, 0), where, patches
+        return np.maximum(np.take_along_axis(values, where[:, None], 1)[:, 0] + self.bias, 0), where, patches, flags
 
     def scores(self, raws: list[np.ndarray]) -> np.ndarray:
         """One probability a document; chunks go through in bounded blocks."""
@@ -88,7 +104,7 @@ class ByteNet:
         views = [chunks(r) for r in raws]
         counts = np.array([len(v) for v in views])
         owner = np.repeat(np.arange(len(raws)), counts)
-        pooled, where, patches = self.pooled(np.concatenate(views))
+        pooled, where, patches, flags = self.pooled(np.concatenate(views))
         mean = np.zeros((len(raws), FILTERS), np.float32)
         np.add.at(mean, owner, pooled)
         mean /= counts[:, None]
@@ -96,32 +112,36 @@ class ByteNet:
         slope = ((p - target) * weight / weight.sum()).astype(np.float32)
         back = (slope[owner] / counts[owner])[:, None] * self.out * (pooled > 0)
         row = np.arange(len(owner))
-        embed, filters = np.zeros_like(self.embed), np.zeros_like(self.filters)
+        embed, filters, again = np.zeros_like(self.embed), np.zeros_like(self.filters), np.zeros_like(self.again)
         for f in range(FILTERS):
             under = patches[row, where[:, f]]
             filters[:, f] = back[:, f] @ self.embed[under].reshape(len(owner), -1)
+            again[:, f] = back[:, f] @ flags[row, where[:, f]]
             np.add.at(embed, under, back[:, f, None, None] * self.filters[:, f].reshape(WIDTH, EMBED))
         embed[0] = 0
-        return [embed, filters, back.sum(axis=0), slope @ mean, np.array([slope.sum()], np.float32)]
+        return [embed, filters, again, back.sum(axis=0), slope @ mean, np.array([slope.sum()], np.float32)]
+
 
+def fit(raws: list[np.ndarray], labels: np.ndarray, prior: float = 0.5, seed: int = 7) -> ByteNet:
+    """Adam on the logistic loss, STEPS steps over documents in a fixed shuffled order.
 
-def fit(raws: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> ByteNet:
-    """Adam on the logistic loss, classes weighing alike; documents in a fixed shuffled order."""
+    ``prior`` is the share of label 1 where the sample comes from, which the classes weigh by.
+    """
     net = ByteNet.new(seed)
-    state = [net.embed, net.filters, net.bias, net.out, net.shift]
+    state = [net.embed, net.filters, net.again, net.bias, net.out, net.shift]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
     share = max(1e-3, labels.mean())
-    weights = np.where(labels == 1, 0.5 / share, 0.5 / max(1e-3, 1 - share))
-    rng, step = np.random.default_rng(seed), 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(raws))
-        for lo in range(0, len(order), BATCH):
-            pick = order[lo : lo + BATCH]
-            step += 1
-            for i, g in enumerate(net.gradients([raws[k] for k in pick], labels[pick], weights[pick])):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.98 * second[i] + 0.02 * g * g
-                state[i] -= RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.98**step)) + 1e-8)
+    weights = np.where(labels == 1, prior / share, (1 - prior) / max(1e-3, 1 - share))
+    rng, order = np.random.default_rng(seed), np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(len(raws))])
+        pick, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - 0.9 * step / STEPS)
+        for i, g in enumerate(net.gradients([raws[k] for k in pick], labels[pick], weights[pick])):
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.98 * second[i] + 0.02 * g * g
+            state[i] -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.98**step)) + 1e-8)
     return net
 
 
@@ -135,16 +155,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
     The sample is bounded: about ``per_class`` documents of each label, chosen
     by a hash of doc_id; their texts are read whole.
     """
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    share = known.groupBy("quality").agg((F.lit(float(per_class)) / F.count(F.lit(1))).alias("share"))
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    if not counts:
+        return None
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.join(F.broadcast(share.limit(16)), "quality").where(lot < F.col("share")).select("doc_id", "quality").limit(4 * per_class)
+    share = F.when(F.col("quality") == 1, F.lit(per_class / counts.get(1, 1))).otherwise(F.lit(per_class / counts.get(0, 1)))
     # At most 4 * per_class ids: bounded, so broadcast, and the documents stay where they are.
+    chosen = known.where(lot < share).limit(4 * per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(8 * per_class).collect()
     rows = sorted((r.doc_id, r.quality, r.text or "") for r in rows)
     if not rows:
         return None
-    return fit([np.frombuffer(t.encode(), np.uint8) for _, _, t in rows], np.array([float(q == 1) for _, q, _ in rows]))
+    prior = counts.get(1, 0) / sum(counts.values())
+    return fit([np.frombuffer(t.encode(), np.uint8) for _, _, t in rows], np.array([float(q == 1) for _, q, _ in rows]), prior)
 
 
 def score(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .decontaminate import op2_decontaminate
+from .html_text import op4_html_text
 from .language_id import op1_language_id
 from .media import op5_media
 from .near_dup import op10_near_dedup
+from .packing import op7_packing
 from .quality import op9_quality
 from .substring_dedup import op8_substring_dedup
 from .suffix_array_dedup import op6_suffix_array_dedup
@@ -22,8 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_language_id,
         op2_decontaminate,
         op3_token_store,
+        op4_html_text,
         op5_media,
         op6_suffix_array_dedup,
+        op7_packing,
         op8_substring_dedup,
         op9_quality,
         op10_near_dedup,
