@@ -1,10 +1,8 @@
-"""Registered queries of the library and their SQL."""
+"""All registered queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import cleaning, filtering, io, metrics, modelling, ranking, routing, similarity, spatial, streams  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
