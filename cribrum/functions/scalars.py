@@ -45,23 +45,25 @@ def compliant(cutoffs: Sequence[tuple[Column, float]]) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, where the value is computed once a row and not once for each use inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(text: Column, kind: str = "word", size: int = 3) -> Column:
     """Distinct n-grams of a text as strings: ``word`` or ``char``; a shorter text is one shingle, an empty one has none."""
-    if kind == "word":
-        units = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
-        join = lambda i: F.array_join(F.slice(units, i, size), " ")
-    elif kind == "char":
-        low = F.lower(F.coalesce(text, F.lit("")))
-        units = F.split(low, "")
-        join = lambda i: F.substring(low, i, F.lit(size))
-        return F.when(F.length(low) == 0, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - size + 1)), join))
-        )
-    else:
+    if kind not in ("word", "char"):
         raise ValueError(f"no fingerprint of kind {kind!r}")
-    return F.when(F.size(units) == 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(units) - size + 1)), join))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    units = F.array_remove(F.split(low, r"\s+"), "") if kind == "word" else F.filter(F.split(low, ""), lambda c: c != "")
+    glue = " " if kind == "word" else ""
+    grams = let(
+        units,
+        lambda u: F.when(F.size(u) == 0, F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(u) - size + 1)), lambda i: F.array_join(F.slice(u, i, size), glue))
+        ),
     )
+    return F.array_distinct(grams)
 
 
 def fingerprint(text: Column, kind: str = "word", size: int = 3, n_bits: int = 2048, vocabulary: Sequence[str] | None = None) -> Column:
@@ -77,20 +79,18 @@ def fingerprint(text: Column, kind: str = "word", size: int = 3, n_bits: int = 2
 def pack_bits(bits: Column, n_bits: int) -> Column:
     """On-bits as ``n_bits / 64`` long words."""
     words = -(-n_bits // 64)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(words - 1)),
-        lambda w: F.aggregate(
-            F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.expr("1L").cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")))
-        ),
+    one = F.lit(1).cast("long")
+    word = lambda on, w: F.aggregate(
+        F.filter(on, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, (b % 64).cast("int")))
     )
+    return let(bits, lambda on: F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: word(on, w)))
 
 
 def unpack_bits(words: Column) -> Column:
     """The sorted on-bits of packed words."""
-    n = F.size(words) * 64
-    return F.filter(
-        F.sequence(F.lit(0), n - 1), lambda b: F.call_function("shiftrightunsigned", F.get(words, F.floor(b / 64).cast("int")), (b % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    )
+    one = F.lit(1).cast("long")
+    is_on = lambda ws, b: F.call_function("shiftrightunsigned", F.get(ws, F.floor(b / 64).cast("int")), (b % 64).cast("int")).bitwiseAND(one) == 1
+    return let(words, lambda ws: F.filter(F.sequence(F.lit(0), F.size(ws) * 64 - 1), lambda b: is_on(ws, b)))
 
 
 def fold_bits(bits: Column, m: int) -> Column:

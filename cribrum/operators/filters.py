@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from .replicates import nearest_quantile
 
 
@@ -74,9 +75,11 @@ def contained_references(df: DataFrame, key: str, text: str, references: DataFra
     triple = lambda words, i: F.array_join(F.slice(words, i, 3), " ")
     refs = references.select("ref_id", "site", clean(F.col("pattern")).alias("pattern")).withColumn("_t", triple(F.split("pattern", " "), F.lit(1)))
     texts = df.select(key, clean(F.col(text)).alias("_text"))
-    words = F.split("_text", " ")
-    seen = texts.select(key, "_text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 2)), lambda i: triple(words, i)))).alias("_t"))
-    hits = seen.join(refs, "_t").where(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("pattern"), F.lit(" "))))
+    triples = let(
+        F.split("_text", " "), lambda words: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 2)), lambda i: triple(words, i)))
+    )
+    near = texts.select(key, F.explode(triples).alias("_t")).join(refs, "_t").drop("_t").distinct().join(texts, key)
+    hits = near.where(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("pattern"), F.lit(" "))))
     return hits.select(key, "ref_id", F.split("site", r"\|").alias("sites")).distinct()
 
 

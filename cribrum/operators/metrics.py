@@ -13,13 +13,13 @@ from .ranking import positions, running_totals
 
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row per distinct score (as threshold): n, pos here and cum_n, cum_pos from the top; P and N in all.
+    """One row per distinct score (as threshold): n, pos here and cum_n, cum_pos from the top; all_pos and all_neg in all.
 
     Rows without label or score take no part.
     """
     usable = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     counts = usable.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    totals = counts.agg(F.sum("pos").alias("P"), (F.sum("n") - F.sum("pos")).alias("N"))
+    totals = counts.agg(F.sum("pos").alias("all_pos"), (F.sum("n") - F.sum("pos")).alias("all_neg"))
     return running_totals(counts, "threshold", ["n", "pos"], descending=True).crossJoin(F.broadcast(totals))  # one row
 
 
@@ -27,28 +27,28 @@ def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row, ``auroc``: share of (positive, negative) pairs in order, ties half; null for one class."""
     c = curve(df, label, score)
     neg, above = F.col("n") - F.col("pos"), F.col("cum_pos") - F.col("pos")
-    return c.agg((F.sum(neg * above + 0.5 * neg * F.col("pos")) / F.when(F.max("P") * F.max("N") > 0, F.max("P") * F.max("N"))).alias("auroc"))
+    return c.agg((F.sum(neg * above + 0.5 * neg * F.col("pos")) / F.when(F.max("all_pos") * F.max("all_neg") > 0, F.max("all_pos") * F.max("all_neg"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row, ``ap``: the step-wise sum of recall gained times precision."""
-    return curve(df, label, score).agg(F.sum(F.col("pos") / F.when(F.col("P") > 0, F.col("P")) * F.col("cum_pos") / F.col("cum_n")).alias("ap"))
+    return curve(df, label, score).agg(F.sum(F.col("pos") / F.when(F.col("all_pos") > 0, F.col("all_pos")) * F.col("cum_pos") / F.col("cum_n")).alias("ap"))
 
 
 def pr_trapezoid(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row, ``pr_auc``: the area under the precision-recall points joined by lines, from recall 0 at precision 1."""
     here = F.col("cum_pos") / F.col("cum_n")
     before = F.when(F.col("cum_n") > F.col("n"), (F.col("cum_pos") - F.col("pos")) / (F.col("cum_n") - F.col("n"))).otherwise(1.0)
-    return curve(df, label, score).agg(F.sum(F.col("pos") / F.when(F.col("P") > 0, F.col("P")) * (here + before) / 2).alias("pr_auc"))
+    return curve(df, label, score).agg(F.sum(F.col("pos") / F.when(F.col("all_pos") > 0, F.col("all_pos")) * (here + before) / 2).alias("pr_auc"))
 
 
 def points(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, fpr, tpr (recall), precision, f1 where rows from the threshold on are called positive."""
-    precision, recall = F.col("cum_pos") / F.col("cum_n"), F.col("cum_pos") / F.col("P")
+    precision, recall = F.col("cum_pos") / F.col("cum_n"), F.col("cum_pos") / F.col("all_pos")
     return curve(df, label, score).select(
-        "threshold", ((F.col("cum_n") - F.col("cum_pos")) / F.col("N")).alias("fpr"), recall.alias("tpr"), precision.alias("precision"),
-        (2 * F.col("cum_pos") / (F.col("cum_n") + F.col("P"))).alias("f1"), F.col("cum_pos").alias("tp"), (F.col("cum_n") - F.col("cum_pos")).alias("fp"),
-        (F.col("P") - F.col("cum_pos")).alias("fn"), (F.col("N") - F.col("cum_n") + F.col("cum_pos")).alias("tn"),
+        "threshold", ((F.col("cum_n") - F.col("cum_pos")) / F.col("all_neg")).alias("fpr"), recall.alias("tpr"), precision.alias("precision"),
+        (2 * F.col("cum_pos") / (F.col("cum_n") + F.col("all_pos"))).alias("f1"), F.col("cum_pos").alias("tp"), (F.col("cum_n") - F.col("cum_pos")).alias("fp"),
+        (F.col("all_pos") - F.col("cum_pos")).alias("fn"), (F.col("all_neg") - F.col("cum_n") + F.col("cum_pos")).alias("tn"),
     )
 
 

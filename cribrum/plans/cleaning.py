@@ -135,7 +135,7 @@ def agg10_distribution(spark, d):
 
 
 @query(
-    "select d.lang, count(*) as n, sum(quality) as positives, round(avg(quality), 6) as prevalence, d.lang = 'fr' as is_holdout, sum(quality) in (0, count(*)) as one_class from documents d join labels using (doc_id) group by d.lang"
+    "select d.lang, count(*) as n, sum(quality)::bigint as positives, round(avg(quality), 6) as prevalence, d.lang = 'fr' as is_holdout, sum(quality) in (0, count(*)) as one_class from documents d join labels using (doc_id) group by d.lang"
 )
 def agg11_label_breakdown(spark, d):
     labelled = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")

@@ -130,9 +130,9 @@ def flt15_final_gate(spark, d):
     return rows.where((F.col("o_totalprice") >= F.col("best") - 20000) & (F.col("o_orderstatus") != "P") & (F.col("o_custkey") % 2 == 0)).select("o_orderkey", "o_orderpriority")
 
 
-@query("select o_custkey, count(*) as n, case when count(*) >= 5 then round(avg(o_totalprice), 4) end as mean from orders group by 1")
+@query("select o_custkey, count(*) as n, case when count(*) >= 5 then round(avg(o_totalprice), 6) end as mean from orders group by 1")
 def flt16_suppress_small(spark, d):
-    stats = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    stats = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean"))
     return X.suppress_small(stats, ["mean"], "n")
 
 
@@ -177,10 +177,10 @@ def agg25_best_of_replicates(spark, d):
     )
 
 
-@query("select count(*) as final_rows, (select sum(n) from (select l_suppkey % 4 as part, count(*) as n from lineitem group by 1)) as part_rows, true as equal from lineitem")
+@query("select count(*) as final_rows, (select sum(n)::bigint from (select l_suppkey % 4 as part, count(*) as n from lineitem group by 1)) as part_rows, true as equal from lineitem")
 def agg28_reconcile_counts(spark, d):
     lines = table(spark, d, "lineitem")
-    parts = lines.groupBy((F.col("l_suppkey") % 4).alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").cast("double").alias("part_rows"))
+    parts = lines.groupBy((F.col("l_suppkey") % 4).alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("part_rows"))
     return lines.agg(F.count(F.lit(1)).alias("final_rows")).crossJoin(parts).withColumn("equal", F.col("final_rows") == F.col("part_rows"))
 
 
@@ -191,9 +191,9 @@ def agg29_before_and_after(spark, d):
     return both.groupBy("o_orderpriority", "stage").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.round(F.median("p"), 4).alias("median"))
 
 
-@query("select l_orderkey, l_linenumber, round(case when l_quantity > 0 then -l_extendedprice / l_quantity else 0 end, 3) as eff from lineitem")
+@query("select l_orderkey, l_linenumber, round(case when l_quantity > 0 then -l_extendedprice / l_quantity else 0 end, 6) as eff from lineitem")
 def scl12_ratio_metric(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.efficiency(F.col("l_extendedprice"), F.col("l_quantity")).alias("eff"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.efficiency(F.col("l_extendedprice"), F.col("l_quantity"), 6).alias("eff"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then 0.0 else value end as x from events")

@@ -1,0 +1,152 @@
+"""Sources and sinks, over files that are written from the given tables first."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.lineage import scratch
+from ..sources import readers as R, writers as W
+from .registry import query, table
+
+
+@query("select count(*) as n, count(distinct user_id) as n_ids from events")
+def src1_validated_load(spark, d):
+    return R.load(spark, f"{d}/events.parquet", ["event_id", "user_id", "value"]).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("user_id")).alias("n_ids"))
+
+
+@query("select count(*) as n_rows, count(*) filter (v is null) as n_null from (select case when o_orderkey % 9 = 0 then null else o_custkey end as v from orders)")
+def src2_format_dispatch(spark, d):
+    path = scratch(spark, "orders") + ".tsv"
+    W.write_any(table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey")).alias("v")), path)
+    return R.null_count(R.read_any(spark, path, "o_orderkey long, v long"), "v")
+
+
+@query("select 'p_name' as text, 'p_partkey' as id, 'p_size,p_retailprice' as properties, count(*) as n from part")
+def src3_detect_columns(spark, d):
+    path = scratch(spark, "part") + ".csv"
+    W.write_any(table(spark, d, "part"), path)
+    df = R.read_any(spark, path)
+    found = R.key_columns(df, ["name"], ["id", "p_partkey"], ["p_size", "p_retailprice", "p_weight"])
+    return df.agg(F.lit(found["text"]).alias("text"), F.lit(found["id"]).alias("id"), F.lit(",".join(found["properties"])).alias("properties"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select name, n_rows, 1.0::double as valid_rate from (select unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) as name), (select count(*) as n_rows from supplier)")
+def src4_profile(spark, d):
+    return R.profile(table(spark, d, "supplier"), F.col("s_name").rlike("^Supplier|^SUPP|.+")).select("name", "n_rows", F.col("valid_rate").cast("double").alias("valid_rate"))
+
+
+@query("select strftime(ts, '%Y%m%d') as batch, count(*) as n, round(sum(value), 4) as total from events where strftime(ts, '%Y%m%d') <> '20240103' group by 1")
+def src5_batch_files(spark, d):
+    path = scratch(spark, "batches")
+    rows = table(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("b"))
+    rows.repartition("b").write.partitionBy("b").option("header", True).csv(path)
+    df = spark.read.option("header", True).schema("event_id long, value double").csv(path).withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"b=(\d{8})", 1))
+    return df.where("batch <> '20240103'").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("select o_custkey::varchar as id, o_totalprice as value from orders where o_orderkey % 2 = 0 union all select c_custkey::varchar, c_acctbal from customer")
+def src6_resolve_headers(spark, d):
+    a = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("Compound ID"), F.col("o_totalprice").cast("string").alias("KD value (M)"), F.lit("x").alias("KD value error"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("sample"), F.col("c_acctbal").alias("kd value"))
+    return R.resolve_headers(a, ["compound id", "sample"], "kd value", ["error"]).unionByName(R.resolve_headers(b, ["compound id", "sample"], "kd value", ["error"]))
+
+
+@query("select count(*) as n, count(c_acctbal) as n_balance, count(c_mktsegment) as n_segment from (select c_custkey, c_acctbal, null as c_mktsegment from customer union all select c_custkey, null, c_mktsegment from customer)")
+def src7_drifting_parts(spark, d):
+    path, customer = scratch(spark, "parts"), table(spark, d, "customer")
+    customer.select("c_custkey", "c_acctbal").write.parquet(f"{path}/part=0")
+    customer.select("c_custkey", "c_mktsegment").write.parquet(f"{path}/part=1")
+    return R.read_drifting(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count("c_acctbal").alias("n_balance"), F.count("c_mktsegment").alias("n_segment"))
+
+
+@query("select count(*) as n, count(distinct p_name) as n_names, max(p_partkey) as last from part")
+def src8_records(spark, d):
+    path = scratch(spark, "records")
+    record = F.concat(F.lit("\n> <Name>\n"), F.col("p_name"), F.lit("\n> <Key>\n"), F.col("p_partkey").cast("string"), F.lit("\n"))
+    table(spark, d, "part").select(record.alias("value")).write.option("lineSep", "$$$$").text(path)
+    df = R.read_records(spark, path, "$$$$", "Name")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("name")).alias("n_names"), F.max(F.regexp_extract("body", r"<Key>\n(\d+)", 1).cast("long")).alias("last"))
+
+
+@query("select n_nationkey::bigint as key, n_name as name from nation where n_nationkey % 5 <> 0")
+def src9_fixed_width(spark, d):
+    path = scratch(spark, "fixed")
+    kind = F.when(F.col("n_nationkey") % 5 == 0, F.rpad(F.lit("OTHER"), 6, " ")).otherwise(F.rpad(F.lit("ATOM"), 6, " "))
+    line = F.concat(kind, F.lpad(F.col("n_nationkey").cast("string"), 5, " "), F.lit(" "), F.rpad("n_name", 20, " "))
+    table(spark, d, "nation").select(line.alias("value")).write.text(path)
+    return R.read_fixed_width(spark, path, {"key": (7, 5, "bigint"), "name": (13, 20, "string")}, ["ATOM", "HETATM"], "name", ["WATER"])
+
+
+@query("select conv_id, turn, role, length(text) as n from conversations")
+def src10_flatten(spark, d):
+    path = scratch(spark, "nested")
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("results"))
+    nested.write.json(path)
+    df = spark.read.schema("conv_id long, results array<struct<turn: long, role: string, text: string>>").json(path)
+    return R.flatten_results(df, ["conv_id"], "results").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+
+
+@query("select 'r' || (item_id % 10)::varchar as ref_id, string_agg(distinct chr(65 + (item_id % 4)::int), '|' order by chr(65 + (item_id % 4)::int)) as site from benchmark group by 1")
+def src11_load_references(spark, d):
+    one = table(spark, d, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") % 10).cast("string")).alias("ref_id"), F.char((F.lit(65) + F.col("item_id") % 4).cast("int")).alias("site"), F.concat(F.lit("p"), (F.col("item_id") % 10).cast("string")).alias("pattern"))
+    return R.load_references(one).select("ref_id", "site")
+
+
+@query("select c_custkey, lpad((row_number() over (order by c_acctbal desc, c_custkey) - 1)::varchar, 8, '0') as row_id from customer")
+def src12_row_ids(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", (-F.col("c_acctbal")).alias("b"))
+    return R.with_row_id(rows, ["b", "c_custkey"]).select("c_custkey", "row_id")
+
+
+@query("select s_suppkey, s_name, s_acctbal from supplier")
+def snk1_write_by_extension(spark, d):
+    path = scratch(spark, "supplier") + ".csv"
+    W.write_any(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    return R.read_any(spark, path, "s_suppkey long, s_name string, s_acctbal double")
+
+
+@query("select count(*) as rows from orders")
+def snk2_convert(spark, d):
+    source = scratch(spark, "orders") + ".csv"
+    W.write_any(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), source)
+    return W.convert(spark, source, scratch(spark, "orders"), "o_orderkey long, o_totalprice double", rows_per_file=100_000).select("rows")
+
+
+@query("select count(*) as part_rows, count(*) as final_rows, true as equal from events")
+def snk3_compact(spark, d):
+    source = scratch(spark, "shards")
+    table(spark, d, "events").repartition(24).write.parquet(source)
+    return W.compact(spark, source, scratch(spark, "final"), 2)
+
+
+@query("select o_orderpriority, count(*) as n from orders group by 1")
+def snk5_group_outputs(spark, d):
+    path = scratch(spark, "groups")
+    W.write_groups(table(spark, d, "orders"), "o_orderpriority", path)
+    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_orderstatus, count(*) as n, o_orderstatus = 'P' as written_second from orders group by 1")
+def snk6_finish_groups(spark, d):
+    """Two groups are there already; the second run writes the third alone."""
+    path, orders = scratch(spark, "resume"), table(spark, d, "orders")
+    W.write_missing_groups(orders.where("o_orderstatus <> 'P'"), "o_orderstatus", path)
+    second = W.write_missing_groups(orders, "o_orderstatus", path)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).withColumn("written_second", F.col("o_orderstatus").isin(second))
+
+
+@query("select count(*) as n_rows, count(*) filter (value > 100) as n_high, 5 as n_types from events")
+def snk7_run_summary(spark, d):
+    out = W.run_summary(table(spark, d, "events"), {"n_rows": F.count(F.lit(1)), "n_high": F.count_if(F.col("value") > 100)}, ["event_type"], scratch(spark, "summary"))
+    return out.select("counts.n_rows", "counts.n_high", F.size("by_event_type").alias("n_types"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50")
+def snk8_export(spark, d):
+    return W.export(table(spark, d, "orders"), ["o_orderkey", "missing", "o_totalprice"], 50, "o_totalprice", "o_orderkey")
+
+
+@query("select count(*) as n from (select * from lineitem limit 500)")
+def snk9_raw_limit(spark, d):
+    """A smoke run on 500 raw rows: the limit is the feature."""
+    return table(spark, d, "lineitem").limit(500).agg(F.count(F.lit(1)).alias("n"))

@@ -1,0 +1,189 @@
+"""Folds and models over ``embeddings``: the class is whether the label is below 3, the target the label."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M, models as X, ranking as K
+from .registry import query, table
+from .similarity import similar_pairs
+
+
+def rows(spark, d):
+    e = table(spark, d, "embeddings")
+    base = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("label") < 3).cast("int").alias("y"), F.col("label").cast("double").alias("target"), (F.col("vec_id") % 4).cast("int").alias("fold"))
+    return X.vectors(base, "embedding").withColumn("features", F.col("embedding"))
+
+
+def _summary(oof):
+    return oof.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"), F.bool_and((F.col("oof") >= 0) & (F.col("oof") <= 1)).alias("in_range"))
+
+
+_FOLDS = "select (vec_id % 4)::int as fold, count(*) as n, count(*) filter (label < 3) as positives, true as in_range from embeddings group by 1"
+
+
+@query()
+def mdl1_space_folds(spark, d):
+    return X.space_folds(table(spark, d, "embeddings"), "vec_id", "embedding", 6, 11)
+
+
+@query("select vec_id, label, (label % 3)::int as fold from embeddings")
+def mdl2_attach_folds(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    folds = e.select("vec_id", (F.col("label") % 3).cast("int").alias("fold"))
+    return e.join(folds, "vec_id").select("vec_id", "label", "fold")
+
+
+@query()
+def mdl3_sphere_clusters(spark, d):
+    return X.sphere_clusters(similar_pairs(spark, d, 6), table(spark, d, "documents"), "doc_id")
+
+
+@query()
+def mdl4_balanced_folds(spark, d):
+    orders = table(spark, d, "orders")
+    return orders.join(F.broadcast(X.pack_folds(spark, orders, "o_orderpriority", 3)), "o_orderpriority").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mdl5_cluster_representatives(spark, d):
+    """Per label: six clusters and the row of each nearest the front (least vec_id)."""
+    folds = X.space_folds(table(spark, d, "embeddings"), "vec_id", "embedding", 6, 11)
+    labelled = folds.join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    return K.best_per_key(labelled, ["label", "fold"], [F.asc("vec_id")]).select("label", "fold", "vec_id")
+
+
+@query("select quality as y, round(case when quality = 1 then (count(*) filter (quality = 0) over ()) / (count(*) filter (quality = 1) over ())::double else 1 end, 6) as weight, doc_id from labels")
+def mdl6_class_weights(spark, d):
+    out = X.class_weights(table(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "y")
+    return out.select("doc_id", "y", F.round("weight", 6).alias("weight"))
+
+
+@query(_FOLDS)
+def mdl7_rotating_validation(spark, d):
+    return _summary(X.cross_validate(rows(spark, d), "vec_id", "y", "fold", [0, 1, 2, 3], rotate=True)[0])
+
+
+@query("select vec_id, true as scored, (vec_id % 4) = 3 as is_holdout from embeddings")
+def mdl8_oof_and_holdout(spark, d):
+    """Folds 0-2 get out-of-fold scores, fold 3 the mean of the fold models."""
+    df = rows(spark, d)
+    oof, models = X.cross_validate(df, "vec_id", "y", "fold", [0, 1, 2])
+    held = X.ensemble_score(df.where("fold = 3"), models)
+    both = oof.select("vec_id", F.col("oof").alias("p"), F.lit(False).alias("is_holdout")).unionByName(held.select("vec_id", F.col("mean").alias("p"), F.lit(True).alias("is_holdout")))
+    return both.select("vec_id", F.col("p").between(0, 1).alias("scored"), "is_holdout")
+
+
+@query("select vec_id, true as scored from embeddings")
+def mdl9_every_row_once(spark, d):
+    oof, _ = X.cross_validate(rows(spark, d), "vec_id", "y", "fold", [0, 1, 2, 3])
+    return oof.select("vec_id", F.col("oof").between(0, 1).alias("scored"))
+
+
+@query()
+def mdl10_regression(spark, d):
+    oof, _ = X.cross_validate(rows(spark, d), "vec_id", "target", "fold", [0, 1, 2, 3], regression=True)
+    return M.regression_errors(oof, "target", "oof", 4.5)
+
+
+@query()
+def mdl11_ablation(spark, d):
+    """Feature sets against one protocol: AUROC and average precision of each."""
+    out = None
+    for name, (start, length) in {"head": (1, 16), "tail": (33, 32), "all": (1, 64)}.items():
+        df = X.vectors(rows(spark, d).drop("vector").withColumn("part", F.slice("embedding", start, length)), "part")
+        oof, _ = X.cross_validate(df, "vec_id", "y", "fold", [0, 1], trees=3)
+        one = M.auroc(oof, "y", "oof").crossJoin(M.average_precision(oof, "y", "oof")).withColumn("features", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def mdl12_block_effect(spark, d):
+    scores = {r.features: r.auroc for r in mdl11_ablation(spark, d).collect()}
+    return spark.createDataFrame([("all", "head", scores["all"] - scores["head"]), ("all", "tail", scores["all"] - scores["tail"])], "with string, without string, delta double")
+
+
+@query()
+def mdl13_grouped_importance(spark, d):
+    df = rows(spark, d).withColumns({"a": F.slice("embedding", 1, 16), "b": F.slice("embedding", 17, 48)})
+    df, slices = X.feature_blocks(df, [("first", ["a"]), ("rest", ["b"])], 64)
+    _, models = X.cross_validate(X.vectors(df.drop("vector")), "vec_id", "y", "fold", [0, 1], trees=3)
+    return spark.createDataFrame(X.grouped_importance(models[0], slices), "block string, importance double, share double")
+
+
+@query()
+def mdl14_linear_probe(spark, d):
+    df = rows(spark, d)
+    model = X.linear_probe(df.where("fold <> 3"), "target", 1.0)
+    return M.regression_errors(model.transform(df.where("fold = 3")), "target", "prediction", 4.5)
+
+
+@query("select vec_id, vec_id % 7 = 0 as no_score from embeddings")
+def mdl15_score_new_rows(spark, d):
+    """Rows without features stay, with null scores."""
+    df = rows(spark, d)
+    _, models = X.cross_validate(df, "vec_id", "y", "fold", [0, 1], trees=3)
+    new = df.withColumn("vector", F.when(F.col("vec_id") % 7 != 0, F.col("vector")))
+    return X.ensemble_score(new, models).select("vec_id", F.col("mean").isNull().alias("no_score"))
+
+
+_ORDERED = "p as (select a.vec_id as a, b.vec_id as b, a.label - b.label >= 1 as y from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 = 0 and a.vec_id % 4 = b.vec_id % 4 and a.vec_id <> b.vec_id)"
+
+
+def _ordered_pairs(spark, d):
+    """Ordered pairs i <> j within a fold of the stated set of queries (vec_id divisible by 20)."""
+    e = table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 4).alias("fold"))
+    a, b = e.toDF("a", "la", "va", "fold"), e.toDF("b", "lb", "vb", "fold")
+    return a.join(b, "fold").where("a <> b").withColumn("y", F.col("la") - F.col("lb") >= 1)
+
+
+@query(f"with {_ORDERED} select a, b, y from p")
+def jon11_ordered_pairs(spark, d):
+    return _ordered_pairs(spark, d).select("a", "b", "y")
+
+
+@query(f"with {_ORDERED} select a, round(avg(y::int), 6) as score from p group by a")
+def win13_pair_to_row_score(spark, d):
+    return _ordered_pairs(spark, d).groupBy("a").agg(F.round(F.avg(F.col("y").cast("int")), 6).alias("score"))
+
+
+@query()
+def mdl16_pairwise_preference(spark, d):
+    """Difference features of ordered pairs, balanced classes, a model, and the mean chance to win as each row's score."""
+    from ..functions.scalars import differences
+
+    pairs = _ordered_pairs(spark, d).select("a", "b", "la", F.col("y").cast("int").alias("y"), differences(F.col("va"), F.col("vb")).alias("features"), (F.col("a") * 1000003 + F.col("b")).alias("k"), (F.col("a") / 20 % 2).cast("int").alias("fold"))
+    train = X.vectors(K.balanced(pairs, "y", "k", 3))
+    _, models = X.cross_validate(train, "k", "y", "fold", [0, 1], trees=3)
+    scored = X.ensemble_score(X.vectors(pairs), models)
+    per_row = scored.groupBy("a").agg(F.avg("mean").alias("score"), F.first("la").alias("label"))
+    return M.correlations(per_row, "score", "label")
+
+
+@query()
+def mdl17_parameter_search(spark, d):
+    """Cross-validation over fixed folds and a seeded random grid, by area under the precision-recall curve."""
+    import random
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    lr = LogisticRegression(featuresCol="vector", labelCol="y", maxIter=10)
+    rng = random.Random(5)
+    grid = ParamGridBuilder().addGrid(lr.regParam, sorted(10 ** rng.uniform(-4, 0) for _ in range(3))).build()
+    search = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR"), numFolds=2, foldCol="half")
+    fitted = search.fit(rows(spark, d).withColumn("half", (F.col("fold") % 2).cast("int")))
+    return spark.createDataFrame([(p[lr.regParam], float(m)) for p, m in zip(grid, fitted.avgMetrics)], "reg double, pr_auc double")
+
+
+@query()
+def mdl19_funnel(spark, d):
+    """Score, keep the best, cluster, and one representative a cluster."""
+    df = rows(spark, d)
+    _, models = X.cross_validate(df, "vec_id", "y", "fold", [0, 1], trees=3)
+    scored = X.ensemble_score(df, models)
+    best = K.top_or_threshold(scored, "mean", "vec_id", n=max(6, scored.count() // 2)).select("vec_id", "embedding", "mean")
+    folds = X.space_folds(best, "vec_id", "embedding", 3, 11)
+    return K.best_per_key(folds.join(best.select("vec_id", "mean"), "vec_id"), ["fold"], [F.desc("mean"), F.asc("vec_id")]).select("fold", "vec_id", F.round("mean", 6).alias("mean"))

@@ -1,0 +1,73 @@
+"""Points (dimensions of embeddings), contacts, boxes, components."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import spatial as X
+from .registry import query, table
+
+
+def points(spark, d):
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").alias("grp"), e(0).alias("x"), e(1).alias("y"), e(2).alias("z"))
+
+
+_PTS = "p as (select vec_id, label as grp, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)"
+_PAIR = f"{_PTS}, c as (select a.vec_id as l, b.vec_id as r, a.grp as lg, b.grp as rg, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) as dist from p a join p b on a.vec_id % 2 = 0 and b.vec_id % 2 = 1), w as (select * from c where dist <= 0.08)"
+
+
+def contacts(spark, d):
+    p = points(spark, d)
+    return X.radius_join(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), 0.08)
+
+
+@query(f"with {_PAIR} select lg as grp, r as member, round(min(dist), 6) as distance from w group by all")
+def jon12_radius_join(spark, d):
+    near = X.nearest_contacts(contacts(spark, d), "l_grp", "r_vec_id")
+    return near.select(F.col("l_grp").alias("grp"), F.col("r_vec_id").alias("member"), F.round("distance", 6).alias("distance"))
+
+
+@query(
+    f"with {_PAIR}, t as (select l, r, dist, 'polar' as type from w where dist <= 0.06 and lg % 2 = 0 and rg % 2 = 0 union all select l, r, dist, 'charged' from w where dist <= 0.05 and (lg + rg) % 3 = 0 union all select l, r, dist, 'stacked' from w where dist <= 0.07 and lg = rg "
+    "union all select l, r, dist, 'apolar' from (select *, row_number() over (partition by r order by dist) as rn from w where dist <= 0.08 and lg % 2 = 1) where rn = 1) select l, r, type, round(dist, 6) as distance from t"
+)
+def jon13_typed_contacts(spark, d):
+    near, lg, rg = F.col("distance"), F.col("l_grp"), F.col("r_grp")
+    rules = [("polar", (near <= 0.06) & (lg % 2 == 0) & (rg % 2 == 0)), ("charged", (near <= 0.05) & ((lg + rg) % 3 == 0)), ("stacked", (near <= 0.07) & (lg == rg)), ("apolar", lg % 2 == 1)]
+    out = X.typed_contacts(contacts(spark, d), rules, ["r_vec_id"], "apolar")
+    return out.select(F.col("l_vec_id").alias("l"), F.col("r_vec_id").alias("r"), "type", F.round("distance", 6).alias("distance"))
+
+
+@query(f"with {_PTS} select vec_id, round(sqrt(x*x + y*y + z*z), 6) as dist, round(degrees(acos(least(abs(z) / sqrt(x*x + y*y + z*z), 1))), 4) as angle, case when degrees(acos(least(abs(z) / sqrt(x*x + y*y + z*z), 1))) <= 30 then 'face' when degrees(acos(least(abs(z) / sqrt(x*x + y*y + z*z), 1))) >= 60 then 'edge' else 'none' end as kind from p")
+def scl17_geometry(spark, d):
+    p = points(spark, d).withColumn("n", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+    zero = [F.lit(0.0)] * 3
+    angle = S.normal_angle([F.col(c) / F.col("n") for c in "xyz"], [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
+    return p.select("vec_id", F.round(S.distance([F.col(c) for c in "xyz"], zero), 6).alias("dist"), F.round(angle, 4).alias("angle"), S.stacking_class(angle).alias("kind"))
+
+
+@query(f"with {_PTS} select grp, " + ", ".join(f"round(avg({c}), 6) as {c}_centre, round(max({c}) - min({c}) + 0.1, 6) as {c}_size" for c in "xyz") + " from p group by grp")
+def agg32_bounding_boxes(spark, d):
+    out = X.bounding_boxes(points(spark, d), "grp", 0.1)
+    return out.withColumns({f"{c}_{n}": F.round(f"{c}_{n}", 6) for c in "xyz" for n in ("centre", "size")})
+
+
+@query(
+    "with recursive m as (select distinct o_custkey as g, l_orderkey as p, l_suppkey as e from lineitem join orders on o_orderkey = l_orderkey), ed as (select a.g, a.p as a, b.p as b from m a join m b on a.g = b.g and a.e = b.e and a.p <> b.p group by all having count(*) >= 1), "
+    "reach(g, a, b) as (select g, a, b from ed union select r.g, r.a, ed.b from reach r join ed on ed.g = r.g and ed.a = r.b), comp as (select g, a, least(a, min(b)) as c from reach group by g, a) "
+    "select o_custkey, coalesce(max(n), 0) as largest from (select distinct g as o_custkey from m) left join (select g as o_custkey, c, count(*) as n from comp group by all) using (o_custkey) group by 1"
+)
+def agg27_largest_component(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return X.largest_components(lines, "o_custkey", "l_orderkey", "l_suppkey", 1)
+
+
+@query("select l_orderkey, pos, part, n_r, best_line from (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag, l_extendedprice) - 1 as pos, l_partkey as part, count(*) filter (l_returnflag = 'R') over (partition by l_orderkey) as n_r, first_value(l_linenumber) over (partition by l_orderkey order by l_extendedprice, l_linenumber) as best_line from lineitem)")
+def agg34_nested_rows(spark, d):
+    """Nested arrays to rows with their positions, counts by type and the best row of each."""
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice")
+    nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.min(F.struct("l_extendedprice", "l_linenumber"))["l_linenumber"].alias("best_line"))
+    counted = nested.withColumn("n_r", F.size(F.filter("lines", lambda x: x["l_returnflag"] == "R")).cast("long"))
+    return counted.select("l_orderkey", "n_r", "best_line", F.posexplode("lines").alias("pos", "line")).select("l_orderkey", "pos", F.col("line.l_partkey").alias("part"), "n_r", "best_line")

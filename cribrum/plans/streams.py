@@ -1,0 +1,90 @@
+"""Streams over files of ``events``."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators.lineage import scratch
+from ..streaming import funnel as S
+from .registry import query, table
+
+_SCHEMA = "event_id long, user_id long, event_type string, value double"
+
+
+def _steps():
+    return [("type", F.col("event_type") != "error"), ("low", F.col("value") >= 10), ("high", F.col("value") <= 100)]
+
+
+def _files(spark, d, n: int = 4) -> str:
+    path = scratch(spark, "arriving")
+    table(spark, d, "events").select("event_id", "user_id", "event_type", "value").repartition(n).write.parquet(path)
+    return path
+
+
+@query("select event_id, value from events where event_type <> 'error' and value between 10 and 100")
+def str1_incremental_funnel(spark, d):
+    target = scratch(spark, "survivors")
+    S.run_to_sink(S.arriving(spark, _files(spark, d), _SCHEMA), _steps(), target, scratch(spark, "cp"))
+    return spark.read.schema(_SCHEMA).parquet(target).select("event_id", "value")
+
+
+@query("select count(*) as raw, count(*) filter (event_type = 'error') as fail_type, count(*) filter (event_type <> 'error' and value < 10) as fail_low, count(*) filter (event_type <> 'error' and value > 100) as fail_high, count(*) filter (event_type <> 'error' and value between 10 and 100) as out from events")
+def str2_progress_counters(spark, d):
+    progress = S.run_to_sink(S.arriving(spark, _files(spark, d), _SCHEMA, 1), _steps(), scratch(spark, "survivors"), scratch(spark, "cp"))
+    names = ["raw", "fail_type", "fail_low", "fail_high", "out"]
+    return spark.createDataFrame([[int(sum(p[n] for p in progress)) for n in names]], ", ".join(f"{n} long" for n in names))
+
+
+@query("select count(*) as n, count(distinct event_id) as n_distinct from events where event_type <> 'error' and value between 10 and 100")
+def str3_resume(spark, d):
+    """Half of the files arrive, a run ends, the others arrive, a second run goes on: nothing is lost or repeated."""
+    path, target, checkpoint = scratch(spark, "arriving"), scratch(spark, "survivors"), scratch(spark, "cp")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(path)
+        S.run_to_sink(S.arriving(spark, path, _SCHEMA), _steps(), target, checkpoint)
+    return spark.read.schema(_SCHEMA).parquet(target).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("event_id")).alias("n_distinct"))
+
+
+@query("select count(*) as n from events")
+def str4_bounded_batches(spark, d):
+    """One file a micro-batch, each written under its number (SNK4)."""
+    target = scratch(spark, "rollup")
+    S.run_idempotent(S.arriving(spark, _files(spark, d), _SCHEMA, 1), S.rollup_writer(target), scratch(spark, "cp"))
+    return spark.read.schema(f"{_SCHEMA}, batch int").parquet(target).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select user_id, round(max(value), 6) as best, count(*) as n from events group by 1")
+def udf3_per_group_function(spark, d):
+    """A user's function per group (UDF3)."""
+
+    def best(pdf):
+        return pdf.groupby("user_id", as_index=False).agg(best=("value", "max"), n=("value", "size"))
+
+    return table(spark, d, "events").select("user_id", "value").groupBy("user_id").applyInPandas(best, "user_id long, best double, n long")
+
+
+@query("select event_id, round(value * 2 + 1, 6) as a, round(value / 4, 6) as b from events")
+def udf1_user_properties(spark, d):
+    """A user's scalar function that gives several properties a row (UDF1)."""
+    @F.pandas_udf("a double, b double")
+    def properties(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"a": v * 2 + 1, "b": v / 4})
+
+    out = table(spark, d, "events").select("event_id", properties("value").alias("p"))
+    return out.select("event_id", F.round("p.a", 6).alias("a"), F.round("p.b", 6).alias("b"))
+
+
+@query("select doc_id, regexp_matches(coalesce(text, ''), 'th[aeiou]') as hit from documents")
+def udf2_partition_worker(spark, d):
+    """A worker with set-up once a partition (UDF2)."""
+
+    def work(batches):
+        import re
+
+        pattern = re.compile("th[aeiou]")  # the set-up
+        for pdf in batches:
+            yield pdf.assign(hit=[bool(pattern.search(t or "")) for t in pdf["text"]])[["doc_id", "hit"]]
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(work, "doc_id long, hit boolean")
