@@ -21,6 +21,8 @@ LANDMARKS = 160
 RIDGE = 1e-2
 #: Training reads at most about this many documents of each language.
 PER_LANG = 600
+#: Languages told apart at most: the most frequent ones.
+LANGS = 512
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -106,10 +108,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
     """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = usable.groupBy("lang").count()
-    share = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("share"))
+    # One row a language, and no more than LANGS of them: small enough to broadcast.
+    share = counts.orderBy(F.desc("count"), "lang").limit(LANGS).select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("share"))
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     n_langs = share.count()
-    sample = usable.join(share, "lang").where(lot < F.col("share")).select("text", "lang", F.xxhash64("doc_id", "text").alias("o")).limit(2 * per_lang * max(1, n_langs))
+    sample = usable.join(F.broadcast(share), "lang").where(lot < F.col("share")).select("text", "lang", F.xxhash64("doc_id", "text").alias("o")).limit(2 * per_lang * max(1, n_langs))
     rows = sorted(((r.o, r.text, r.lang) for r in sample.collect()))
     rows = [r for r in rows if has_letter(r[1])]
     return fit([r[1] for r in rows], [r[2] for r in rows]) if rows else None
