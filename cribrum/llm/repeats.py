@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .anchors import Names, byte_codes, mix, segments, union_runs, window_anchors, word_symbols
 from .tables import stage
@@ -193,22 +192,24 @@ def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[
     arrow_fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
     keyed = docs.select(*carry, "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("k"))
 
+    # Counts come from partial aggregates and go back by joins whose two sides are tables of their own,
+    # so that a block, pair or stretch that a third of all rows share is split over many tasks.
     anchors = keyed.select("k", "text").mapInArrow(lambda b: _anchor_rows(spec, b), "k long, place long, ha long, hb int, hc long")
-    by_first, by_pair = Window.partitionBy("ha"), Window.partitionBy("ha", "hb")
-    by_stretch = Window.partitionBy("ha", "hb", "hc")
+    twice = stage(anchors.groupBy("ha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ha"), "blocks")
+    kept = stage(anchors.join(twice, "ha", "left_semi"), "anchors")
+    stretch = stage(kept.groupBy("ha", "hb", "hc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("first")), "stretches")
+    pair = stage(stretch.groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("stretches")).where("stretches > 1"), "pairs")
+    ranked = stage(
+        stretch.join(pair, ["ha", "hb"], "left").withColumn("stretches", F.coalesce("stretches", F.lit(1))).where("n > 1 or stretches > 1"), "ranked"
+    )
+    leads = (F.col("first.k") == F.col("k")) & (F.col("first.place") == F.col("place"))
     marks = stage(
-        anchors.withColumn("n", F.count(F.lit(1)).over(by_first))
-        .where("n > 1")
-        .withColumn("rn", F.row_number().over(by_stretch.orderBy("k", "place")))
-        .withColumn("n", F.count(F.lit(1)).over(by_stretch))
-        .withColumn("stretches", F.sum((F.col("rn") == 1).cast("long")).over(by_pair))
-        .where("n > 1 or stretches > 1")
-        .select(
+        kept.join(ranked, ["ha", "hb", "hc"]).select(
             "k",
             "place",
             "ha",
             "hb",
-            F.when(F.col("n") == 1, OPEN).when((F.col("rn") == 1) & (F.col("stretches") > 1), BOTH).otherwise(FULL).alias("kind"),
+            F.when(F.col("n") == 1, OPEN).when(leads & (F.col("stretches") > 1), BOTH).otherwise(FULL).alias("kind"),
             (F.col("stretches") > CROWD).alias("crowd"),
         ),
         "marks",
