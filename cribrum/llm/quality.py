@@ -171,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
     return fit([np.frombuffer(t.encode(), np.uint8) for _, _, t in rows], np.array([float(q == 1) for _, q, _ in rows]), prior)
 
 
-def score(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and score: how likely label 1 is, from the bytes of the whole text alone.
+def score(docs: DataFrame, net: ByteNet | None, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns in ``keep`` and ``name``: how likely label 1 is, from the bytes of the whole text alone.
 
     Null counts as empty, and empty texts get a score too; without any labelled
     row to learn from, every score is 0.5.
@@ -185,17 +185,17 @@ def score(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
                 data, offsets = text_bytes(part.column("text"))
                 raws = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
                 value = net.scores(raws) if net is not None else np.full(len(raws), 0.5)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value.astype(np.float64))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value.astype(np.float64))], names=[*keep, name])
 
     table = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
-    return table.mapInArrow(run, f"{fields}, score double")
+    return table.mapInArrow(run, f"{fields}, {name} double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None) -> DataFrame:
     """The documents whose score reaches CUT."""
     net = train(docs if all_docs is None else all_docs, labels)
-    return score(docs, net, docs.columns).where(F.col("score") >= CUT).select(*docs.columns)
+    return score(docs, net, docs.columns, "_likely").where(F.col("_likely") >= CUT).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

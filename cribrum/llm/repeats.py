@@ -190,7 +190,10 @@ def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[
     their runs, and repeat each other.
     """
     arrow_fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
-    keyed = docs.select(*carry, "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("k"))
+    # Carried columns go by names of our own, whatever they are called.
+    given, carry = carry, [f"_c{i}" for i in range(len(carry))]
+    carried = [T.StructField(own, docs.schema[c].dataType) for own, c in zip(carry, given)]
+    keyed = docs.select(*[F.col(c).alias(own) for own, c in zip(carry, given)], "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("k"))
 
     # Counts come from partial aggregates and go back by joins whose two sides are tables of their own,
     # so that a block, pair or stretch that a third of all rows share is split over many tasks.
@@ -262,7 +265,6 @@ def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[
                     names=[*carry, "k", "raw", "runs", "ctxs", *arrow_fields.names],
                 )
 
-    carried = [docs.schema[c] for c in carry]
     key = T.StructField("k", T.LongType())
     settled = stage(
         keyed.join(of_doc, "k", "left").select(*carry, "k", "text", "marks").mapInArrow(
@@ -303,9 +305,8 @@ def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[
 
     names = [*carry, *(f.name for f in fields)]
     waiting = settled.where("raw is not null").select(*carry, "k", "raw", "runs")
-    return settled.where("raw is null").select(*names).unionByName(
-        waiting.join(found, "k", "left").select(*carry, "raw", "runs", "found").mapInArrow(close, T.StructType([*carried, *fields]))
-    )
+    closed = waiting.join(found, "k", "left").select(*carry, "raw", "runs", "found").mapInArrow(close, T.StructType([*carried, *fields]))
+    return settled.where("raw is null").select(*names).unionByName(closed).toDF(*given, *(f.name for f in fields))
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
