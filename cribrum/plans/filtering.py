@@ -191,9 +191,9 @@ def agg29_before_and_after(spark, d):
     return both.groupBy("o_orderpriority", "stage").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.round(F.median("p"), 4).alias("median"))
 
 
-@query("select l_orderkey, l_linenumber, round(case when l_quantity > 0 then -l_extendedprice / l_quantity else 0 end, 6) as eff from lineitem")
+@query("select l_orderkey, l_linenumber, round(case when l_quantity > 0 then -l_extendedprice / l_quantity else 0 end, 8) as eff from lineitem")
 def scl12_ratio_metric(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.efficiency(F.col("l_extendedprice"), F.col("l_quantity"), 6).alias("eff"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.efficiency(F.col("l_extendedprice"), F.col("l_quantity"), 8).alias("eff"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then 0.0 else value end as x from events")
