@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, oracles
 from .decontaminate import op2_decontaminate
 from .html_text import op4_html_text
 from .language_id import op1_language_id
@@ -34,4 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op6_suffix_array_dedup": oracles.OP6,
+    "op8_substring_dedup": oracles.OP8,
+    "op10_near_dedup": oracles.OP10,
+}
