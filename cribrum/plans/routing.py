@@ -87,7 +87,12 @@ def agg31_group_features(spark, d):
     return out.withColumns({f"{g}_sim": F.round(f"{g}_sim", 6) for g in _GROUPS})
 
 
-@query()
+@query(
+    f"with {_REFS}, e as (select distinct item_id as ref_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as e from benchmark), n as (select ref_id, count(*) as n from e group by 1), "
+    "p as (select a.ref_id as l, b.ref_id as r, count(*) as c from e a join e b using (e) group by all), g as (select r.ref_id, b.text, unnest(string_split(site, '|')) as grp from refs r join benchmark b on b.item_id = r.ref_id), "
+    "z as (select x.grp as g1, y.grp as g2, coalesce(p.c / (nx.n + ny.n - p.c), 0) as sim from g x join g y on x.text <> y.text join n nx on nx.ref_id = x.ref_id join n ny on ny.ref_id = y.ref_id left join p on p.l = x.ref_id and p.r = y.ref_id) "
+    "select g1, g2, round(avg(sim), 6) as mean, round(max(sim), 6) as max, count(*) as n from z group by all"
+)
 def agg33_group_similarity(spark, d):
     return X.group_similarity(references(spark, d)).withColumns({"mean": F.round("mean", 6), "max": F.round("max", 6)})
 
