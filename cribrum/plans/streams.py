@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators.lineage import scratch
@@ -55,6 +56,24 @@ def str4_bounded_batches(spark, d):
     return spark.read.schema(f"{_SCHEMA}, batch int").parquet(target).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select count(*) as n, count(distinct event_id) as n_distinct from events")
+def snk4_resume_after_failure(spark, d):
+    """The second micro-batch fails after it has written; the next run repeats it under the same number."""
+    path, target, checkpoint = _files(spark, d), scratch(spark, "rollup"), scratch(spark, "cp")
+    write = S.rollup_writer(target)
+
+    def failing(batch, number):
+        write(batch, number)
+        if number == 1:
+            raise RuntimeError("stopped on purpose")
+
+    try:
+        S.run_idempotent(S.arriving(spark, path, _SCHEMA, 1), failing, checkpoint)
+    except StreamingQueryException:
+        S.run_idempotent(S.arriving(spark, path, _SCHEMA, 1), write, checkpoint)
+    return spark.read.schema(f"{_SCHEMA}, batch int").parquet(target).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("event_id")).alias("n_distinct"))
+
+
 @query("select user_id, round(max(value), 6) as best, count(*) as n from events group by 1")
 def udf3_per_group_function(spark, d):
     """A user's function per group (UDF3)."""
