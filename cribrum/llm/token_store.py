@@ -36,6 +36,9 @@ BLOCK_BYTES = 1 << 20
 #: Chunks between spaces whose ids a worker remembers.
 REMEMBERED = 400_000
 
+#: Letters of Latin-1 and a mark.
+MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.]")
+
 _state: dict = {}
 
 
@@ -57,28 +60,46 @@ class Encoder:
         self.whole = re.compile("|".join([r"\s\s", *special]))
         self.heads: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        new = list(wanted.difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(wanted)
-        known.update(zip(new, self._ids([lead + c for c in new])))
+        self.marks = {m: self._ids(m) for m in ",."}
+
+    def _ids(self, text: str) -> bytes:
+        # One text a call: batches of short texts spend more on their threads than on encoding.
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
+        """Make ``known`` hold all wanted chunks; those that are over what is remembered are returned, to be forgotten.
+
+        A mark that follows letters is cut off by the pre-tokenizer, so a word is
+        encoded once for all marks.
+        """
+        new: dict[str, bytes] = {}
+        for chunk in wanted.difference(known):
+            if MARKED.fullmatch(chunk):
+                word = chunk[:-1]
+                ids = known.get(word) or new.get(word)
+                if ids is None:
+                    ids = new[word] = self._ids(lead + word)
+                new[chunk] = ids + self.marks[chunk[-1]]
+            elif chunk not in new:
+                new[chunk] = self._ids(lead + chunk)
+        known.update(new)
+        return list(new) if len(known) > REMEMBERED else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        direct = set(whole)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if i not in direct}
-        self._learn(self.heads, {c[0] for c in split.values()}, "")
-        self._learn(self.rest, set().union(*(c[1:] for c in split.values())), " ")
+        split: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            if self.whole.search(text):
+                out[i] = self._ids(text)
+            else:
+                split[i] = text.split(" ")
+        over = self._learn(self.heads, {c[0] for c in split.values()}, "")
+        late = self._learn(self.rest, set().union(*(c[1:] for c in split.values())), " ")
         for i, c in split.items():
             out[i] = self.heads[c[0]] + b"".join(map(self.rest.__getitem__, c[1:]))
+        for known, gone in ((self.heads, over), (self.rest, late)):
+            for chunk in gone:
+                del known[chunk]
         end = np.array([END], self.dtype).tobytes()
         return [np.frombuffer(ids + end, self.dtype) for ids in out]
 
