@@ -34,7 +34,7 @@ SAMPLE, DICTIONARY_BYTES = 800, 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
 #: Chunks between spaces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: Letters of Latin-1 and a mark.
 MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.]")
