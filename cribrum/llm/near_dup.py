@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .anchors import Names, mix, word_symbols
 from .repeats import text_bytes
@@ -16,8 +17,10 @@ from .tables import documents, stage
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
-#: Buckets up to this size are compared pair by pair across classes.
+#: Buckets up to this size are compared pair by pair across classes, larger ones by a prefix filter.
 SMALL_BUCKET = 32
+#: What rounding may take from a bound of the prefix filter.
+SLACK = 1e-6
 
 
 def shingles(raw: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +104,44 @@ def _verify_rows(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], chunk: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        node, comp = batch.column("node").to_numpy(), batch.column("comp").to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
+            sets = [shingles(data[offsets[i] : offsets[i + 1]])[0] for i in range(at, stop)]
+            sizes = np.array([len(s) for s in sets])
+            columns = [np.repeat(node[at:stop], sizes), np.repeat(comp[at:stop], sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "comp", "size", "element"])
+            at = stop
+
+
+def prefix_pairs(placed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) across classes that can reach the threshold, out of rows node, comp, text.
+
+    An exact prefix filter.  With shingles in one order, rare ones first, a pair
+    of similarity t has its first common shingle where t of the larger set and
+    2t / (1 + t) of the smaller one are still to come, and t / (1 + t) of both
+    sizes together at either place.
+    """
+    rows = stage(placed.select("node", "comp", "text").mapInArrow(_shingle_rows, "node long, comp long, size long, element long"), "shingles")
+    shared = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "element")
+    ranked = rows.join(shared, "element", "left").withColumn("rest", F.col("size") - F.row_number().over(order) + 1)
+    ranked = stage(ranked.where((F.col("rest") >= threshold * F.col("size") - SLACK) & F.col("df").isNotNull()), "prefixes")
+    of_both = threshold / (1 + threshold)
+    x = ranked.where(F.col("rest") >= 2 * of_both * F.col("size") - SLACK).alias("x")
+    pairs = x.join(ranked.alias("y"), "element").where(
+        (F.col("x.comp") != F.col("y.comp"))
+        & (F.struct("x.size", "x.node") < F.struct("y.size", "y.node"))
+        & (F.col("x.size") >= threshold * F.col("y.size") - SLACK)
+        & (F.least("x.rest", "y.rest") >= of_both * (F.col("x.size") + F.col("y.size")) - SLACK)
+    )
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Columns node, comp: the least node of each node's component, for nodes with edges (a, b)."""
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -124,8 +165,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     share a band of ProbMinHash registers, where shingles weigh as often as they
     occur, and every candidate is verified on the whole texts.  In each bucket
     members are verified against its most central node, the one whose buckets
-    are fullest; then, across classes only, against further centres, and pair
-    by pair in buckets of up to SMALL_BUCKET nodes.  Null, empty and blank texts
+    are fullest; then, across classes only, against two further centres; and then
+    all that share a bucket are compared across classes, pair by pair in buckets of
+    up to SMALL_BUCKET nodes and after a prefix filter in larger ones.  Null, empty and blank texts
     are in classes of their own; rows that repeat share a class.
     """
     nodes = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
@@ -162,7 +204,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     best = star.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
     links = verified(best)
     tried = best.select("a", "b")
-    for turn in range(3):
+    for turn in range(4):
         comp = connected(links)
         placed = crowded.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_buckets = placed.groupBy("bucket").agg(
@@ -172,14 +214,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             more = star.select("a", "b")
         else:
             left = stage(placed.join(open_buckets, "bucket"), "open")
-            # The next centre: the most central node outside the first one's class.
-            first = left.where("node = top.node").select("bucket", F.col("comp").alias("first"))
-            other = left.join(first, "bucket").where("comp <> first").groupBy("bucket").agg(F.max(F.struct("rank", "node", "comp")).alias("next"))
-            more = left.join(other, "bucket").where("comp <> next.comp").select(F.col("node").alias("a"), F.col("next.node").alias("b"))
-            if turn == 2:
+            if turn < 3:
+                # The next centre: the most central node outside the first one's class.
+                first = left.where("node = top.node").select("bucket", F.col("comp").alias("first"))
+                other = left.join(first, "bucket").where("comp <> first").groupBy("bucket").agg(F.max(F.struct("rank", "node", "comp")).alias("next"))
+                more = left.join(other, "bucket").where("comp <> next.comp").select(F.col("node").alias("a"), F.col("next.node").alias("b"))
+            else:
+                # Every pair that is left: pair by pair, or those that the prefix filter lets through.
                 small = left.where(F.col("n") <= SMALL_BUCKET).select("bucket", "node", "comp")
-                pair = small.alias("x").join(small.alias("y"), "bucket").where("x.comp < y.comp")
-                more = more.union(pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+                pair = small.alias("x").join(small.alias("y"), "bucket").where("x.comp < y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+                large = left.where(F.col("n") > SMALL_BUCKET).select("node", "comp").distinct()
+                more = pair.union(prefix_pairs(large.join(texts, "node"), threshold))
         of_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         of_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         fresh = (

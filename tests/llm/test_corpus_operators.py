@@ -111,6 +111,39 @@ def test_near_classes_equal_brute_force(docs, rows):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_links_inside_a_crowded_bucket(spark):
+    """Pairs of near copies that share much of their text with all other pairs, in one bucket for all."""
+    rng = np.random.default_rng(12)
+    base = text(rng, 200)
+    table = []
+    for k in range(45):
+        own = " ".join(f"w{k}x{j}" for j in range(60))
+        table += [(2 * k, f"{base} {own}"), (2 * k + 1, f"{base} {own} and more words here")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in table)]
+    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near == {(2 * k, 2 * k + 1) for k in range(45)}
+    # A single register a band: nearly all texts share each bucket.
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dup.near_classes(docs, bands=12, rows=1).collect()}
+    assert got == {i: (i - i % 2, 2) for i in got} and len(got) == 90
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    rng = np.random.default_rng(21)
+    seeds = [text(rng, 60).split() for _ in range(4)]
+    table = []
+    for i in range(60):
+        words = list(seeds[i % 4])
+        for j in rng.integers(0, len(words), int(rng.integers(0, 4))):
+            words[j] = f"edit{rng.integers(0, 6)}"
+        table.append((i, i, " ".join(words[: int(rng.integers(50, 61))])))
+    rows = spark.createDataFrame(table, "node long, comp long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for *_, t in table)]
+    near = {(a, b) for a, b in itertools.combinations(range(60), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {tuple(sorted(r)) for r in near_dup.prefix_pairs(rows, 0.8).collect()}
+    assert near and near <= got
+
+
 def test_keep_one_leaves_one_of_each_class(docs):
     kept = near_dup.keep_one(docs)
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
