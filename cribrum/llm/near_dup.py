@@ -70,14 +70,15 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, chunk:
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
-            sets = [shingles(data[offsets[i] : offsets[i + 1]]) for i in range(at, stop)]
-            full = [i for i, s in enumerate(sets) if len(s[0])]
+            sets = [shingles(data[offsets[i] : offsets[i + 1]])[0] for i in range(at, stop)]
+            full = [i for i, s in enumerate(sets) if len(s)]
             if full:
-                sizes = np.array([len(sets[i][0]) for i in full])
+                sizes = np.array([len(sets[i]) for i in full])
                 signature = prob_min_hash(
                     np.repeat(np.arange(len(full)), sizes),
-                    np.concatenate([sets[i][0] for i in full]),
-                    np.concatenate([sets[i][1] for i in full]).astype(np.float64),
+                    np.concatenate([sets[i] for i in full]),
+                    # Weight 1 each: registers then agree with the probability of the set similarity that is verified.
+                    np.ones(sizes.sum()),
                     len(full),
                     bands * rows,
                 ).reshape(len(full), bands, rows)
@@ -162,8 +163,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     Documents are linked when the Jaccard similarity of their sets of word
     shingles is at least ``threshold``; classes are what links connect.  Equal
     texts are one node throughout, so copies cost one row each.  Candidates
-    share a band of ProbMinHash registers, where shingles weigh as often as they
-    occur, and every candidate is verified on the whole texts.  In each bucket
+    share a band of ProbMinHash registers, where each distinct shingle has weight 1
+    as in that similarity, and every candidate is verified on the whole texts.  In each bucket
     members are verified against its most central node, the one whose buckets
     are fullest; then, across classes only, against two further centres; and then
     all that share a bucket are compared across classes, pair by pair in buckets of

@@ -144,6 +144,18 @@ def test_prefix_filter_loses_no_pair(spark):
     assert near and near <= got
 
 
+def test_near_copies_that_differ_in_repeat_counts(spark):
+    rng = np.random.default_rng(31)
+    table = []
+    for k in range(20):
+        own = " ".join(f"w{k}x{j}" for j in range(100))
+        line = " ".join(f"l{k}x{j}" for j in range(10))
+        table += [(2 * k, f"{line} {line} {own}"), (2 * k + 1, f"{line} {' '.join([line] * 100)} {own}")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dup.near_classes(docs).collect()}
+    assert got == {i: (i - i % 2, 2) for i in range(40)}
+
+
 def test_keep_one_leaves_one_of_each_class(docs):
     kept = near_dup.keep_one(docs)
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
