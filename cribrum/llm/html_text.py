@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 # Elements of the HTML standard by what they do to text.
+#: Content of these is text up to their end tag, whatever it looks like.
+UNPARSED = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -74,9 +76,15 @@ def blocks(page: str) -> list[Block]:
         del stack[index:]
         return wide
 
-    for token in TOKEN.finditer(page):
+    at_char = 0
+    while token := TOKEN.match(page, at_char):
+        at_char = token.end()
         text = token[0]
         tag = (token[2] or "").lower()
+        if tag in UNPARSED and not token[1] and not token[3].rstrip().endswith("/"):
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at_char)
+            at_char = end.end() if end else len(page)
+            continue
         if skip:
             if tag == skip and token[1]:
                 skip = None

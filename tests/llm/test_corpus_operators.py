@@ -265,6 +265,21 @@ def test_html(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(var i=0;i<n;i++){f(i)}</script>",
+        "<script>if(a<b){} // don't</script>",
+        "<SCRIPT>var t = \"<b title='\";</Script >",
+        "<style>a:before{content:'<x'}</style>",
+        "<title>a <b isn't</title>",
+        "<svg><style>a<b{}</style><script>x<y</script></svg>",
+    ],
+)
+def test_html_after_raw_text(raw):
+    assert html_text.extract(f"<html><head>{raw}</head><body>{raw}<article><p>It's one.</p>{raw}<p>It's two.</p></article></body></html>") == "It's one. It's two."
+
+
 def test_html_of_all_pages(spark):
     """Every generated page: the blocks of its article element."""
     import html as entities
