@@ -37,6 +37,8 @@ MARKS = frozenset(
 ARTICLE_MARKS = frozenset("ad ads advert promo sponsored related recommended sidebar comment comments reply replies".split())
 #: A path is content from this share of the mean score.
 CUT = 0.25
+#: What the score of a path inside an article element counts for.
+ARTICLE_WEIGHT = 2.0
 
 
 @dataclass
@@ -155,8 +157,10 @@ def extract(page: str) -> str:
 
     For each tag path the ratios text length / blocks and punctuation / blocks are
     smoothed over neighbouring paths in page order and fused; a path is content
-    where its fused score reaches a share of the mean.  Paths inside an article element pass,
-    and where there is one, only they do; navigation, forms and blocks marked as apart score 0.
+    where its fused score, which weighs ARTICLE_WEIGHT times as much inside an article
+    element, reaches a share of the mean over paths that are not apart.  Navigation,
+    forms and blocks marked as apart score 0; headings of the article, or of a page
+    without one, pass.
     """
     found = [(b, t) for b in blocks(page) if (t := _clean(b.parts))]
     if not found:
@@ -180,10 +184,11 @@ def extract(page: str) -> str:
     mean = sum(f for f, k in zip(fused, keys) if not k[2]) / max(1, sum(not k[2] for k in keys))
     keep = set()
     for key, score in zip(keys, fused):
-        _, inside, apart = key
+        path, inside, apart = key
         if apart:
             continue
-        if inside or (not has_article and (score >= CUT * mean or key[0] and key[0][-1].split(".")[0] in HEADINGS)):
+        headline = path and path[-1].split(".")[0] in HEADINGS and (inside or not has_article)
+        if headline or score * (ARTICLE_WEIGHT if inside else 1) >= CUT * mean:
             keep.add(key)
     return " ".join(t for b, t in found if (b.path, b.inside, b.apart) in keep)
 

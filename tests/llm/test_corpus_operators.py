@@ -280,6 +280,15 @@ def test_html_after_raw_text(raw):
     assert html_text.extract(f"<html><head>{raw}</head><body>{raw}<article><p>It's one.</p>{raw}<p>It's two.</p></article></body></html>") == "It's one. It's two."
 
 
+def test_html_scores_decide_with_an_article():
+    story = "".join(f"<p>This is sentence {i} of the story, told at length; it has words, commas, and an end.</p>" for i in range(9))
+    teaser = f"<body><div class='story'>{story}</div><section><article><p>Read more</p></article></section></body>"
+    assert "sentence 8 of the story" in html_text.extract(teaser)
+    links = "<div><div><span>Share</span></div><ul><li>Like</li><li>Post</li></ul><ol><li>Mail</li></ol></div>"
+    got = html_text.extract(f"<body><article><h1>Title</h1>{story}{links}</article></body>")
+    assert got.startswith("Title This is sentence 0") and "sentence 8" in got and "Mail" not in got
+
+
 def test_html_of_all_pages(spark):
     """Every generated page: the blocks of its article element."""
     import html as entities
