@@ -12,6 +12,9 @@ MASKS = ("11011011", "1110010111", "1011010011")
 #: An overlap counts from this many agreeing tokens and this share of the item.
 MIN_MATCHED = 8
 MIN_SHARE = 0.5
+#: A document is dropped, too, for LOCAL tokens in a row of which LOCAL_MATCHED agree, or for alignments that
+#: together reach the share, their shifts at most NEAR tokens apart.
+LOCAL, LOCAL_MATCHED, NEAR = 13, 11, 8
 #: Rows of benchmark seeds up to which they are broadcast; beyond, seeds are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -36,23 +39,19 @@ def seed_rows(table: DataFrame, keep: list[str]) -> DataFrame:
     return spots.select(*keep, "h", "at", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
-def _aligned(doc: Column, item: Column, shift: Column) -> Column:
-    """How many tokens agree when item token 0 lies at doc token ``shift``."""
+def _agreement(doc: Column, item: Column, shift: Column) -> Column:
+    """Token by token of the overlap, 1 where they agree when item token 0 lies at doc token ``shift``."""
     start = F.greatest(shift, F.lit(0))
     length = F.least(shift + F.size(item), F.size(doc)) - start
-    pairs = F.zip_with(F.slice(doc, start + 1, length), F.slice(item, start - shift + 1, length), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
+    return F.zip_with(F.slice(doc, start + 1, length), F.slice(item, start - shift + 1, length), lambda x, y: (x == y).cast("int"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows doc_id, item_id, n_matched, n_tokens: items found in documents.
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
-    Per document and item, the best alignment that a seed hit proposes: n_matched
-    of the item's n_tokens tokens agree in place.  Reported from MIN_MATCHED
-    tokens and MIN_SHARE of the item.  Items shorter than the shortest mask are
-    too short to tell and never reported; null and empty texts match nothing;
-    rows that repeat a doc_id count as one document.
-    """
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows doc_id, item_id, n_tokens, shift, agree: the alignments that seeds propose; some may repeat."""
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item"))
     seeds = seed_rows(items.select("item_id", F.col("item").alias("h")), ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
     hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
@@ -65,8 +64,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         spots = seed_rows(hashed, ["doc_id"]).select("doc_id", "at", "seed")
         hits = spots.join(seeds, "seed").select("doc_id", "item_id", shift.alias("shift")).distinct()
         hits = hits.join(items, "item_id").join(hashed, "doc_id")
+    return hits.select("doc_id", "item_id", F.size("item").alias("n_tokens"), "shift", _agreement(F.col("h"), F.col("item"), F.col("shift")).alias("agree"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows doc_id, item_id, n_matched, n_tokens: items found in documents.
+
+    Per document and item, the best alignment that a seed hit proposes: n_matched
+    of the item's n_tokens tokens agree in place.  Reported from MIN_MATCHED
+    tokens and MIN_SHARE of the item.  Items shorter than the shortest mask are
+    too short to tell and never reported; null and empty texts match nothing;
+    rows that repeat a doc_id count as one document.
+    """
     return (
-        hits.select("doc_id", "item_id", F.size("item").alias("n_tokens"), _aligned(F.col("h"), F.col("item"), F.col("shift")).alias("matched"))
+        _hits(docs, benchmark).select("doc_id", "item_id", "n_tokens", _total(F.col("agree")).alias("matched"))
         .groupBy("doc_id", "item_id", "n_tokens")
         .agg(F.max("matched").alias("n_matched"))
         .where((F.col("n_matched") >= MIN_MATCHED) & (F.col("n_matched") >= MIN_SHARE * F.col("n_tokens")))
@@ -75,8 +86,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found; rows without doc_id stay."""
-    found = overlaps(docs, benchmark).select("doc_id").distinct()
+    """The documents in which no benchmark item is found; rows without doc_id stay.
+
+    An item is found as in ``overlaps``, or where LOCAL_MATCHED of LOCAL tokens in
+    a row agree, or where alignments with nearby shifts (words put in or left
+    out) have MIN_MATCHED tokens and MIN_SHARE of the item together.
+    """
+    longest = F.when(
+        F.size("agree") >= LOCAL,
+        F.array_max(F.transform(F.sequence(F.lit(1), F.size("agree") - LOCAL + 1), lambda at: _total(F.slice("agree", at, LOCAL)))),
+    ).otherwise(0)
+    hits = _hits(docs, benchmark).select("doc_id", "item_id", "n_tokens", F.struct("shift", _total(F.col("agree")).alias("matched"), longest.alias("local")).alias("hit"))
+    each = hits.groupBy("doc_id", "item_id", "n_tokens").agg(F.collect_set("hit").alias("hits"))
+
+    def enough(x: Column) -> Column:
+        near = F.filter("hits", lambda y: F.abs(y["shift"] - x["shift"]) <= NEAR)
+        matched = _total(F.transform(near, lambda y: y["matched"]))
+        return (x["local"] >= LOCAL_MATCHED) | (matched >= MIN_MATCHED) & (matched >= MIN_SHARE * F.col("n_tokens"))
+
+    found = each.where(F.exists("hits", enough)).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

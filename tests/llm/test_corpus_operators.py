@@ -190,6 +190,16 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_partial_items_are_dropped(spark):
+    rng = np.random.default_rng(9)
+    item = [f"i{j}" for j in range(59)]
+    short = [f"s{j}" for j in range(17)]
+    table = [(1, item[20:45]), (2, short[:8] + short[9:]), (3, item[20:28]), (4, [])]
+    docs = spark.createDataFrame([(i, f"{text(rng, 30)} {' '.join(w)} {text(rng, 30)}") for i, w in table], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4]
+
+
 def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.overlaps(d, b).collect()))
