@@ -1,11 +1,12 @@
 """Numpy kernels over symbol sequences (bytes, or hashed words) inside Spark tasks.
 
-A *symbol sequence* is a uint64 array.  Substrings are named by a polynomial
-hash modulo 2**64 read off a prefix sum, so that any range of a chunk gets its
-name in constant time.  Every window of ``width`` symbols has one *anchor*: the
-leftmost position among its first ``choices`` ones whose ``gram``-symbol name
-has the least mixed value.  Equal windows have equal anchors at equal offsets,
-so repeats need be looked for among anchors only.
+A *symbol sequence* is a uint64 array.  Substrings are named by two polynomial
+hashes modulo the prime 2**31 - 1 with bases of their own, read off prefix sums,
+so that any range of a chunk gets its name (62 bits, scrambled) in constant
+time.  Every window of ``width`` symbols has one *anchor*: the leftmost position
+among its first ``choices`` ones whose ``gram``-symbol name has the least mixed
+value.  Equal windows have equal anchors at equal offsets, so repeats need be
+looked for among anchors only.
 """
 
 from __future__ import annotations
@@ -13,28 +14,38 @@ from __future__ import annotations
 import numpy as np
 
 CHUNK = 1 << 20
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_tables: dict[str, np.ndarray] = {}
+PRIME = np.uint64((1 << 31) - 1)
+_HALF = np.uint64(31)
+_rng = np.random.default_rng(20240229)
+BASES = [int(x) for x in _rng.integers(1 << 20, (1 << 31) - 2, 2)]
+#: Two random codes below PRIME for each byte value.
+BYTE_CODES = _rng.integers(1, (1 << 31) - 2, (2, 256)).astype(np.uint64)
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n at least."""
+    table = _tables.get(base)
+    if table is None or len(table) < n:
+        size = max(n, CHUNK + (1 << 16))
+        table = np.ones(1, np.uint64)
+        while len(table) < size:
+            table = np.concatenate([table, table * np.uint64(pow(base, len(table), int(PRIME))) % PRIME])
+        _tables[base] = table
+    return table
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _tables.get("pow")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + (1 << 16))
-        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-        for name, base in (("pow", _MULT), ("inv", inverse)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            _tables[name] = table
-    return _tables["pow"], _tables["inv"]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, not fully reduced: below 2**33 for any x."""
+    return (x & PRIME) + (x >> _HALF)
+
 
+def byte_halves(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return BYTE_CODES[0][raw], BYTE_CODES[1][raw]
 
-def byte_codes() -> np.ndarray:
-    """A random 64-bit code for each byte value."""
-    if "codes" not in _tables:
-        _tables["codes"] = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return _tables["codes"]
+
+def word_halves(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return symbols & PRIME, (symbols >> np.uint64(32)) & PRIME
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,20 +59,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Names:
-    """Names of substrings of one chunk of symbols."""
-
-    def __init__(self, symbols: np.ndarray):
-        power, self.inverse = _powers(len(symbols) + 1)
-        self.prefix = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * power[: len(symbols)], out=self.prefix[1:])
+    """Names of substrings of one chunk of symbols, given as two halves below 2**31."""
+
+    def __init__(self, halves: tuple[np.ndarray, np.ndarray]):
+        n = len(halves[0])
+        self.prefix, self.inverse = [], []
+        for codes, base in zip(halves, BASES):
+            # Folded terms are below 2**32, so sums of up to 2**31 of them fit.
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_fold(codes * _powers(base, n)[:n]), out=sums[1:])
+            self.prefix.append(sums)
+            self.inverse.append(_powers(pow(base, -1, int(PRIME)), n + 1))
+
+    def _half(self, h: int, start, stop) -> np.ndarray:
+        # A difference of sums, folded twice, is below 2**31 + 2**3.
+        part = _fold(_fold(self.prefix[h][stop] - self.prefix[h][start]))
+        return part * self.inverse[h][start] % PRIME
 
     def at(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[stop] - self.prefix[start]) * self.inverse[start])
+        return mix((self._half(0, start, stop) << _HALF) | self._half(1, start, stop))
 
     def all(self, length: int) -> np.ndarray:
         """The names of all substrings of this length, by start."""
-        n = len(self.prefix) - length
-        return mix((self.prefix[length:] - self.prefix[:n]) * self.inverse[:n])
+        n = len(self.prefix[0]) - length
+        return self.at(slice(0, n), slice(length, length + n)) if n > 0 else np.zeros(0, np.uint64)
+
+    def order(self, length: int) -> np.ndarray:
+        """Mixed values of all substrings of this length that only serve to choose among them."""
+        n = len(self.prefix[0]) - length
+        return mix(self._half(0, slice(0, n), slice(length, length + n))) if n > 0 else np.zeros(0, np.uint64)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -94,7 +120,7 @@ def word_symbols(raw: np.ndarray) -> np.ndarray:
             stop += 1
         piece = raw[at:stop]
         starts, ends = word_spans(piece)
-        names = Names(byte_codes()[piece])
+        names = Names(byte_halves(piece))
         parts.append(mix(names.at(starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1))
         at = stop
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -125,7 +151,7 @@ def window_anchors(sizes: np.ndarray, names: Names, width: int, choices: int, gr
     window start that has this anchor, all as positions in the chunk.
     """
     total = int(sizes.sum())
-    order = names.all(gram)
+    order = names.order(gram)
     slots = np.uint64((1 << 24) - 1)
     order = (order & ~slots) | np.arange(len(order), dtype=np.uint64)
     least = (sliding_min(order, choices) & slots).astype(np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .anchors import Names, mix, word_symbols
+from .anchors import Names, mix, word_halves, word_symbols
 from .repeats import text_bytes
 from .tables import documents, stage
 
@@ -31,7 +31,7 @@ def shingles(raw: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     words = word_symbols(raw)
     if not len(words):
         return words, np.zeros(0, np.int64)
-    return np.unique(Names(words).all(min(size, len(words))), return_counts=True)
+    return np.unique(Names(word_halves(words)).all(min(size, len(words))), return_counts=True)
 
 
 def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:

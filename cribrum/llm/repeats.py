@@ -1,12 +1,11 @@
-"""Exact removal of repeated windows, shared by the byte and the word operator.
+"""Exact removal of repeated windows: the kernels and the passes over documents that both dedup operators share.
 
 Positions looked at are the anchors of ``anchors.py`` (about two in every
-``choices`` symbols), found while the documents are scanned once.  Anchors are
-sorted by rank pairs at growing offsets: (name of the first block), then (that,
-name of the next block), then the whole stretch of all windows they stand for.
-What is unique at one length is dropped before the next.  Where a stretch as a
-whole repeats, all its windows do; anchors that share both blocks but not the
-stretch (an edit is near) are compared window by window.
+``choices`` symbols), found while the documents are scanned.  An anchor stands
+for the windows that have it, which together cover a *stretch* of the text.
+Equal stretches are one node with a count.  How nodes are told apart at growing
+lengths, and how the windows of stretches that differ are compared, is for the
+operators: ``suffix_array_dedup.py`` and ``substring_dedup.py``.
 """
 
 from __future__ import annotations
@@ -21,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import Names, byte_codes, mix, segments, union_runs, window_anchors, word_symbols
-from .tables import stage
-
-#: Groups of more stretches than this go from task to task by window, not as one group.
-CROWD = 4096
+from .anchors import Names, byte_halves, segments, union_runs, window_anchors, word_halves, word_symbols
+from .tables import hidden, stage
 
+#: What identifies a document row: 96 bits of hashes of doc_id and text.
+KEY = ["k", "j"]
+#: A stretch: repeated as a whole; once only, its windows are open; repeated, and what open ones are compared with.
 FULL, OPEN, BOTH = 0, 1, 2
 
 
@@ -60,172 +59,144 @@ class Windows:
     def symbols(self, raw: np.ndarray) -> np.ndarray:
         return word_symbols(raw) if self.words else raw
 
-    def codes(self, symbols: np.ndarray) -> np.ndarray:
-        return symbols if self.words else byte_codes()[symbols]
+    def names(self, symbols: np.ndarray) -> Names:
+        return Names(word_halves(symbols) if self.words else byte_halves(symbols))
+
+    def stretch(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, first and last window start of a place."""
+        at = place >> 16
+        return at, at - ((place >> 8) & 255), at - (place & 255)
 
 
 def _anchor_rows(spec: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row an anchor: where it is, the names of the two blocks behind it and of its stretch.
+
+    ``place`` packs the anchor and how far before it the first window starts and
+    the last one ends to start.
+    """
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        keys = batch.column("k").to_numpy(zero_copy_only=False)
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in KEY]
         docs = [spec.symbols(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         for group in segments([len(d) for d in docs], spec.width):
             chunk = np.concatenate([docs[k][a:b] for k, a, b in group])
             sizes = np.array([b - a for _, a, b in group])
-            names = Names(spec.codes(chunk))
+            names = spec.names(chunk)
             owner, at, first, last = window_anchors(sizes, names, spec.width, spec.choices, spec.gram)
             shift = np.array([a for _, a, _ in group]) - np.concatenate([[0], np.cumsum(sizes)[:-1]])
             place = ((at + shift[owner]) << 16) | ((at - first) << 8) | (at - last)
+            row = np.array([k for k, _, _ in group])[owner]
+            second = names.at(at + spec.block, at + 2 * spec.block) >> np.uint64(33)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys[np.array([k for k, _, _ in group])][owner]),
+                    *(pa.array(key[row]) for key in keys),
                     pa.array(place),
                     pa.array(names.at(at, at + spec.block).view(np.int64)),
-                    pa.array((names.at(at + spec.block, at + 2 * spec.block) >> np.uint64(33)).astype(np.int32)),
+                    pa.array(second.astype(np.int32)),
                     pa.array(names.at(first, last + spec.width).view(np.int64)),
                 ],
-                names=["k", "place", "ha", "hb", "hc"],
+                names=[*KEY, "place", "ha", "hb", "hc"],
             )
 
 
-def _windows_of(spec: Windows, group, place, ctx: list[bytes]):
-    """Names of the windows of many stretches: owner, window start in the document, and a key that equal windows share."""
-    kind = np.uint64 if spec.words else np.uint8
-    parts = [np.frombuffer(c, kind) for c in ctx]
-    sizes = np.array([len(p) for p in parts])
-    names = Names(spec.codes(np.concatenate(parts)))
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    before = (place >> 8) & 255
-    counts = sizes - spec.width + 1
-    owner = np.repeat(np.arange(len(parts)), counts)
-    step = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    at = begins[owner] + step
-    key = mix(names.at(at, at + spec.width) + mix(group[owner] + (before[owner] - step).astype(np.uint64)))
-    return owner, (place >> 16)[owner] - before[owner] + step, key
-
-
-def _spans(spec: Windows, keys, owner, start, repeated):
-    """Rows (k, start, stop): runs of repeated windows of each owner."""
-    owner, start = owner[repeated], start[repeated]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(owner))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[owner[first]]), pa.array(start[first]), pa.array(start[last] + spec.width)], names=["k", "start", "stop"]
-    )
-
-
-def _compare_groups(spec: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (ha, hb): windows that two stretches of one group share."""
-
-    def columns(table: pa.Table):
-        ha = table.column("ha").to_numpy().view(np.uint64)
-        return ha, mix(ha + table.column("hb").to_numpy().astype(np.uint64))
-
-    def resolve(table: pa.Table):
-        _, group = columns(table)
-        keys, place, kind = (table.column(c).to_numpy() for c in ("k", "place", "kind"))
-        owner, start, key = _windows_of(spec, group, place, table.column("ctx").to_pylist())
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        return _spans(spec, keys, owner, start, (count[inverse] > 1) & (kind[owner] == OPEN))
-
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        _, group = columns(held)
-        edge = np.flatnonzero(group[1:] != group[:-1]) + 1
-        if held.num_rows >= 2 * CROWD and len(edge):
-            cuts = [0, *edge[np.searchsorted(edge, np.arange(CROWD, edge[-1], CROWD))], edge[-1]]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    yield resolve(held.slice(a, b - a))
-            held = held.slice(int(edge[-1]))
-    if held is not None and held.num_rows:
-        yield resolve(held)
-
-
-def _explode_windows(spec: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, CROWD):
-            part = batch.slice(at, CROWD)
-            group = mix(part.column("ha").to_numpy().view(np.uint64) + part.column("hb").to_numpy().astype(np.uint64))
-            keys, place, kind = (part.column(c).to_numpy() for c in ("k", "place", "kind"))
-            owner, start, key = _windows_of(spec, group, place, part.column("ctx").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[owner]), pa.array(start), pa.array(key.view(np.int64)), pa.array(kind[owner])], names=["k", "start", "w", "kind"]
-            )
-
-
-_CTX = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("ha", T.LongType()),
-            T.StructField("hb", T.IntegerType()),
-            T.StructField("place", T.LongType()),
-            T.StructField("kind", T.IntegerType()),
-            T.StructField("crowd", T.BooleanType()),
-            T.StructField("ctx", T.BinaryType()),
-        ]
-    )
-)
-_CTX_ARROW = pa.list_(
-    pa.struct([("ha", pa.int64()), ("hb", pa.int32()), ("place", pa.int64()), ("kind", pa.int32()), ("crowd", pa.bool_()), ("ctx", pa.binary())])
-)
+@dataclass
+class Stretches:
+    """A batch of stretches with their symbols, for the comparison of single windows."""
+
+    keys: list[np.ndarray]
+    kind: np.ndarray
+    chunk: np.ndarray
+    at: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+
+    @staticmethod
+    def of(spec: Windows, batch) -> Stretches:
+        """``at`` is where each window starts in ``chunk``, ``start`` where it starts in its document."""
+        parts = [np.frombuffer(c, np.uint64 if spec.words else np.uint8) for c in batch.column("ctx").to_pylist()]
+        sizes = np.array([len(p) for p in parts])
+        counts = sizes - spec.width + 1
+        owner = np.repeat(np.arange(len(parts)), counts)
+        step = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        keys = [batch.column(c).to_numpy() for c in KEY]
+        _, first, _ = spec.stretch(batch.column("place").to_numpy())
+        return Stretches(keys, batch.column("kind").to_numpy(), np.concatenate(parts), begins[owner] + step, owner, first[owner] + step)
+
+    def spans(self, spec: Windows, repeated: np.ndarray) -> pa.RecordBatch:
+        """Rows k, j, start, stop: runs of the chosen windows of each stretch."""
+        owner, start = self.owner[repeated], self.start[repeated]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(owner))[: len(first)] - 1
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(key[owner[first]]) for key in self.keys), pa.array(start[first]), pa.array(start[last] + spec.width)], names=[*KEY, "start", "stop"]
+        )
+
+
+_CTX_ARROW = pa.list_(pa.struct([("rank", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("crowd", pa.bool_()), ("ctx", pa.binary())]))
+_CTX = "array<struct<rank:long,place:long,kind:int,crowd:boolean,ctx:binary>>"
 
 Finish = Callable[[bytes, np.ndarray, np.ndarray], tuple]
+#: Nodes (ha, hb, hc, n, first) to those whose blocks repeat, with their group as ``rank``.
+TellApart = Callable[[DataFrame], DataFrame]
+#: Stretches (k, j, rank, place, kind, crowd, ctx) to the runs (k, j, start, stop) of their open windows that repeat.
+Compare = Callable[[DataFrame], DataFrame]
 
 
-def _pairs(runs) -> list[int]:
-    return [int(x) for x in np.concatenate(runs)]
+def keep_pieces(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> bytes:
+    """The bytes outside the runs."""
+    if not len(starts):
+        return raw
+    edges = [0, *(int(x) for pair in zip(starts, stops) for x in pair), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[T.StructField], carry: list[str]) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, spec: Windows, tell_apart: TellApart, compare: Compare, crowd: int, finish: Finish, fields: list[T.StructField], carry: list[str]
+) -> DataFrame:
     """One row per document: the ``carry`` columns and what ``finish`` makes of it.
 
-    ``docs`` has text and the carried columns.  ``finish(raw, starts, stops)``
+    ``docs`` has doc_id, text and the carried columns.  ``finish(raw, starts, stops)``
     gets the UTF-8 bytes of the whole text and the runs of symbols to remove.
     Null texts count as empty; rows alike in id and text share their key and so
     their runs, and repeat each other.
     """
     arrow_fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
     # Carried columns go by names of our own, whatever they are called.
-    given, carry = carry, [f"_c{i}" for i in range(len(carry))]
-    carried = [T.StructField(own, docs.schema[c].dataType) for own, c in zip(carry, given)]
-    keyed = docs.select(*[F.col(c).alias(own) for own, c in zip(carry, given)], "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("k"))
+    table, names = hidden(docs, ["doc_id", "text"])
+    given, carry = carry, [names[c] for c in carry]
+    carried = [T.StructField(c, table.schema[c].dataType) for c in carry]
+    ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))]
+    keyed = table.select(*carry, F.col("text").alias("_text"), F.xxhash64(*ident).alias("k"), F.hash(F.lit(7), *ident).alias("j"))
 
     # Counts come from partial aggregates and go back by joins whose two sides are tables of their own,
     # so that a block, pair or stretch that a third of all rows share is split over many tasks.
-    anchors = keyed.select("k", "text").mapInArrow(lambda b: _anchor_rows(spec, b), "k long, place long, ha long, hb int, hc long")
+    anchors = keyed.select(*KEY, F.col("_text").alias("text")).mapInArrow(lambda b: _anchor_rows(spec, b), "k long, j int, place long, ha long, hb int, hc long")
     twice = stage(anchors.groupBy("ha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ha"), "blocks")
     kept = stage(anchors.join(twice, "ha", "left_semi"), "anchors")
-    stretch = stage(kept.groupBy("ha", "hb", "hc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("first")), "stretches")
-    pair = stage(stretch.groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("stretches")).where("stretches > 1"), "pairs")
-    ranked = stage(
-        stretch.join(pair, ["ha", "hb"], "left").withColumn("stretches", F.coalesce("stretches", F.lit(1))).where("n > 1 or stretches > 1"), "ranked"
-    )
-    leads = (F.col("first.k") == F.col("k")) & (F.col("first.place") == F.col("place"))
-    marks = stage(
-        kept.join(ranked, ["ha", "hb", "hc"]).select(
-            "k",
-            "place",
-            "ha",
-            "hb",
-            F.when(F.col("n") == 1, OPEN).when(leads & (F.col("stretches") > 1), BOTH).otherwise(FULL).alias("kind"),
-            (F.col("stretches") > CROWD).alias("crowd"),
-        ),
-        "marks",
-    )
-    of_doc = marks.groupBy("k").agg(
-        F.collect_list(F.struct("place", "kind", F.when(F.col("kind") != FULL, F.col("ha")).alias("ha"), "hb", "crowd")).alias("marks")
+    nodes = stage(kept.groupBy("ha", "hb", "hc").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("first")), "stretches")
+    ranked = tell_apart(nodes)
+    groups = stage(ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("stretches")).where("stretches > 1"), "groups")
+    ranked = stage(ranked.join(groups, "rank", "left").withColumn("stretches", F.coalesce("stretches", F.lit(1))).where("n > 1 or stretches > 1"), "ranked")
+    leads = F.col("first") == F.struct(*KEY, "place")
+    marks = kept.join(ranked, ["ha", "hb", "hc"]).select(
+        *KEY,
+        "place",
+        F.when(F.col("n") == 1, OPEN).when(leads & (F.col("stretches") > 1), BOTH).otherwise(FULL).alias("kind"),
+        "rank",
+        (F.col("stretches") > crowd).alias("crowd"),
     )
+    # A set: rows that repeat as a whole have the same marks, which count once.
+    of_doc = marks.groupBy(*KEY).agg(F.collect_set(F.struct("place", "kind", F.when(F.col("kind") != FULL, F.col("rank")).alias("rank"), "crowd")).alias("marks"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents whose marks are all of stretches that repeat as a whole are done; others give the symbols of the rest and wait."""
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                data, offsets = text_bytes(batch.column("text"))
+                data, offsets = text_bytes(batch.column("_text"))
                 marks = batch.column("marks")
                 text, runs, ctxs, done = [], [], [], []
                 for i in range(batch.num_rows):
@@ -234,64 +205,39 @@ def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[
                     ctx = []
                     if marks[i].is_valid and len(marks[i].values):
                         m = marks[i].values
-                        place, kind = (m.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                        at, before, behind = place >> 16, (place >> 8) & 255, place & 255
-                        full = kind != OPEN
-                        starts, stops = union_runs((at - before)[full], (at - behind)[full] + spec.width)
+                        place, kind = (m.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                        _, first, last = spec.stretch(place)
+                        starts, stops = union_runs(first[kind != OPEN], last[kind != OPEN] + spec.width)
                         if (kind != FULL).any():
                             symbols = spec.symbols(raw)
-                            ha, hb, crowd = (m.field(j) for j in (2, 3, 4))
-                            for j in np.flatnonzero(kind != FULL):
-                                a = at[j]
-                                ctx.append(
-                                    {
-                                        "ha": ha[j].as_py(),
-                                        "hb": hb[j].as_py(),
-                                        "place": int(place[j]),
-                                        "kind": int(kind[j]),
-                                        "crowd": crowd[j].as_py(),
-                                        "ctx": symbols[a - before[j] : a - behind[j] + spec.width].tobytes(),
-                                    }
-                                )
+                            for c in np.flatnonzero(kind != FULL):
+                                piece = symbols[first[c] : last[c] + spec.width].tobytes()
+                                ctx.append({"rank": m.field(2)[c].as_py(), "place": int(place[c]), "kind": int(kind[c]), "crowd": m.field(3)[c].as_py(), "ctx": piece})
                     wait = any(c["kind"] == OPEN for c in ctx)
                     text.append(raw.tobytes() if wait else None)
-                    runs.append(_pairs((starts, stops)) if wait else None)
+                    runs.append([int(x) for x in np.concatenate((starts, stops))] if wait else None)
                     ctxs.append(ctx)
                     done.append((None,) * len(fields) if wait else finish(raw.tobytes(), starts, stops))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in carry]
-                    + [batch.column("k"), pa.array(text, pa.binary()), pa.array(runs, pa.list_(pa.int64())), pa.array(ctxs, _CTX_ARROW)]
+                    [batch.column(c) for c in [*carry, *KEY]]
+                    + [pa.array(text, pa.binary()), pa.array(runs, pa.list_(pa.int64())), pa.array(ctxs, _CTX_ARROW)]
                     + [pa.array(x, f.type) for x, f in zip(zip(*done), arrow_fields)],
-                    names=[*carry, "k", "raw", "runs", "ctxs", *arrow_fields.names],
+                    names=[*carry, *KEY, "_raw", "_runs", "_ctxs", *arrow_fields.names],
                 )
 
-    key = T.StructField("k", T.LongType())
-    settled = stage(
-        keyed.join(of_doc, "k", "left").select(*carry, "k", "text", "marks").mapInArrow(
-            settle,
-            T.StructType([*carried, key, T.StructField("raw", T.BinaryType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("ctxs", _CTX), *fields]),
-        ),
-        "settled",
-    )
+    out = T.StructType([*carried, *T.StructType.fromDDL(f"k long, j int, _raw binary, _runs array<long>, _ctxs {_CTX}").fields, *fields])
+    settled = stage(keyed.join(of_doc, KEY, "left").select(*carry, *KEY, "_text", "marks").mapInArrow(settle, out), "settled")
 
-    stretches = settled.select("k", F.explode("ctxs").alias("c")).select("k", "c.*")
-    small = (
-        stretches.where("not crowd")
-        .repartition("ha", "hb")
-        .sortWithinPartitions("ha", "hb")
-        .mapInArrow(lambda b: _compare_groups(spec, b), "k long, start long, stop long")
-    )
-    windows = stretches.where("crowd").mapInArrow(lambda b: _explode_windows(spec, b), "k long, start long, w long, kind int")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    crowd = windows.where(F.col("kind") == OPEN).join(twice, "w", "left_semi").select("k", "start", (F.col("start") + spec.width).alias("stop"))
-    found = small.unionByName(crowd).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    # Rows that repeat give the same stretch; windows of one row must not be taken for repeats of themselves.
+    stretches = settled.select(*KEY, F.explode("_ctxs").alias("c")).select(*KEY, "c.*").dropDuplicates([*KEY, "place"])
+    found = compare(stretches).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 done = []
-                for raw, runs, more in zip(batch.column("raw"), batch.column("runs"), batch.column("found")):
+                for raw, runs, more in zip(batch.column("_raw"), batch.column("_runs"), batch.column("found")):
                     runs = np.array(runs.as_py(), np.int64)
                     starts, stops = runs[: len(runs) // 2], runs[len(runs) // 2 :]
                     if more.is_valid:
@@ -303,10 +249,9 @@ def remove_repeats(docs: DataFrame, spec: Windows, finish: Finish, fields: list[
                     names=[*carry, *arrow_fields.names],
                 )
 
-    names = [*carry, *(f.name for f in fields)]
-    waiting = settled.where("raw is not null").select(*carry, "k", "raw", "runs")
-    closed = waiting.join(found, "k", "left").select(*carry, "raw", "runs", "found").mapInArrow(close, T.StructType([*carried, *fields]))
-    return settled.where("raw is null").select(*names).unionByName(closed).toDF(*given, *(f.name for f in fields))
+    waiting = settled.where("_raw is not null").select(*carry, *KEY, "_raw", "_runs")
+    closed = waiting.join(found, KEY, "left").select(*carry, "_raw", "_runs", "found").mapInArrow(close, T.StructType([*carried, *fields]))
+    return settled.where("_raw is null").select(*carry, *(f.name for f in fields)).unionByName(closed).toDF(*given, *(f.name for f in fields))
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

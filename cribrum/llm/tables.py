@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def hidden(df: DataFrame, used: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The table with all columns but ``used`` under names of our own, and the new name of each column.
+
+    So columns whose names hold dots or back-quotes, differ from ours in case only
+    or are those of intermediate columns don't disturb.  Column order stays, so
+    ``toDF(*df.columns)`` undoes it.
+    """
+    names = {c: c if c in used else f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def in_order(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Adds whole numbers that rise with ``columns``: rows are sorted over range partitions and numbered within them."""
+    ordered = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return ordered.withColumn(name, F.monotonically_increasing_id())
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether the table has at most that many rows, and so may be broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

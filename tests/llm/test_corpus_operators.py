@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cribrum.llm import decontaminate, html_text, language_id, media, near_dup, packing, quality, registry, repeats, substring_dedup, suffix_array_dedup, token_store
+from cribrum.llm import anchors, decontaminate, html_text, language_id, media, near_dup, packing, quality, registry, substring_dedup, suffix_array_dedup, token_store
 from cribrum.llm.tables import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -59,7 +59,9 @@ def covered(sequences, width):
     return out
 
 
-def test_suffix_array_equals_brute_force(docs, rows):
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_suffix_array_equals_brute_force(docs, rows, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_array_dedup, "CROWD", crowd)  # groups of more stretches than this are sorted window by window
     raws = [(t or "").encode() for _, t in rows]
     want = []
     for (i, _), raw, gone in zip(rows, raws, covered(raws, 200)):
@@ -78,14 +80,29 @@ def test_suffix_array_text(docs, rows):
     assert out.where("n_chars <> length(text) or k <> 1 or node <> 'z'").count() == 0
 
 
-def test_substring_equals_brute_force(docs, rows, monkeypatch):
+def test_substring_equals_brute_force(docs, rows):
     split = [tuple((t or "").encode().split()) for _, t in rows]
     want = sorted(
         ((i, len(w), int(g.sum()), hashlib.sha256(b" ".join(x for x, gone in zip(w, g) if not gone)).hexdigest()) for (i, _), w, g in zip(rows, split, covered(split, 35))), key=str
     )
     assert sorted((tuple(r) for r in substring_dedup.digest_windows(docs).collect()), key=str) == want
-    monkeypatch.setattr(repeats, "CROWD", 2)  # groups of more stretches than this take the route for crowds
-    assert sorted((tuple(r) for r in substring_dedup.digest_windows(docs).collect()), key=str) == want
+
+
+def test_repeats_of_thue_morse_words(spark):
+    """Words for which a polynomial hash modulo a power of two has one value, whatever its base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    assert anchors.word_symbols(np.frombuffer(one.encode(), np.uint8)) != anchors.word_symbols(np.frombuffer(other.encode(), np.uint8))
+    fill = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([*fill[:17], one, *fill[17:]])), (2, " ".join([*fill[:17], other, *fill[17:]]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.digest_windows(docs).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("dedup", [suffix_array_dedup.digest_repeats, substring_dedup.digest_windows])
+def test_repeats_of_empty_and_unique_tables(spark, empty, dedup):
+    assert dedup(empty).count() == 0
+    lone = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(300))), (2, None), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup(lone).collect()} == {1: 0, 2: 0, 3: 0}
 
 
 def test_near_classes_equal_brute_force(docs, rows):
