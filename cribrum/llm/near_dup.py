@@ -12,13 +12,15 @@ from pyspark.sql.window import Window
 
 from .anchors import Names, mix, word_halves, word_symbols
 from .repeats import text_bytes
-from .tables import documents, stage
+from .tables import documents, hidden, stage, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this size are compared pair by pair across classes, larger ones by a prefix filter.
 SMALL_BUCKET = 32
+#: A text is compared with at most this many others in one part of a join.
+PARTNERS = 1024
 #: What rounding may take from a bound of the prefix filter.
 SLACK = 1e-6
 
@@ -66,7 +68,6 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, chunk:
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        node = batch.column("node").to_numpy()
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
@@ -85,9 +86,8 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, chunk:
                 key = np.tile(salt, (len(full), 1))
                 for r in range(rows):
                     key = mix(key ^ signature[:, :, r])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node[at:stop][full], bands))], names=["bucket", "node"]
-                )
+                node = batch.column("node").take(pa.array(np.repeat(np.array(full) + at, bands)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), node], names=["bucket", "node"])
             at = stop
 
 
@@ -168,32 +168,34 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     members are verified against its most central node, the one whose buckets
     are fullest; then, across classes only, against two further centres; and then
     all that share a bucket are compared across classes, pair by pair in buckets of
-    up to SMALL_BUCKET nodes and after a prefix filter in larger ones.  Null, empty and blank texts
-    are in classes of their own; rows that repeat share a class.
+    up to SMALL_BUCKET nodes and after a prefix filter in larger ones.
+
+    Null, empty and blank texts are in classes of their own; rows that repeat
+    share a class, whose class_id ignores nulls and is null where all ids are.
+    Texts are read whole, about four megabytes at a time or one text.  Other
+    columns are not read; an empty table gives no rows.
     """
-    nodes = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
-    members = stage(
-        nodes.select("doc_id", F.when(F.col("text").rlike("[^ \\t-\\r]"), F.col("node")).alias("node")),
-        "members",
-    )
-    held = stage(
-        nodes.select("node", "text").mapInArrow(lambda b: _band_rows(b, bands, rows), "bucket long, node long").distinct(),
-        "buckets",
-    )
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("who")
+    nodes = docs.select("doc_id", "text", who, text_key(F.col("text")).alias("node"))
+    members = stage(nodes.select("doc_id", "who", F.when(F.col("text").rlike("[^ \\t-\\r]"), F.col("node")).alias("node")), "members")
+    held = stage(nodes.select("node", "text").mapInArrow(lambda b: _band_rows(b, bands, rows), "bucket long, node binary").distinct(), "buckets")
     full = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = held.join(full, "bucket")
-    central = crowded.groupBy("node").agg(F.sum("n").alias("rank"))
-    crowded = stage(crowded.join(central, "node"), "crowded")
+    # From here on, nodes that share a bucket go by whole numbers of their own.
+    ids = stage(crowded.groupBy("node").agg(F.sum("n").alias("rank")).withColumn("id", F.monotonically_increasing_id()), "ids")
+    crowded = stage(crowded.join(ids, "node").select("bucket", "n", F.col("id").alias("node"), "rank"), "crowded")
 
-    texts = stage(
-        nodes.join(central.select("node"), "node", "left_semi").select("node", "text").dropDuplicates(["node"]),
-        "texts",
-    )
+    # Each node's text comes from one row; the join's key tells copies apart, so that a large group of them is dealt out.
+    chosen = members.groupBy("node").agg(F.min("who").alias("who")).join(ids, "node").select("node", "who", "id")
+    texts = stage(nodes.join(chosen, ["node", "who"]).dropDuplicates(["node", "who"]).select(F.col("id").alias("node"), "text"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # The commoner end (b) comes last, so that its text travels once.
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        # Ends (b) with many partners are dealt out in parts, each with a copy of b's text.
+        load = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")), "load")
+        spread = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+        of_b = texts.join(load, F.col("node") == F.col("b")).select("b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        one = spread.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        two = one.join(of_b, ["b", "part"])
         return stage(two.select("a", "b", "ta", "tb").mapInArrow(lambda x: _verify_rows(x, threshold), "a long, b long"), "links")
 
     centre = F.max(F.struct("rank", "node"))["node"]
@@ -202,7 +204,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         crowded.join(leaders, "bucket").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")),
         "star",
     )
-    best = star.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+    best = stage(star.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")), "best")
     links = verified(best)
     tried = best.select("a", "b")
     for turn in range(4):
@@ -237,11 +239,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             .select("a", "b")
         )
         fresh = stage(fresh, "fresh")
+        if fresh.isEmpty():
+            continue
         links = links.union(verified(fresh))
         tried = tried.union(fresh)
     comp = connected(links)
 
-    grouped = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Classes of several nodes are named by a number, the others by their one node.
+    placed = comp.join(ids.select(F.col("id").alias("node"), F.col("node").alias("key")), "node").select(F.col("key").alias("node"), F.col("comp").cast("string").cast("binary").alias("comp"))
+    grouped = members.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return grouped.join(classes, "comp", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
@@ -251,12 +257,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of least doc_id of each class; rows that repeat a doc_id count once.
 
-    Documents whose doc_id is null belong to no class here and stay.
+    Documents whose doc_id is null belong to no class here and stay.  Columns
+    besides doc_id and text stay as they are, whatever their names.
     """
-    keep = near_classes(docs.where("doc_id is not null")).where("doc_id = class_id").select("doc_id").distinct()
-    chosen = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    table, _ = hidden(docs, ["doc_id", "text"])
+    keep = near_classes(table.where("doc_id is not null")).where("doc_id = class_id").select("doc_id").distinct()
+    chosen = table.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.select(*table.columns).union(table.where("doc_id is null")).toDF(*docs.columns)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_classes`` of documents: five words, similarity 0.8; edge cases as there."""
     return near_classes(documents(spark, sf_dir))
