@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import documents
+from .tables import documents, few, hidden, stage
 
 #: Fixed masks: 1 is a token that must agree, 0 one that is ignored.
 MASKS = ("11011011", "1110010111", "1011010011")
@@ -15,8 +17,10 @@ MIN_SHARE = 0.5
 #: A document is dropped, too, for LOCAL tokens in a row of which LOCAL_MATCHED agree, or for alignments that
 #: together reach the share, their shifts at most NEAR tokens apart.
 LOCAL, LOCAL_MATCHED, NEAR = 13, 11, 8
-#: Rows of benchmark seeds up to which they are broadcast; beyond, seeds are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Items below the shortest mask must agree whole; below this many tokens they must be the whole document.
+LEAST_SHORT = 5
+#: Rows of benchmark seeds, and tokens that these bring along, up to which they are broadcast; beyond, seeds are shuffled.
+BROADCAST_ROWS, BROADCAST_TOKENS = 1_000_000, 10_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -50,21 +54,54 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
+def _short_seeds(table: DataFrame, keep: list[str], sizes: list[int], whole: bool = False) -> DataFrame:
+    """As ``seed_rows``, for runs of as many tokens as the short items have; if ``whole``, only runs that are all of the row."""
+    parts = []
+    for n in sizes:
+        spots = table.where(F.size("h") == n if whole else F.size("h") >= n).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - n)).alias("at"))
+        parts.append(spots.select(*keep, "h", "at", F.xxhash64(F.lit(-n), *[F.get("h", F.col("at") + i) for i in range(n)]).alias("seed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows doc_id, item_id, n_tokens, shift, agree: the alignments that seeds propose; some may repeat."""
-    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item"))
-    seeds = seed_rows(items.select("item_id", F.col("item").alias("h")), ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
-    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
-    small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Rows doc_id, item_id, n_tokens, shift, agree, size: the alignments that seeds propose; some may repeat."""
+    shortest = min(map(len, MASKS))
+    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).distinct().withColumn("entry", F.xxhash64(F.col("item_id").cast("string"), "item"))
+    # At most shortest - 1 rows.
+    sizes = sorted(r[0] for r in items.where((F.size("item") > 0) & (F.size("item") < shortest)).select(F.size("item")).distinct().collect())
+    of_items = items.select("entry", F.col("item").alias("h"))
+    of_docs = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
+
+    def seeds(table: DataFrame, keep: list[str]) -> DataFrame:
+        long = seed_rows(table, keep)
+        return long.unionByName(_short_seeds(table, keep, sizes)) if sizes else long
+
+    known = seed_rows(of_items, ["entry"])
+    if sizes:
+        known = known.unionByName(_short_seeds(of_items, ["entry"], sizes, whole=True))
+    known = stage(known.select("seed", "entry", F.col("at").alias("item_at")).distinct(), "seeds")
     shift = F.col("at") - F.col("item_at")
-    if small:
-        hits = seed_rows(hashed, ["doc_id"]).join(F.broadcast(seeds), "seed").select("doc_id", "h", "item_id", shift.alias("shift"))
-        hits = hits.join(F.broadcast(items), "item_id")
+    # Rows of seeds and tokens of items are counted before anything is broadcast.
+    if few(known, BROADCAST_ROWS) and (items.agg(F.sum(F.size("item") + 2)).first()[0] or 0) <= BROADCAST_TOKENS:
+        hits = seeds(of_docs, ["doc_id"]).join(F.broadcast(known), "seed").select("doc_id", "h", "entry", shift.alias("shift"))
+        hits = hits.join(F.broadcast(items), "entry")
     else:
-        spots = seed_rows(hashed, ["doc_id"]).select("doc_id", "at", "seed")
-        hits = spots.join(seeds, "seed").select("doc_id", "item_id", shift.alias("shift")).distinct()
-        hits = hits.join(items, "item_id").join(hashed, "doc_id")
-    return hits.select("doc_id", "item_id", F.size("item").alias("n_tokens"), "shift", _agreement(F.col("h"), F.col("item"), F.col("shift")).alias("agree"))
+        # Rows are told apart by id and text, so that repeated and null ids go with their own tokens.
+        row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "h").alias("row")
+        of_docs = of_docs.select(row, "doc_id", "h")
+        spots = seeds(of_docs, ["row"]).select("row", "at", "seed")
+        hits = spots.join(known, "seed").select("row", "entry", shift.alias("shift")).distinct()
+        hits = hits.join(items, "entry").join(of_docs.dropDuplicates(["row"]), "row")
+    return hits.select(
+        "doc_id", "item_id", F.size("item").alias("n_tokens"), "shift", _agreement(F.col("h"), F.col("item"), F.col("shift")).alias("agree"), F.size("h").alias("size")
+    )
+
+
+def _enough(matched: Column, size: Column) -> Column:
+    """Whether so many agreeing tokens make a find, in a document of ``size`` tokens."""
+    n = F.col("n_tokens")
+    short = (matched == n) & ((n >= LEAST_SHORT) | (size == n))
+    return (matched >= MIN_MATCHED) & (matched >= MIN_SHARE * n) | (n < min(map(len, MASKS))) & short
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -72,17 +109,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Per document and item, the best alignment that a seed hit proposes: n_matched
     of the item's n_tokens tokens agree in place.  Reported from MIN_MATCHED
-    tokens and MIN_SHARE of the item.  Items shorter than the shortest mask are
-    too short to tell and never reported; null and empty texts match nothing;
-    rows that repeat a doc_id count as one document.
+    tokens and MIN_SHARE of the item.  Items shorter than the shortest mask must
+    agree in all tokens; those of fewer than LEAST_SHORT tokens are only found
+    where they are the whole document.  Null and empty texts match nothing; rows
+    that repeat a doc_id, or have none, count as one document, of which any text
+    may match; the same for items.  Texts of any length are read whole; other
+    columns are not read, and an empty table on either side gives no rows.
     """
-    return (
-        _hits(docs, benchmark).select("doc_id", "item_id", "n_tokens", _total(F.col("agree")).alias("matched"))
-        .groupBy("doc_id", "item_id", "n_tokens")
-        .agg(F.max("matched").alias("n_matched"))
-        .where((F.col("n_matched") >= MIN_MATCHED) & (F.col("n_matched") >= MIN_SHARE * F.col("n_tokens")))
-        .select("doc_id", "item_id", "n_matched", "n_tokens")
-    )
+    matched = _hits(docs, benchmark).select("doc_id", "item_id", "n_tokens", "size", _total(F.col("agree")).alias("matched"))
+    best = matched.where(_enough(F.col("matched"), F.col("size"))).groupBy("doc_id", "item_id", "n_tokens").agg(F.max("matched").alias("n_matched"))
+    return best.select("doc_id", "item_id", "n_matched", "n_tokens")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -90,25 +126,31 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is found as in ``overlaps``, or where LOCAL_MATCHED of LOCAL tokens in
     a row agree, or where alignments with nearby shifts (words put in or left
-    out) have MIN_MATCHED tokens and MIN_SHARE of the item together.
+    out) have MIN_MATCHED tokens and MIN_SHARE of the item together.  All rows of
+    a doc_id go with one of them.  Columns stay, whatever their names.
     """
+    table, _ = hidden(docs, ["doc_id", "text"])
     longest = F.when(
         F.size("agree") >= LOCAL,
         F.array_max(F.transform(F.sequence(F.lit(1), F.size("agree") - LOCAL + 1), lambda at: _total(F.slice("agree", at, LOCAL)))),
     ).otherwise(0)
-    hits = _hits(docs, benchmark).select("doc_id", "item_id", "n_tokens", F.struct("shift", _total(F.col("agree")).alias("matched"), longest.alias("local")).alias("hit"))
+    hit = F.struct("shift", "size", _total(F.col("agree")).alias("matched"), longest.alias("local"))
+    hits = _hits(table.where("doc_id is not null"), benchmark).select("doc_id", "item_id", "n_tokens", hit.alias("hit"))
     each = hits.groupBy("doc_id", "item_id", "n_tokens").agg(F.collect_set("hit").alias("hits"))
 
     def enough(x: Column) -> Column:
         near = F.filter("hits", lambda y: F.abs(y["shift"] - x["shift"]) <= NEAR)
         matched = _total(F.transform(near, lambda y: y["matched"]))
-        return (x["local"] >= LOCAL_MATCHED) | (matched >= MIN_MATCHED) & (matched >= MIN_SHARE * F.col("n_tokens"))
+        return (x["local"] >= LOCAL_MATCHED) | (matched >= MIN_MATCHED) & (matched >= MIN_SHARE * F.col("n_tokens")) | _enough(x["matched"], x["size"])
 
-    found = each.where(F.exists("hits", enough)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = stage(each.where(F.exists("hits", enough)).select("doc_id").distinct(), "found")
+    # A few ids go to the documents; many meet them in a shuffle.
+    gone = F.broadcast(found) if few(found, BROADCAST_ROWS) else found
+    return table.join(gone, "doc_id", "left_anti").select(*table.columns).toDF(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``overlaps`` of documents with benchmark; edge cases as there."""
     return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -116,13 +158,15 @@ _TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[
 _OFFSETS = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in MASKS]
 _SEEDED = " or ".join(f"len(list_filter(ats, lambda x: list_has_all(ats, list_transform({o}, lambda d: x + d)))) > 0" for o in _OFFSETS)
 
+_SHORT = f"n_tokens < {min(map(len, MASKS))} and len(ats) = n_tokens and (n_tokens >= {LEAST_SHORT} or size = n_tokens)"
+
 ORACLE = f"""
-with d as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as at from (select doc_id, {_TOKENS} as w from documents)),
+with d as (select doc_id, size, unnest(w) as t, generate_subscripts(w, 1) as at from (select doc_id, w, len(w) as size from (select doc_id, {_TOKENS} as w from documents))),
 i as (select item_id, len(w) as n_tokens, unnest(w) as t, generate_subscripts(w, 1) as at from (select item_id, {_TOKENS} as w from benchmark)),
 m as (
-  select doc_id, item_id, n_tokens, d.at - i.at as shift, list(i.at) as ats
-  from d join i using (t) group by all having count(*) >= {MIN_MATCHED} and count(*) >= {MIN_SHARE} * n_tokens
+  select doc_id, size, item_id, n_tokens, d.at - i.at as shift, list(i.at) as ats
+  from d join i using (t) group by all having (count(*) >= {MIN_MATCHED} and count(*) >= {MIN_SHARE} * n_tokens) or (n_tokens < {MIN_MATCHED} and count(*) = n_tokens)
 )
 select doc_id, item_id, max(len(ats))::int as n_matched, n_tokens::int as n_tokens
-from m where {_SEEDED} group by all
+from m where ({_SEEDED}) or ({_SHORT}) group by all
 """

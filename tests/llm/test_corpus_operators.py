@@ -197,12 +197,13 @@ def test_decontamination(spark):
     words = item.split()
     some = " ".join(w if i % 9 else "changed" for i, w in enumerate(words))
     bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "too short")], "item_id long, text string")
-    table = [(1, f"a {item.upper()}! b"), (2, f"{text(rng, 30)} {some} c"), (3, text(rng, 200)), (4, None), (5, ""), (6, "too short"), (1, "again"), (None, other)]
+    table = [(1, f"a {item.upper()}! b"), (2, f"{text(rng, 30)} {some} c"), (3, text(rng, 200)), (4, None), (5, ""), (6, "too short"), (7, "far too short"), (1, "again"), (None, other)]
     docs = spark.createDataFrame([(*r, 1, 1) for r in table], "doc_id long, text string, h int, item_id int")
     got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.overlaps(docs, bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (None, 2)} and got[(1, 1)] == 24 and got[(2, 1)] == 21
+    # "too short" has two tokens: only a document of just these holds it.
+    assert set(got) == {(1, 1), (2, 1), (None, 2), (6, 4)} and got[(1, 1)] == 24 and got[(2, 1)] == 21
     kept = [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()]
-    assert sorted(kept, key=str) == sorted([3, 4, 5, 6, None], key=str)
+    assert sorted(kept, key=str) == sorted([3, 4, 5, 7, None], key=str)
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
@@ -218,10 +219,18 @@ def test_partial_items_are_dropped(spark):
 
 
 def test_decontamination_by_shuffle_is_the_same(spark, monkeypatch):
+    """With null and repeated ids of different texts, on both sides, and short items."""
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    want = sorted(map(tuple, decontaminate.overlaps(d, b).collect()))
+    items = [r.text for r in b.orderBy("item_id").limit(4).collect()]
+    odd = [(None, items[0]), (None, "nothing here"), (1, items[1]), (1, "x " * 30 + items[2]), (-2, "one two three four five six"), (-3, "one two three four")]
+    d = d.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    b = b.select("item_id", "text").union(spark.createDataFrame([(-1, "One, two; three four five."), (-1, "another text"), (-4, "Four")], "item_id long, text string"))
+    want = sorted(map(str, decontaminate.overlaps(d, b).collect()))
+    kept = sorted(map(str, decontaminate.drop_contaminated(d, b).collect()))
+    assert any("item_id=-1" in r and "doc_id=-2" in r for r in want) and not any("doc_id=-3" in r for r in want) and any("doc_id=None" in r for r in want)
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    assert sorted(map(tuple, decontaminate.overlaps(d, b).collect())) == want
+    assert sorted(map(str, decontaminate.overlaps(d, b).collect())) == want
+    assert sorted(map(str, decontaminate.drop_contaminated(d, b).collect())) == kept
 
 
 def test_token_store_round_trip(spark, docs, rows):
