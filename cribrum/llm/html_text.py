@@ -10,7 +10,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|[^<]+|<", re.S)
+OPENING = re.compile(r"</?([a-zA-Z][\w:-]*)|<[!?]")
+#: What may end a tag, or open a quoted value in it.
+IN_TAG = re.compile(r"=\s*([\"'])|[<>]")
 ATTRIBUTE = re.compile(r"([\w-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 # Elements of the HTML standard by what they do to text.
@@ -22,6 +24,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: Where the search for an open element of one's own kind ends.
+LISTS = ("ul", "ol", "dl", "table", "tbody", "select")
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 APART = frozenset("nav footer aside form button select menu dialog head".split())
@@ -36,14 +40,17 @@ MARKS = frozenset(
 #: Those of them that also set an article element apart: readers' comments and teasers are often articles.
 ARTICLE_MARKS = frozenset("ad ads advert promo sponsored related recommended sidebar comment comments reply replies".split())
 #: A path is content from this share of the mean score.
-CUT = 0.25
-#: What the score of a path inside an article element counts for.
-ARTICLE_WEIGHT = 2.0
+CUT = 0.3
+#: Priors: what the score of a path counts for that tags or class words set apart, inside an article element, and of a heading in it.
+APART_PRIOR, ARTICLE_PRIOR, HEADING_PRIOR = 0.005, 2.0, 2.0
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """A run of text: the number of its tag path, the path's last tag, and what priors go by."""
+
+    path: int
+    tag: str
     inside: bool
     apart: bool
     parts: list[str] = field(default_factory=list)
@@ -66,50 +73,111 @@ def _signature(tag: str, attributes: str) -> str:
     return f"{tag}.{found[1]}" if found else tag
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, each with its root-to-leaf tag path."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, signature, inside an article, apart from it
-    skip = None
-    fresh = True
+def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+    """Text as ("", text, False), tags as (name, attributes, whether it ends an element); comments and raw text are left out.
+
+    In linear time: no search starts over what an earlier one has seen in vain.
+    A quote opens a value only behind "=", and only if it is closed somewhere.
+    """
+    at, n = 0, len(page)
+    unclosed = {"'": n, '"': n}
+    while at < n:
+        lt = page.find("<", at)
+        lt = n if lt < 0 else lt
+        found = OPENING.match(page, lt)
+        if lt > at or not found:
+            # A "<" that opens nothing is text.
+            stop = lt if found or lt == n else lt + 1
+            yield "", page[at:stop], False
+            at = stop
+            continue
+        if not found[1]:
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", found.end())
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        stop = found.end()
+        while True:
+            mark = IN_TAG.search(page, stop)
+            if not mark:
+                at = stop = n
+                break
+            if not mark[1]:
+                stop, at = mark.start(), mark.end() - (mark[0] == "<")
+                break
+            stop = mark.end()
+            if stop < unclosed[mark[1]]:
+                close = page.find(mark[1], stop)
+                if close < 0:
+                    unclosed[mark[1]] = stop
+                else:
+                    stop = close + 1
+        tag, attributes = found[1].lower(), page[found.end() : stop]
+        ends = page[lt + 1] == "/"
+        if tag in UNPARSED and not ends and not attributes.rstrip().endswith("/"):
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = end.end() if end else n
+            continue
+        yield tag, attributes, ends
+
+
+class _Open:
+    """The elements that are open, outermost first; finding the innermost of a name takes constant time."""
+
+    def __init__(self):
+        self.frames: list[tuple[str, int, str, bool, bool]] = []  # tag, path, its last tag, inside an article, apart from it
+        self.where: dict[str, list[int]] = {}
+        self.paths: dict[tuple[int, str], int] = {}
 
-    def close(index: int) -> bool:
-        wide = any(tag not in INLINE for tag, *_ in stack[index:])
-        del stack[index:]
+    def top(self) -> tuple[str, int, str, bool, bool]:
+        return self.frames[-1] if self.frames else ("", 0, "", False, False)
+
+    def innermost(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def push(self, tag: str, signature: str, inside: bool, apart: bool) -> None:
+        _, path, last, *_ = self.top()
+        if tag not in INLINE:
+            path, last = self.paths.setdefault((path, signature), len(self.paths) + 1), tag
+        self.where.setdefault(tag, []).append(len(self.frames))
+        self.frames.append((tag, path, last, inside, apart))
+
+    def close(self, index: int) -> bool:
+        """Close the elements from ``index`` on; whether any of them was a block."""
+        wide = False
+        while len(self.frames) > index >= 0:
+            tag = self.frames.pop()[0]
+            self.where[tag].pop()
+            wide |= tag not in INLINE
         return wide
 
-    at_char = 0
-    while token := TOKEN.match(page, at_char):
-        at_char = token.end()
-        text = token[0]
-        tag = (token[2] or "").lower()
-        if tag in UNPARSED and not token[1] and not token[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at_char)
-            at_char = end.end() if end else len(page)
-            continue
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks of text in order, each with its root-to-leaf tag path."""
+    out: list[Block] = []
+    stack = _Open()
+    skip, depth, fresh = "", 0, True
+    for tag, text, ends in tokens(page):
         if skip:
-            if tag == skip and token[1]:
-                skip = None
+            if tag == skip:
+                depth += -1 if ends else not text.rstrip().endswith("/")
+                skip = skip if depth else ""
             continue
         if not tag:
-            if text.startswith(("<!", "<?")):
-                continue
-            if not stack or not any(t == "head" for t, *_ in stack):
-                above = [f for f in stack if f[0] not in INLINE]
-                inside, apart = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            if stack.innermost("head") < 0:
+                _, path, last, inside, apart = stack.top()
                 # An inline element that is set apart (a marked span) is a block of its own.
                 if fresh or not out or out[-1].apart != apart:
-                    out.append(Block(tuple(f[1] for f in above), inside, apart))
+                    out.append(Block(path, last, inside, apart))
                     fresh = False
                 out[-1].parts.append(text)
             continue
-        if token[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                fresh |= close(at)
+        if ends:
+            fresh |= stack.close(stack.innermost(tag))
             continue
         if tag in RAW:
-            skip = None if token[3].rstrip().endswith("/") else tag
+            if not text.rstrip().endswith("/"):
+                skip, depth = tag, 1
             continue
         if tag == "br":
             if out and not fresh:
@@ -119,31 +187,24 @@ def blocks(page: str) -> list[Block]:
             fresh |= tag == "hr"
             continue
         if tag == "body":
-            at = next((i for i, f in enumerate(stack) if f[0] == "head"), None)
-            if at is not None:
-                close(at)
+            stack.close(stack.innermost("head"))
         if tag in ENDS_P:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if at is not None:
-                close(at)
+            stack.close(stack.innermost("p"))
         if tag in OWN_KIND:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in OWN_KIND[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
-                    break
-        inside, apart = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            own = stack.innermost(*OWN_KIND[tag])
+            if own > stack.innermost(*LISTS):
+                stack.close(own)
+        *_, inside, apart = stack.top()
         inside |= tag in BODY_OF
         if tag in BODY_OF:
-            apart |= _marked(token[3], ARTICLE_MARKS)
+            apart |= _marked(text, ARTICLE_MARKS)
         elif tag not in ("html", "body"):
             # Inside an article a "header" is its headline.
-            apart |= tag in APART or _marked(token[3], MARKS - {"header", "masthead"} if inside else MARKS)
+            apart |= tag in APART or _marked(text, MARKS - {"header", "masthead"} if inside else MARKS)
         # The header of an article holds its headline; other headers are the site's.
         if tag == "header":
             apart |= not inside
-        stack.append((tag, _signature(tag, token[3]), inside, apart))
+        stack.push(tag, _signature(tag, text), inside, apart)
         fresh |= tag not in INLINE
     return out
 
@@ -156,49 +217,52 @@ def extract(page: str) -> str:
     """The main text of one page.
 
     For each tag path the ratios text length / blocks and punctuation / blocks are
-    smoothed over neighbouring paths in page order and fused; a path is content
-    where its fused score, which weighs ARTICLE_WEIGHT times as much inside an article
-    element, reaches a share of the mean over paths that are not apart.  Navigation,
-    forms and blocks marked as apart score 0; headings of the article, or of a page
-    without one, pass.
+    smoothed over neighbouring paths in page order and fused.  The score of a path
+    is that times a prior: tags and class words that set text apart from the
+    article (navigation, forms, adverts, comments) count little, an article
+    element and the headings in it more.  Paths are content from a share of the
+    mean score.
     """
     found = [(b, t) for b in blocks(page) if (t := _clean(b.parts))]
     if not found:
         return ""
     paths: dict[tuple, list[float]] = {}
     for b, t in found:
-        row = paths.setdefault((b.path, b.inside, b.apart), [0.0, 0.0, 0.0])
+        row = paths.setdefault((b.path, b.tag, b.inside, b.apart), [0.0, 0.0, 0.0])
         row[0] += len(t)
-        row[1] += sum(c in ".,;:!?" for c in t)
+        row[1] += sum(map(t.count, ".,;:!?"))
         row[2] += 1
-    keys = list(paths)
-    length = [0.0 if k[2] else paths[k][0] / paths[k][2] for k in keys]
-    points = [0.0 if k[2] else paths[k][1] / paths[k][2] for k in keys]
+    has_article = any(inside and not apart for *_, inside, apart in paths)
+
+    def prior(tag: str, inside: bool, apart: bool) -> float:
+        if apart:
+            return APART_PRIOR
+        heading = tag in HEADINGS and (inside or not has_article)
+        return (ARTICLE_PRIOR if inside else 1.0) * (HEADING_PRIOR if heading else 1.0)
 
     def smooth(x: list[float]) -> list[float]:
         wide = [0.0, *x, 0.0]
         return [0.25 * a + 0.5 * b + 0.25 * c for a, b, c in zip(wide, wide[1:], wide[2:])]
 
-    fused = [a * (1 + b) for a, b in zip(smooth(length), smooth(points))]
-    has_article = any(k[1] and not k[2] for k in keys)
-    mean = sum(f for f, k in zip(fused, keys) if not k[2]) / max(1, sum(not k[2] for k in keys))
-    keep = set()
-    for key, score in zip(keys, fused):
-        path, inside, apart = key
-        if apart:
-            continue
-        headline = path and path[-1].split(".")[0] in HEADINGS and (inside or not has_article)
-        if headline or score * (ARTICLE_WEIGHT if inside else 1) >= CUT * mean:
-            keep.add(key)
-    return " ".join(t for b, t in found if (b.path, b.inside, b.apart) in keep)
+    # What counts for little does not lift its neighbours either.
+    priors = [prior(*key[1:]) for key in paths]
+    length = [min(1.0, p) * chars / n for (chars, _, n), p in zip(paths.values(), priors)]
+    points = [min(1.0, p) * marks / n for (_, marks, n), p in zip(paths.values(), priors)]
+    scores = [max(1.0, p) * a * (1 + b) for a, b, p in zip(smooth(length), smooth(points), priors)]
+    own = [min(s, p * chars / n * (1 + marks / n)) if p < 1 else s for s, (chars, marks, n), p in zip(scores, paths.values(), priors)]
+    mean = sum(own) / len(own)
+    keep = {key for key, score in zip(paths, own) if score >= CUT * mean}
+    return " ".join(t for b, t in found if (b.path, b.tag, b.inside, b.apart) in keep)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (main text, empty if none), n_chars (its code points).
 
-    The whole html is read; null counts as empty.  Blocks are joined by one space
-    in page order, white space within a block becomes one space, and character
-    references are decoded.
+    The whole html is read, however long, in linear time; null and empty pages have
+    empty text.  Blocks are joined by one space in page order, white space within a
+    block becomes one space, and character references are decoded.  Rows that
+    repeat stay, null page_id and url too; other columns are not read, and an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +280,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``main_text`` of pages; edge cases as there."""
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
