@@ -16,8 +16,6 @@ from .tables import documents, stage
 BUCKETS = 16
 #: Tokens of a batch, padding included; a longer document is a batch of its own.
 BUDGET = 65_536
-#: Lengths up to this are told apart one by one, longer ones to 1 part in FINE.
-EXACT, FINE = 1024, 64
 
 
 def n_tokens(text: Column) -> Column:
@@ -25,53 +23,70 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
-def rounded(length: Column) -> Column:
-    """The length a document is binned under: itself, at least 1, or rounded up beyond EXACT.
-
-    The histogram so has a bounded number of bins: EXACT, and FINE an octave.
-    """
-    step = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - int(np.log2(FINE))).cast("long")
-    return F.when(length <= EXACT, F.greatest(length, F.lit(1))).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets of least padding, by dynamic programming.
 
     A bucket pads its documents to its upper bound; what is minimised is the sum
     of bounds over all documents.  Among equals the fewest buckets are taken.
+
+    With the first i lengths packed at cost c[i], one more bucket up to length j
+    costs c[i] + lengths[j] * (seen[j + 1] - seen[i]): lines in lengths[j] whose
+    slopes fall with i, so a lower envelope gives each bucket's row in linear
+    time, in whole numbers.
     """
     n = len(lengths)
     if n == 0:
         return []
-    seen = np.concatenate([[0], np.cumsum(counts)])
-    best = np.concatenate([[0.0], np.full(n, np.inf)])
-    back: list[np.ndarray] = []
-    costs = []
+    bound = [int(x) for x in lengths]
+    seen = [0, *np.cumsum(counts).tolist()]
+    cost: list[int | None] = [0, *[None] * n]
+    back: list[list[int]] = []
+    totals = []
     for _ in range(min(buckets, n)):
-        # cost[i, j]: the first i bins in the buckets so far, bins i .. j-1 in one more.
-        cost = best[:, None] + lengths[None, :] * (seen[None, 1:] - seen[:, None])
-        cost[np.arange(n + 1)[:, None] > np.arange(n)[None, :]] = np.inf
-        back.append(cost.argmin(axis=0))
-        best = np.concatenate([[np.inf], cost.min(axis=0)])
-        costs.append(best[-1])
-    used = int(np.argmin(costs)) + 1
+        hull: list[int] = []
+        at, row, new = 0, [0] * n, [None] * (n + 1)
+        for j in range(n):
+            if cost[j] is not None:
+                # Drop lines that the new one (of least slope so far) makes useless.
+                while len(hull) >= 2:
+                    p, q = hull[-2], hull[-1]
+                    if (cost[j] - cost[p]) * (seen[q] - seen[p]) <= (cost[q] - cost[p]) * (seen[j] - seen[p]):
+                        hull.pop()
+                    else:
+                        break
+                hull.append(j)
+            at = min(at, len(hull) - 1)
+            if at < 0:
+                at = 0
+                continue
+            x = bound[j]
+            while at + 1 < len(hull) and cost[hull[at + 1]] - x * seen[hull[at + 1]] < cost[hull[at]] - x * seen[hull[at]]:
+                at += 1
+            row[j] = hull[at]
+            new[j + 1] = cost[hull[at]] + x * (seen[j + 1] - seen[hull[at]])
+        back.append(row)
+        cost = new
+        totals.append(cost[n])
+    used = min((total, k) for k, total in enumerate(totals) if total is not None)[1]
     bounds, j = [], n
-    for b in range(used - 1, -1, -1):
-        bounds.append(int(lengths[j - 1]))
-        j = int(back[b][j - 1])
+    for row in back[used::-1]:
+        bounds.append(bound[j - 1])
+        j = row[j - 1]
     return bounds[::-1]
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Per document: doc_id, n_tokens, bucket, bucket_len, batch, slot.
 
-    The global histogram of lengths decides the buckets.  Inside a bucket the
-    documents, in the order of doc_id (then length), fill batches of
-    max(1, budget // bucket_len) documents.  Every document is placed once and
-    whole; those without tokens go to the first bucket, rows that repeat get a
-    place each, and an empty table gives no rows.
+    The global histogram of lengths, exact, decides the buckets: one row for each
+    length that occurs, which is no more than the longest document has words.
+    Inside a bucket the documents, in the order of doc_id (nulls first, then
+    length), fill batches of max(1, budget // bucket_len) documents.  Every
+    document is placed once and whole; those without tokens (null and empty
+    texts) count as length 1, rows that repeat get a place each, other columns
+    are not read, and an empty table gives no rows.
     """
-    sized = stage(docs.select("doc_id", n_tokens(F.col("text")).alias("n_tokens")).withColumn("length", rounded(F.col("n_tokens"))), "lengths")
+    sized = stage(docs.select("doc_id", n_tokens(F.col("text")).alias("n_tokens")).withColumn("length", F.greatest("n_tokens", F.lit(1))), "lengths")
     histogram = sized.groupBy("length").count().orderBy("length").toPandas()
     bounds = boundaries(histogram["length"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), buckets)
     bucket = sum(((F.col("length") > b).cast("int") for b in bounds[:-1]), F.lit(0))
@@ -110,4 +125,5 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` of documents: 16 buckets, batches of 65,536 tokens; edge cases as there."""
     return pack(documents(spark, sf_dir))
