@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -298,6 +299,7 @@ def test_html(spark):
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_text.main_text(pages).where("url is not null").collect())
     main = "Head & line One two, three. Boldface"
     assert got == [(1, "u", main, len(main)), (1, "u", main, len(main)), (3, "v", "", 0)]
+    assert [tuple(r) for r in html_text.main_text(pages).where("url is null").collect()] == [(2, None, "", 0)]
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
@@ -325,6 +327,37 @@ def test_html_scores_decide_with_an_article():
     assert got.startswith("Title This is sentence 0") and "sentence 8" in got and "Mail" not in got
 
 
+def test_html_of_unbalanced_quotes_and_marked_pages():
+    assert html_text.extract('<p>He said <b title="x>bold more.</p>') == "He said bold more."
+    assert html_text.extract("<p>It <i don't>is</i> so <b <i>here</i>.</p>") == "It is so here."
+    assert html_text.extract('<div class="comment-free notice-board"><p>The only text, of the article.</p></div>') == "The only text, of the article."
+    assert html_text.extract("a < b, and 5 > 3. <") == "a < b, and 5 > 3. <"
+
+
+def test_html_threshold_decides(monkeypatch):
+    story = "".join(f"<p>This is sentence {i} of the story, told at length; it has words, commas, and an end.</p>" for i in range(3))
+    page = f"<body><nav><ul><li>one</li><li>two</li></ul></nav><article><h1>Title</h1>{story}</article><footer>Foot, note. And so on.</footer></body>"
+    assert html_text.extract(page).startswith("Title This is") and "Foot" not in html_text.extract(page)
+    monkeypatch.setattr(html_text, "CUT", 0.0)
+    assert "one two" in html_text.extract(page) and "Foot" in html_text.extract(page)
+    monkeypatch.setattr(html_text, "CUT", 100.0)
+    assert html_text.extract(page) == ""
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 40_000, '<p>x <b title="x>y\' ' * 20_000, "<p a='b\" " * 40_000, "<ul>" + "<div>" * 20_000 + "<li>x" * 20_000, "< " * 100_000, "<!-- a" * 40_000])
+def test_html_takes_linear_time(page):
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 3
+
+
+def test_html_without_article_elements(spark):
+    """The ratios find the article by its text; only what tags and class words say of the rest is left."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    bare = [p.replace("<article>", "").replace("</article>", "") for p in pages]
+    assert sum(html_text.extract(a) == html_text.extract(b) for a, b in zip(pages, bare)) >= 0.99 * len(pages)
+
+
 def test_html_of_all_pages(spark):
     """Every generated page: the blocks of its article element."""
     import html as entities
@@ -359,6 +392,33 @@ def test_bucket_boundaries_are_optimal():
         assert cost == brute_cost(lengths.tolist(), counts.tolist(), 3)
 
 
+def quadratic_cost(lengths, counts, buckets):
+    seen = np.concatenate([[0], np.cumsum(counts)])
+    best, least = np.concatenate([[0.0], np.full(len(lengths), np.inf)]), np.inf
+    for _ in range(min(buckets, len(lengths))):
+        cost = best[:, None] + lengths[None, :] * (seen[None, 1:] - seen[:, None])
+        cost[np.arange(len(lengths) + 1)[:, None] > np.arange(len(lengths))[None, :]] = np.inf
+        best = np.concatenate([[np.inf], cost.min(axis=0)])
+        least = min(least, best[-1])
+    return least
+
+
+def test_bucket_boundaries_of_long_documents_are_optimal():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 37, 300):
+        lengths = np.sort(rng.choice(60_000, n, replace=False)) + 1
+        counts = rng.integers(1, 1000, n)
+        bounds = packing.boundaries(lengths, counts, 16)
+        assert len(bounds) <= 16 and set(bounds) <= set(lengths.tolist())
+        assert sum(int(c) * next(b for b in bounds if b >= x) for x, c in zip(lengths, counts)) == quadratic_cost(lengths, counts, 16)
+
+
+def test_packing_of_equal_and_no_tokens(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, " \n")], "doc_id long, text string")
+    got = packing.pack(docs).collect()
+    assert {(r.n_tokens, r.bucket, r.bucket_len, r.batch) for r in got} == {(0, 0, 1, 0)} and sorted(r.slot for r in got) == [0, 1, 2, 3]
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs, buckets=4, budget=300).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
@@ -381,6 +441,45 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
 
 
+def test_language_of_many_languages(spark):
+    """More than 512 languages, one of few documents each, are all learned."""
+    rng = np.random.default_rng(6)
+    letters = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 4000))
+    table, langs = [], 600
+    for k in range(langs):
+        words = ["".join(rng.choice(list(letters[6 * k : 6 * k + 6]), 3)) for _ in range(8)]
+        table += [(4 * (langs * j + k), " ".join(rng.choice(words, 12)), f"l{k:03}") for j in range(3)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(4)
+    out = language_id.identify(docs, language_id.train(docs)).join(docs, "doc_id")
+    learned = {r[0] for r in docs.where(~language_id.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert len(learned) > 512 and {r[0] for r in out.where("not held_out").select("lang_pred").distinct().collect()} == learned
+    assert out.where("not held_out and lang <> lang_pred").count() == 0
+
+
+def test_language_by_brute_force():
+    """Kernel, Nystroem features and ridge solution against plain sets and the dual form."""
+    texts = ["the cat sat", "der Hund lief", "the dog ran", "die Katze sass", "le chat noir", "le chien court", "The END.", "das Ende!"]
+    langs = ["en", "de", "en", "de", "fr", "fr", "en", "de"]
+    bits = language_id.presence(texts)
+    for t, row in zip(texts, bits):
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        grams = {s[i : i + n] for n in language_id.GRAMS for i in range(len(s) - n + 1)}
+        assert len(grams) - 2 <= row.sum() <= len(grams)  # a few share a bit
+    model = language_id.fit(bits, langs)
+    assert len(model.landmarks) == len(texts)
+    k = model.kernel(bits).astype(float)
+    cos = (bits @ model.landmarks.T) / np.sqrt(bits.sum(1)[:, None] * model.landmarks.sum(1)[None, :])
+    assert np.allclose(k, cos, atol=1e-6)
+    # With every text a landmark the features are exact, and the primal solution is the dual one.
+    order = [int(np.flatnonzero((bits == x).all(1))[0]) for x in model.landmarks]
+    full = k[:, np.argsort(order)]
+    target = np.where(np.array(langs)[:, None] == np.array(sorted(set(langs))), 1.0, -1.0)
+    w = np.diag([1 / 3 / langs.count(x) for x in langs])
+    ridge = language_id.RIDGE * np.trace(full @ w) / len(texts)
+    dual = full @ np.linalg.solve(w @ full + ridge * np.eye(len(texts)), w @ target)
+    assert np.allclose(k @ model.weights, dual, atol=1e-3)
+
+
 def test_quality(spark, docs, empty):
     d = "/root/testdata/sf0.01"
     out = registry.QUERIES["op9_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
