@@ -9,17 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .repeats import text_bytes
-from .tables import documents
+from .tables import documents, hidden
 
 EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 4, 32
 #: A byte repeats if it ends GRAM bytes that also end at one of the LAGS bytes before.
 GRAM, LAGS = 4, range(3, 25)
 #: Chunks overlap by half and cover the whole document.
 CHUNK = 1024
-#: Training reads at most about this many labelled documents of each class.
-PER_CLASS = 1200
+#: Training reads at most about this many labelled documents of each class, and none of more bytes.
+PER_CLASS, TRAIN_BYTES = 1200, 1 << 15
 STEPS, BATCH, RATE = 900, 24, 4e-3
 CUT = 0.3
 
@@ -153,18 +154,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Byt
     """Learn from labelled rows that are not held out; None if there is none.
 
     The sample is bounded: about ``per_class`` documents of each label, chosen
-    by a hash of doc_id; their texts are read whole.
+    by a hash of doc_id, of at most TRAIN_BYTES each.  A document with several
+    labels has the greatest, one with several texts gives each; nulls in either
+    table are left out.
     """
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
         return None
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("lot")
     share = F.when(F.col("quality") == 1, F.lit(per_class / counts.get(1, 1))).otherwise(F.lit(per_class / counts.get(0, 1)))
     # At most 4 * per_class ids: bounded, so broadcast, and the documents stay where they are.
-    chosen = known.where(lot < share).limit(4 * per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(8 * per_class).collect()
-    rows = sorted((r.doc_id, r.quality, r.text or "") for r in rows)
+    chosen = known.select("doc_id", "quality", lot).where(F.col("lot") < share * (1 << 30)).orderBy("lot", "doc_id").limit(4 * per_class)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("lot", "doc_id", "text").limit(4 * per_class).select("doc_id", "quality", "text").collect()
+    rows = sorted((r.doc_id, r.quality, r.text) for r in rows)
     if not rows:
         return None
     prior = counts.get(1, 0) / sum(counts.values())
@@ -175,7 +179,8 @@ def score(docs: DataFrame, net: ByteNet | None, keep: list[str], name: str = "sc
     """The columns in ``keep`` and ``name``: how likely label 1 is, from the bytes of the whole text alone.
 
     Null counts as empty, and empty texts get a score too; without any labelled
-    row to learn from, every score is 0.5.
+    row to learn from, every score is 0.5.  Long texts are scored whole, 64 chunks
+    at a time; rows that repeat get equal scores, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +193,18 @@ def score(docs: DataFrame, net: ByteNet | None, keep: list[str], name: str = "sc
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value.astype(np.float64))], names=[*keep, name])
 
     table = docs.select(*dict.fromkeys([*keep, "text"]))
-    fields = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
-    return table.mapInArrow(run, f"{fields}, {name} double")
+    return table.mapInArrow(run, T.StructType([*(table.schema[c] for c in keep), T.StructField(name, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None) -> DataFrame:
-    """The documents whose score reaches CUT."""
-    net = train(docs if all_docs is None else all_docs, labels)
-    return score(docs, net, docs.columns, "_likely").where(F.col("_likely") >= CUT).select(*docs.columns)
+    """The documents whose score reaches CUT, with all their columns, whatever their names; as ``score`` otherwise."""
+    table, _ = hidden(docs, ["doc_id", "text"])
+    scored = score(table, train(docs if all_docs is None else all_docs, labels), table.columns, "_likely")
+    return scored.where(F.col("_likely") >= CUT).select(*table.columns).toDF(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of documents and whether it reaches CUT, learned from the labels of crc32(doc_id) mod 5 other than 0; edge cases as there."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     table = docs.withColumn("held_out", held_out(F.col("doc_id")))
     scored = score(table, train(docs, labels), ["doc_id", "held_out"])

@@ -491,6 +491,53 @@ def test_quality(spark, docs, empty):
     assert quality.train(docs, labels.limit(0)) is None and quality.score(empty, None, ["doc_id"]).count() == 0
 
 
+def test_quality_forward_pass_by_brute_force():
+    rng = np.random.default_rng(2)
+    net = quality.ByteNet.new(3)
+    net.bias[:] = rng.normal(0, 0.1, len(net.bias))
+    for n in (0, 5, 1024, 1025, 3000):
+        raw = np.frombuffer(text(rng, n)[:n].encode(), np.uint8)
+        half, sums = quality.CHUNK // 2, []
+        for at in range(0, max(1, len(raw) - half), half):
+            piece = raw[at : at + quality.CHUNK]
+            chunk = np.concatenate([piece, np.zeros(quality.CHUNK - len(piece), np.uint8)])
+            again = np.zeros(len(chunk))
+            for end in range(quality.GRAM, len(chunk)):
+                gram = chunk[end - quality.GRAM + 1 : end + 1]
+                again[end] = any(end - lag >= quality.GRAM - 1 and (gram == chunk[end - lag - quality.GRAM + 1 : end - lag + 1]).all() and (gram != 0).all() for lag in quality.LAGS)
+            best = np.full(quality.FILTERS, -np.inf)
+            for p in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                under = slice(p, p + quality.WIDTH)
+                best = np.maximum(best, net.embed[chunk[under]].ravel() @ net.filters + again[under] @ net.again)
+            sums.append(np.maximum(best + net.bias, 0))
+        want = 1 / (1 + np.exp(-(np.mean(sums, axis=0) @ net.out + net.shift[0])))
+        assert abs(net.scores([raw])[0] - want) < 1e-4
+
+
+def test_quality_gradients_by_differences():
+    rng = np.random.default_rng(5)
+    raws = [np.frombuffer(text(rng, int(n)).encode(), np.uint8) for n in (40, 300, 3)]
+    target, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    net = quality.ByteNet.new(9)
+    for name in ("embed", "filters", "again", "bias", "out", "shift"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+
+    def loss():
+        p = net.scores(raws)
+        return -(weight * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum() / weight.sum()
+
+    for name, gradient in zip(("embed", "filters", "again", "bias", "out", "shift"), net.gradients(raws, target, weight)):
+        values = getattr(net, name)
+        for at in [np.unravel_index(i, gradient.shape) for i in np.argsort(-np.abs(gradient), axis=None)[:3]]:
+            was, step = values[at], 1e-5
+            values[at] = was + step
+            up = loss()
+            values[at] = was - step
+            down = loss()
+            values[at] = was
+            assert abs((up - down) / (2 * step) - gradient[at]) < 1e-3 * max(1.0, abs(gradient[at])), name
+
+
 def test_pipeline_keeps_clean_documents(spark):
     """Stage by stage on the smallest tables: what each drops it has a reason to drop."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
