@@ -7,7 +7,8 @@ Layout of a store (a folder that Spark writes and reads, on any file system):
                  documents, ``payload`` holds their frames one after another,
                  ``dictionary`` is the SHA-256 of the dictionary they need, ``width``
                  the bytes of an id (little-endian), ``before`` the ids of the part
-                 that precede the block, ``ids`` how many the block has.
+                 that precede the block, ``ids`` how many the block has, ``least`` and
+                 ``most`` the range of its doc_ids, by which readers skip files.
 ``dictionary/``  one row: the dictionary's bytes and its SHA-256.
 """
 
@@ -33,8 +34,10 @@ END = 0
 SAMPLE, DICTIONARY_BYTES = 800, 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
-#: Chunks between spaces whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes that a worker spends on remembering the ids of chunks between spaces (one worker a core).
+REMEMBERED = 256 << 20
+#: About what an entry takes besides the characters and ids: two objects' heads and its place in the map.
+ENTRY = 190
 
 #: Letters of Latin-1 and a mark.
 MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.]")
@@ -61,6 +64,7 @@ class Encoder:
         self.heads: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
         self.marks = {m: self._ids(m) for m in ",."}
+        self.size = 0
 
     def _ids(self, text: str) -> bytes:
         # One text a call: batches of short texts spend more on their threads than on encoding.
@@ -83,7 +87,10 @@ class Encoder:
             elif chunk not in new:
                 new[chunk] = self._ids(lead + chunk)
         known.update(new)
-        return list(new) if len(known) > REMEMBERED else []
+        if self.size > REMEMBERED:
+            return list(new)
+        self.size += sum(map(len, new)) + sum(map(len, new.values())) + ENTRY * len(new)
+        return []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes] = [b""] * len(texts)
@@ -126,6 +133,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
     """Encode every text (null: empty), append END, and write the store in ascending doc_id order.
 
     Null ids come first; rows of equal id are in the order of their texts.
+    Texts are encoded whole, one after another, so a very long one takes memory
+    in proportion; other columns are not read, and an empty table gives an empty store.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer)
@@ -146,6 +155,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
             row = {
                 "part": part, "block": block, "doc_ids": ids, "counts": counts, "offsets": offsets.tolist(), "payload": b"".join(frames),
                 "dictionary": digest, "width": encoder.dtype.itemsize, "before": before, "ids": sum(counts),
+                "least": min((i for i in ids if i is not None), default=None), "most": max((i for i in ids if i is not None), default=None),
             }
             before, block = before + row["ids"], block + 1
             frames, ids, counts, size = [], [], [], 0
@@ -158,6 +168,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
                     [
                         ("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(whole.schema.field("doc_id").type)), ("counts", pa.list_(pa.int64())),
                         ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()), ("dictionary", pa.string()), ("width", pa.int32()), ("before", pa.int64()), ("ids", pa.int64()),
+                        ("least", whole.schema.field("doc_id").type), ("most", whole.schema.field("doc_id").type),
                     ]
                 )
             for lo in range(0, whole.num_rows, 1024):
@@ -175,7 +186,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str) -> str:
             yield flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"part int, block int, doc_ids array<{kind}>, counts array<long>, offsets array<long>, payload binary, dictionary string, width int, before long, ids long"
+    fields = f"part int, block int, doc_ids array<{kind}>, counts array<long>, offsets array<long>, payload binary, dictionary string, width int, before long, ids long, least {kind}, most {kind}"
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(encode, fields).write.option("compression", "uncompressed").parquet(f"{path}/shards")
     spark.createDataFrame([(digest, bytearray(dictionary))], "dictionary string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -215,8 +226,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray | None:
-    """The ids of one document, from its own frame only."""
-    row = spark.read.parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id))).select(
+    """The ids of one document, from its own frame only; None if there is no such id, the first by text of several.
+
+    Documents are in order, so the statistics of ``least`` and ``most`` leave one file, and these columns one block of it.
+    """
+    block = (F.col("least") <= doc_id) & (F.col("most") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id))
+    row = spark.read.parquet(f"{path}/shards").where(block).orderBy("part", "block").limit(1).select(
         "width", F.expr(f"array_position(doc_ids, {int(doc_id)}) as at"), "offsets", "payload"
     )
     frame = row.selectExpr("width", "substring(payload, int(offsets[int(at) - 1]) + 1, int(offsets[int(at)] - offsets[int(at) - 1])) as frame").first()
@@ -228,5 +243,6 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray | N
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``write_store`` of documents, read back by ``read_store``; edge cases as there."""
     path = write_store(documents(spark, sf_dir), new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -251,6 +251,20 @@ def test_token_store_round_trip(spark, docs, rows):
     assert sorted(((r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got), key=lambda r: r[1]) == want
     assert token_store.read_document(spark, path, 204).tolist() == tokenizer.encode(" lead and trail ", add_special_tokens=False).ids + [0]
     assert token_store.read_document(spark, path, 999) is None
+    plan = spark.read.parquet(f"{path}/shards").where("least <= 204 and most >= 204").select("payload")._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "LessThanOrEqual(least,204)" in plan
+
+
+def test_token_store_forgets_beyond_its_bound(monkeypatch):
+    """The ids are the same however few chunks are remembered."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(17)
+    texts = [text(rng, 200) for _ in range(5)]
+    want = [a.tolist() for a in token_store.Encoder(path).encode(texts)]
+    monkeypatch.setattr(token_store, "REMEMBERED", 0)
+    encoder = token_store.Encoder(path)
+    encoder.size = 1
+    assert [a.tolist() for t in texts for a in encoder.encode([t])] == want and len(encoder.rest) == 0
 
 
 def test_token_store_of_an_empty_table(spark, empty):
