@@ -297,4 +297,5 @@ def media_features(table: DataFrame) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``media_features`` of ``with_media`` of documents; edge cases as there."""
     return media_features(with_media(documents(spark, sf_dir)))

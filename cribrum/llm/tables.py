@@ -1,33 +1,19 @@
-"""Where the multi-step operators keep what they have computed so far.
+"""Where the multi-step operators keep what they have computed so far, and what they share over DataFrames.
 
-Lineage is cut by Parquet tables in the folder that ``spark.checkpoint.dir``
-names, which every executor and the driver can reach; where the setting is
-absent (unit tests on one machine) a fresh temporary folder is used.
+Lineage is cut by Parquet tables in the cluster's shared folder, which every
+executor and the driver can reach.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a new local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="cribrum-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from ..operators.lineage import scratch
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cribrum-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, f"cribrum-{name}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
