@@ -228,8 +228,8 @@ def remove_repeats(
     out = T.StructType([*carried, *T.StructType.fromDDL(f"k long, j int, _raw binary, _runs array<long>, _ctxs {_CTX}").fields, *fields])
     settled = stage(keyed.join(of_doc, KEY, "left").select(*carry, *KEY, "_text", "marks").mapInArrow(settle, out), "settled")
 
-    # Rows that repeat give the same stretch; windows of one row must not be taken for repeats of themselves.
-    stretches = settled.select(*KEY, F.explode("_ctxs").alias("c")).select(*KEY, "c.*").dropDuplicates([*KEY, "place"])
+    # Rows that repeat give the same stretch twice, but none of these is open: it was counted twice.
+    stretches = settled.select(*KEY, F.explode("_ctxs").alias("c")).select(*KEY, "c.*")
     found = compare(stretches).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
