@@ -16,7 +16,7 @@ from .tables import documents, in_order, stage
 
 WIDTH = 200
 #: Groups of more stretches than this are sorted window by window over all tasks, not as one group.
-CROWD = 1024
+CROWD = 4096
 
 
 def _spec(width: int) -> Windows:

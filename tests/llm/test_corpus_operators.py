@@ -60,7 +60,7 @@ def covered(sequences, width):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1024, 2])
+@pytest.mark.parametrize("crowd", [4096, 2])
 def test_suffix_array_equals_brute_force(docs, rows, monkeypatch, crowd):
     monkeypatch.setattr(suffix_array_dedup, "CROWD", crowd)  # groups of more stretches than this are sorted window by window
     raws = [(t or "").encode() for _, t in rows]
