@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .ranking import rank_norm
+from .metrics import auroc, average_precision
+from .ranking import best_per_key, rank_norm
+from .similarity import nearest_rows
 
 
 def feature_blocks(df: DataFrame, blocks: list[tuple[str, list[str]]], width: int | None = None) -> tuple[DataFrame, list[tuple[str, int, int]]]:
@@ -54,6 +57,32 @@ def space_folds(df: DataFrame, key: str, array: str, k: int, seed: int) -> DataF
     return out.select(key, "fold", plane[0].alias("pc_1"), plane[1].alias("pc_2"))
 
 
+def attach_folds(df: DataFrame, folds: DataFrame, key: str, fold: str = "fold") -> DataFrame:
+    """The rows with their fold, joined by key; an error if a row has none or a key has several."""
+    out = cut(df.join(folds.select(key, fold), key, "left"))
+    n, missing = out.agg(F.count(F.lit(1)), F.count_if(F.col(fold).isNull())).first()
+    if missing or n != df.count():
+        raise ValueError(f"{missing} rows have no fold, {n} rows with folds")
+    return out
+
+
+def cluster_representatives(df: DataFrame, group: str, key: str, array: str, score: str, k: int, seed: int) -> DataFrame:
+    """Per group: its rows in ``k`` clusters, and of each the row of the highest score (the least key among equals); all rows of groups of up to ``k``.
+
+    Columns group, cluster, key.  Clusters are fitted group by group: the driver loops over the (few) groups.
+    """
+    rows = cut(vectors(df.select(group, key, array, score), array).drop(array))
+    parts = []
+    for name, n in sorted((r[0], r[1]) for r in rows.groupBy(group).count().collect()):
+        own = rows.where(F.col(group) == name)
+        if n <= k:
+            placed = own.withColumn("cluster", F.row_number().over(Window.orderBy(key)) - 1)  # at most k rows
+        else:
+            placed = KMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(own).transform(own)
+        parts.append(best_per_key(placed, [group, "cluster"], [F.desc(score), F.asc(key)]).select(group, "cluster", key))
+    return reduce(DataFrame.unionByName, parts) if parts else rows.select(group, F.lit(0).alias("cluster"), key)
+
+
 def sphere_clusters(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """key, cluster: leaders take all that is near them; the most connected unassigned row of its neighbourhood leads.
 
@@ -64,7 +93,7 @@ def sphere_clusters(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     both = cut(pairs.select("i", "j").union(pairs.select("j", "i")).distinct().toDF("a", "b"))
     degree = both.groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("degree"))
     waiting = cut(nodes.select(F.col(key).alias("n")).join(degree, "n", "left").select("n", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("n")).alias("m")).alias("rank")))
-    done: DataFrame | None = None
+    done: list[DataFrame] = []
     while not waiting.isEmpty():
         rank = waiting.select(F.col("n").alias("b"), F.col("rank").alias("other"))
         live = both.join(waiting.select(F.col("n").alias("a")), "a", "left_semi").join(rank, "b")
@@ -72,9 +101,9 @@ def sphere_clusters(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         leaders = cut(waiting.join(rival, "n", "left").where(F.col("other").isNull() | (F.col("rank") > F.col("other"))).select("n", "rank"))
         joined = live.select("a", "b").join(leaders.select(F.col("n").alias("b"), "rank"), "b").groupBy(F.col("a").alias("n")).agg(F.max(F.struct("rank", F.col("b").alias("leader")))["leader"].alias("cluster"))
         now = leaders.select("n", F.col("n").alias("cluster")).union(joined.select("n", "cluster"))
-        done = cut(now if done is None else done.union(now))
-        waiting = cut(waiting.join(done.select("n"), "n", "left_anti"))
-    return done.withColumnRenamed("n", key) if done is not None else nodes.select(key, F.col(key).alias("cluster"))
+        done.append(cut(now))
+        waiting = cut(waiting.join(done[-1].select("n"), "n", "left_anti"))
+    return reduce(DataFrame.union, done).withColumnRenamed("n", key) if done else nodes.select(key, F.col(key).alias("cluster"))
 
 
 def pack_folds(spark: SparkSession, clustered: DataFrame, cluster: str, k: int) -> DataFrame:
@@ -97,6 +126,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.crossJoin(F.broadcast(counts)).withColumn("weight", F.when(F.col(label) == 1, F.col("_r")).otherwise(1.0)).drop("_r")  # one row
 
 
+def save_models(models: list[Model], path: str) -> None:
+    """Fold models in numbered folders; an error if there are any already."""
+    for i, m in enumerate(models):
+        m.save(f"{path}/model_{i}")
+
+
+def load_models(path: str, n: int, regression: bool = False) -> list[Model]:
+    kind = GBTRegressionModel if regression else GBTClassificationModel
+    return [kind.load(f"{path}/model_{i}") for i in range(n)]
+
+
 def _trees(regression: bool, label: str, trees: int, seed: int, validate: bool):
     kind = GBTRegressor if regression else GBTClassifier
     model = kind(featuresCol="vector", labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.2, seed=seed)
@@ -157,6 +197,33 @@ def grouped_importance(model: Model, slices: list[tuple[str, int, int]]) -> list
     return [(name, float(values[a:b].sum()), float(values[a:b].sum()) / total) for name, a, b in slices]
 
 
+def ablation(df: DataFrame, key: str, label: str, fold: str, folds: list[int], variants: dict[tuple[str, str], list[str]], trees: int = 2) -> DataFrame:
+    """Rows (features, block, n, auroc, ap): the same folds and models for each variant's columns (arrays or numbers)."""
+    out = []
+    for (features, block), columns in variants.items():
+        rows, _ = feature_blocks(df, [("all", columns)])
+        oof = cut(cross_validate(vectors(rows), key, label, fold, folds, trees=trees)[0])
+        scores = auroc(oof, label, "oof").crossJoin(average_precision(oof, label, "oof")).crossJoin(oof.agg(F.count("oof").alias("n")))  # one row each
+        out.append(scores.select(F.lit(features).alias("features"), F.lit(block).alias("block"), "n", "auroc", "ap"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def probes(df: DataFrame, queries: DataFrame, key: str, target: str, array: str, fold: str, folds: list[int], alpha: float, k: int) -> DataFrame:
+    """Rows (method, key, target, prediction) under the same folds: ridge regression and the training mean for all rows, the mean of the k nearest training rows for the queries."""
+    rows = cut(vectors(df.select(key, target, array, fold), array))
+    parts = []
+    for f in folds:
+        train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
+        ridge = linear_probe(train, target, alpha).transform(test).select(F.lit("ridge").alias("method"), key, target, "prediction")
+        mean = train.agg(F.avg(target).alias("prediction"))
+        flat = test.crossJoin(F.broadcast(mean)).select(F.lit("mean").alias("method"), key, target, "prediction")  # one row
+        asked = queries.join(test.select(key, array, target), key)
+        near = nearest_rows(train, asked, key, array, k).join(train.select(F.col(key).alias("neighbour"), F.col(target).alias("_t")), "neighbour")
+        knn = near.groupBy("query").agg(F.avg("_t").alias("prediction")).join(asked.select(F.col(key).alias("query"), target), "query")
+        parts += [ridge, flat, knn.select(F.lit("knn").alias("method"), F.col("query").alias(key), target, "prediction")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def linear_probe(df: DataFrame, label: str, alpha: float) -> Model:
     """Ridge regression whose penalty is alpha over the number of rows."""
     n = df.count()

@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that global orders are cut into.
-RANGES = 32
+from .lineage import cut
+
+#: Ranges that global orders are cut into: at least these, as many as shuffle partitions, and no more than the last.
+LEAST_RANGES, MOST_RANGES = 32, 1000
+#: Rows up to which the best are taken by a sort with a limit.
+TOP = 10_000
 
 
 def _range_of(df: DataFrame, key: str) -> Column:
     """The range of a numeric key, between quantiles of its values: an expression over literals."""
-    bounds = sorted(set(df.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.01)))
+    n = min(MOST_RANGES, max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], min(0.01, 0.25 / n))))
     if not bounds:
         return F.lit(0)
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
 
 
+def row_numbers(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Adds 0, 1, 2, ... in the order given, which must tell all rows apart where ties matter.
+
+    Rows are sorted over range partitions and numbered within; the numbers of
+    rows in the partitions before (one row a partition) are then added.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, F.col("_before") + within).drop("_at", "_part", "_before")
+
+
 def running_totals(df: DataFrame, key: str, sums: list[str], descending: bool = False) -> DataFrame:
     """Adds ``cum_<c>``, the sum of ``c`` up to and with each row in the order of a unique numeric key.
 
-    The key's ranges are summed apart; totals of the ranges before (RANGES rows
-    at most) are then added.
+    The key's ranges are summed apart; totals of the ranges before (one row a
+    range) are then added.
     """
     order = F.desc if descending else F.asc
     placed = df.withColumn("_range", _range_of(df, key))
@@ -43,7 +62,10 @@ def positions(df: DataFrame, score: str) -> DataFrame:
     distinct = keyed.where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("ties"))
     ranked = running_totals(distinct, "_v", ["ties"]).select("_v", (F.col("cum_ties") - F.col("ties")).alias("below"), "ties")
     total = distinct.agg(F.sum("ties").alias("total"))
-    return keyed.join(ranked, "_v", "left").crossJoin(F.broadcast(total)).withColumn("total", F.when(F.col("_v").isNotNull(), F.col("total"))).drop("_v")
+    # Rows without a score would all meet in one task of the join.
+    found = keyed.where("_v is not null").join(ranked, "_v").crossJoin(F.broadcast(total)).drop("_v")  # one row
+    none = keyed.where("_v is null").drop("_v").withColumns({c: F.lit(None).cast("long") for c in ("below", "ties", "total")})
+    return found.select(*df.columns, "below", "ties", "total").unionByName(none)
 
 
 def rank_norm(df: DataFrame, score: str, name: str) -> DataFrame:
@@ -59,16 +81,9 @@ def average_rank_desc(df: DataFrame, score: str, name: str) -> DataFrame:
 
 
 def ordinal_rank(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """1, 2, ... by descending score, then key; rows without a score last."""
-    place = positions(df, score)
-    total = place.agg(F.count("total").alias("_scored"))
-    tie = Window.partitionBy(score).orderBy(key)
-    above = F.col("total") - F.col("below") - F.col("ties")
-    return (
-        place.crossJoin(F.broadcast(total))
-        .withColumn(name, F.coalesce(above, F.col("_scored")) + F.row_number().over(tie))
-        .drop("below", "ties", "total", "_scored")
-    )
+    """1, 2, ... by descending score, then key; rows without a score (null or NaN) last."""
+    value = df.withColumn("_v", F.when(~F.isnan(score), F.col(score).cast("double")))
+    return row_numbers(value, [F.desc_nulls_last("_v"), F.asc(key)], name).drop("_v").withColumn(name, F.col(name) + 1)
 
 
 def fractional_rank(df: DataFrame, score: str, name: str) -> DataFrame:
@@ -92,14 +107,19 @@ def top_or_threshold(df: DataFrame, score: str, key: str, n: int | None = None,
     """The ``n`` best rows, or those from ``threshold`` on; exactly one of the two."""
     if (n is None) == (threshold is None):
         raise ValueError("give either n or threshold")
-    return df.orderBy(F.desc_nulls_last(score), key).limit(n) if n is not None else df.where(F.col(score) >= threshold)
+    if n is None:
+        return df.where(F.col(score) >= threshold)
+    order = [F.desc_nulls_last(score), F.asc(key)]
+    # The rows of a limit meet in one task, so a large one goes by numbers.
+    return df.orderBy(*order).limit(n) if n <= TOP else row_numbers(df, order, "_place").where(F.col("_place") < n).drop("_place")
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """All positives and as many negatives, chosen by a seeded hash of the key; all of them if they are no more."""
     positives, negatives = df.where(F.col(label) == 1), df.where(F.col(label) != 1)
     lot = F.xxhash64(F.lit(seed), F.col(key))
-    return positives.unionByName(negatives.orderBy(lot, key).limit(positives.count()))
+    chosen = row_numbers(negatives.withColumn("_lot", lot), ["_lot", key], "_place").where(F.col("_place") < positives.count())
+    return positives.unionByName(chosen.drop("_lot", "_place"))
 
 
 def hash_sample(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:

@@ -1,17 +1,33 @@
-"""Folds and models over ``embeddings``: the class is whether the label is below 3, the target the label."""
+"""Folds and models over ``embeddings``: the target is the sum of three coordinates, the class whether that is positive."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M, models as X, ranking as K
+from ..operators.lineage import cut, scratch
+from ..sources.writers import write_groups
 from .registry import query, table
 from .similarity import similar_pairs
 
 
+FOLDS = [0, 1, 2, 3]
+_TARGET = "(embedding[1]::double + embedding[20]::double + embedding[40]::double)"
+
+
+def _target():
+    return sum((F.get("embedding", i - 1).cast("double") for i in (20, 40)), F.get("embedding", 0).cast("double"))
+
+
+def _fold():
+    """Blocks of twenty ids take turns, so that the ids divisible by 20 are in all folds."""
+    return F.floor(F.col("vec_id") / 20).cast("int") % 4
+
+
 def rows(spark, d):
     e = table(spark, d, "embeddings")
-    base = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("label") < 3).cast("int").alias("y"), F.col("label").cast("double").alias("target"), (F.col("vec_id") % 4).cast("int").alias("fold"))
+    base = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (_target() > 0).cast("int").alias("y"), _target().alias("target"), _fold().alias("fold"))
     return X.vectors(base, "embedding").withColumn("features", F.col("embedding"))
 
 
@@ -19,7 +35,7 @@ def _summary(oof):
     return oof.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives"), F.bool_and((F.col("oof") >= 0) & (F.col("oof") <= 1)).alias("in_range"))
 
 
-_FOLDS = "select (vec_id % 4)::int as fold, count(*) as n, count(*) filter (label < 3) as positives, true as in_range from embeddings group by 1"
+_FOLDS = "select (vec_id // 20 % 4)::int as fold, count(*) as n, count(*) filter (" + _TARGET + " > 0) as positives, true as in_range from embeddings group by 1"
 
 
 @query()
@@ -27,11 +43,11 @@ def mdl1_space_folds(spark, d):
     return X.space_folds(table(spark, d, "embeddings"), "vec_id", "embedding", 6, 11)
 
 
-@query("select vec_id, label, (label % 3)::int as fold from embeddings")
+@query("select vec_id, label, (vec_id % 3)::int as fold from embeddings")
 def mdl2_attach_folds(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    folds = e.select("vec_id", (F.col("label") % 3).cast("int").alias("fold"))
-    return e.join(folds, "vec_id").select("vec_id", "label", "fold")
+    path, e = scratch(spark, "folds"), table(spark, d, "embeddings").select("vec_id", "label")
+    e.select("vec_id", (F.col("vec_id") % 3).cast("int").alias("fold")).write.parquet(path)
+    return X.attach_folds(e, spark.read.parquet(path), "vec_id").select("vec_id", "label", "fold")
 
 
 @query()
@@ -47,10 +63,14 @@ def mdl4_balanced_folds(spark, d):
 
 @query()
 def mdl5_cluster_representatives(spark, d):
-    """Per label: six clusters and the row of each nearest the front (least vec_id)."""
-    folds = X.space_folds(table(spark, d, "embeddings"), "vec_id", "embedding", 6, 11)
-    labelled = folds.join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
-    return K.best_per_key(labelled, ["label", "fold"], [F.asc("vec_id")]).select("label", "fold", "vec_id")
+    """Per label: six clusters and the row of the highest score (first coordinate) of each."""
+    e = table(spark, d, "embeddings").withColumn("score", F.get("embedding", 0).cast("double"))
+    return X.cluster_representatives(e, "label", "vec_id", "embedding", "score", 6, 11)
+
+
+@query("select label, least(count(*), 6) as n from embeddings group by label")
+def mdl5_representatives_per_group(spark, d):
+    return mdl5_cluster_representatives(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select quality as y, round(case when quality = 1 then (count(*) filter (quality = 0) over ()) / (count(*) filter (quality = 1) over ())::double else 1 end, 6) as weight, doc_id from labels")
@@ -61,10 +81,10 @@ def mdl6_class_weights(spark, d):
 
 @query(_FOLDS)
 def mdl7_rotating_validation(spark, d):
-    return _summary(X.cross_validate(rows(spark, d), "vec_id", "y", "fold", [0, 1, 2, 3], rotate=True)[0])
+    return _summary(X.cross_validate(rows(spark, d), "vec_id", "y", "fold", FOLDS, rotate=True)[0])
 
 
-@query("select vec_id, true as scored, (vec_id % 4) = 3 as is_holdout from embeddings")
+@query("select vec_id, true as scored, (vec_id // 20 % 4) = 3 as is_holdout from embeddings")
 def mdl8_oof_and_holdout(spark, d):
     """Folds 0-2 get out-of-fold scores, fold 3 the mean of the fold models."""
     df = rows(spark, d)
@@ -74,68 +94,122 @@ def mdl8_oof_and_holdout(spark, d):
     return both.select("vec_id", F.col("p").between(0, 1).alias("scored"), "is_holdout")
 
 
-@query("select vec_id, true as scored from embeddings")
+@query("select vec_id, true as scored, true as same from embeddings")
 def mdl9_every_row_once(spark, d):
-    oof, _ = X.cross_validate(rows(spark, d), "vec_id", "y", "fold", [0, 1, 2, 3])
-    return oof.select("vec_id", F.col("oof").between(0, 1).alias("scored"))
+    """One score a row by a model that has not seen it; the saved models, loaded, score the same."""
+    df, path = rows(spark, d), scratch(spark, "models")
+    oof, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS)
+    X.save_models(models, path)
+    again = X.ensemble_score(df, X.load_models(path, len(models))).select("vec_id", F.get("members", "fold").alias("again"))
+    return oof.join(again, "vec_id").select("vec_id", F.col("oof").between(0, 1).alias("scored"), (F.abs(F.col("oof") - F.col("again")) < 1e-9).alias("same"))
 
 
-@query()
+@query("select unnest(['fixed', 'early']) as variant, count(*) as n, true as beats_mean from embeddings")
 def mdl10_regression(spark, d):
-    oof, _ = X.cross_validate(rows(spark, d), "vec_id", "target", "fold", [0, 1, 2, 3], regression=True)
-    return M.regression_errors(oof, "target", "oof", 4.5)
+    """A fixed number of trees, and a fold that decides when to stop: is the error below that of the mean?"""
+    df, mean = rows(spark, d), table(spark, d, "embeddings").agg(F.avg(_target())).first()[0]
+    out = []
+    for name, rotate in (("fixed", False), ("early", True)):
+        oof, _ = X.cross_validate(df, "vec_id", "target", "fold", FOLDS, regression=True, rotate=rotate)
+        errors = M.regression_errors(oof, "target", "oof", mean).crossJoin(oof.agg(F.count("oof").alias("n")))  # one row each
+        out.append(errors.select(F.lit(name).alias("variant"), "n", (F.col("rmse") < F.col("baseline_rmse")).alias("beats_mean")))
+    return out[0].unionByName(out[1])
 
 
-@query()
+_SETS = {"head": (1, 16), "middle": (17, 16), "tail": (33, 32)}
+_BLOCKS = {"none": [], "norm": ["norm"], "signs": ["norm", "signs"]}
+
+
+def _variants(spark, d):
+    """Three feature sets, alone and with one or two further blocks."""
+    embedding = F.col("embedding")
+    df = rows(spark, d).drop("vector", "features").withColumns({name: F.slice(embedding, *at) for name, at in _SETS.items()})
+    squares = F.aggregate(F.transform(embedding, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    df = df.withColumns({"norm": F.sqrt(squares), "signs": F.transform(embedding, lambda x: F.signum(x))})
+    return cut(df), {(s, b): [s, *columns] for s in _SETS for b, columns in _BLOCKS.items()}
+
+
+@query(
+    "select features, block, n, true as auroc_in_range, true as ap_above_prevalence from (select unnest(['head', 'middle', 'tail']) as features), (select unnest(['none', 'norm', 'signs']) as block), (select count(*) as n from embeddings)"
+)
 def mdl11_ablation(spark, d):
-    """Feature sets against one protocol: AUROC and average precision of each."""
-    out = None
-    for name, (start, length) in {"head": (1, 16), "tail": (33, 32), "all": (1, 64)}.items():
-        df = X.vectors(rows(spark, d).drop("vector").withColumn("part", F.slice("embedding", start, length)), "part")
-        oof, _ = X.cross_validate(df, "vec_id", "y", "fold", [0, 1], trees=3)
-        one = M.auroc(oof, "y", "oof").crossJoin(M.average_precision(oof, "y", "oof")).withColumn("features", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Feature sets by blocks against one protocol over all folds; SQL can only bound the scores, which the operator gives."""
+    df, variants = _variants(spark, d)
+    base = df.agg(F.avg("y").alias("base"))
+    out = X.ablation(df, "vec_id", "y", "fold", FOLDS, variants).crossJoin(F.broadcast(base))  # one row
+    return out.select("features", "block", "n", F.col("auroc").between(0.5, 1).alias("auroc_in_range"), (F.col("ap") >= F.col("base")).alias("ap_above_prevalence"))
 
 
 @query()
 def mdl12_block_effect(spark, d):
-    scores = {r.features: r.auroc for r in mdl11_ablation(spark, d).collect()}
-    return spark.createDataFrame([("all", "head", scores["all"] - scores["head"]), ("all", "tail", scores["all"] - scores["tail"])], "with string, without string, delta double")
+    """What a further block changes, over all folds."""
+    df, variants = _variants(spark, d)
+    scores = X.ablation(df, "vec_id", "y", "fold", FOLDS, {k: v for k, v in variants.items() if k[0] == "head" and k[1] != "norm"})
+    wide = scores.groupBy("features").agg(*[F.max(F.when(F.col("block") == b, F.col(m))).alias(f"{m}_{b}") for m in ("auroc", "ap") for b in ("none", "signs")])
+    return wide.select("features", (F.col("auroc_signs") - F.col("auroc_none")).alias("auroc_delta"), (F.col("ap_signs") - F.col("ap_none")).alias("ap_delta"))
 
 
-@query()
+@query("select unnest(['first', 'rest']) as block, true as in_range, 1.0::double as total")
 def mdl13_grouped_importance(spark, d):
+    """Shares of feature blocks in the models of all folds, averaged; they add up to 1."""
     df = rows(spark, d).withColumns({"a": F.slice("embedding", 1, 16), "b": F.slice("embedding", 17, 48)})
     df, slices = X.feature_blocks(df, [("first", ["a"]), ("rest", ["b"])], 64)
-    _, models = X.cross_validate(X.vectors(df.drop("vector")), "vec_id", "y", "fold", [0, 1], trees=3)
-    return spark.createDataFrame(X.grouped_importance(models[0], slices), "block string, importance double, share double")
+    _, models = X.cross_validate(X.vectors(df.drop("vector")), "vec_id", "y", "fold", FOLDS, trees=3)
+    shares = [row for m in models for row in X.grouped_importance(m, slices)]
+    means = spark.createDataFrame(shares, "block string, importance double, share double").groupBy("block").agg(F.avg("share").alias("share"))
+    total = means.agg(F.round(F.sum("share"), 6).alias("total"))
+    return means.crossJoin(F.broadcast(total)).select("block", F.col("share").between(0, 1).alias("in_range"), "total")  # one row
 
 
-@query()
-def mdl14_linear_probe(spark, d):
+def _probes(spark, d):
     df = rows(spark, d)
-    model = X.linear_probe(df.where("fold <> 3"), "target", 1.0)
-    return M.regression_errors(model.transform(df.where("fold = 3")), "target", "prediction", 4.5)
+    return X.probes(df, df.where("vec_id % 20 = 0").select("vec_id"), "vec_id", "target", "embedding", "fold", FOLDS, 1.0, 10)
+
+
+@query(
+    f"with m as (select fold, avg({_TARGET}) as p from (select unnest([0, 1, 2, 3]) as fold) f join embeddings on vec_id // 20 % 4 <> fold group by fold) "
+    "select method, n, round(case when method = 'mean' then rmse end, 6) as mean_rmse, method <> 'mean' as beats_mean from (select unnest(['ridge', 'knn', 'mean']) as method), "
+    f"(select count(*) as all_rows, count(*) filter (vec_id % 20 = 0) as asked, sqrt(avg(power({_TARGET} - p, 2))) as rmse from embeddings join m on fold = vec_id // 20 % 4), lateral (select case when method = 'knn' then asked else all_rows end as n)"
+)
+def mdl14_probes(spark, d):
+    """Ridge, nearest neighbours (of the ids divisible by 20) and the training mean under the same folds."""
+    out = cut(_probes(spark, d))
+    errors = out.groupBy("method").agg(F.count("prediction").alias("n"), F.sqrt(F.avg(F.pow(F.col("target") - F.col("prediction"), F.lit(2)))).alias("rmse"))
+    base = errors.where("method = 'mean'").select(F.col("rmse").alias("base"))
+    flagged = errors.crossJoin(F.broadcast(base))  # one row
+    return flagged.select("method", "n", F.round(F.when(F.col("method") == "mean", F.col("rmse")), 6).alias("mean_rmse"), (F.col("rmse") < F.col("base")).alias("beats_mean"))
+
+
+@query(
+    "with e as (select *, " + _TARGET + " as target from embeddings), r as (select a.vec_id, b.target, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as place from e a join e b on a.vec_id // 20 % 4 <> b.vec_id // 20 % 4 where a.vec_id % 20 = 0) "
+    "select vec_id, round(avg(target), 6) as prediction from r where place <= 10 group by vec_id"
+)
+def mdl14_knn_probe(spark, d):
+    return _probes(spark, d).where("method = 'knn'").select("vec_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("select vec_id, vec_id % 7 = 0 as no_score from embeddings")
+@query("select vec_id, vec_id % 7 = 0 as no_score, case when vec_id % 7 <> 0 then 4 end as members, true as fits from embeddings")
 def mdl15_score_new_rows(spark, d):
-    """Rows without features stay, with null scores."""
+    """Rows without features stay, with null scores; the mean and deviation of the others are those of four members."""
     df = rows(spark, d)
-    _, models = X.cross_validate(df, "vec_id", "y", "fold", [0, 1], trees=3)
+    _, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS, trees=3)
     new = df.withColumn("vector", F.when(F.col("vec_id") % 7 != 0, F.col("vector")))
-    return X.ensemble_score(new, models).select("vec_id", F.col("mean").isNull().alias("no_score"))
+    out = X.ensemble_score(new, models)
+    inside = (F.col("mean") >= F.array_min("members") - 1e-9) & (F.col("mean") <= F.array_max("members") + 1e-9) & (F.col("std") >= 0)
+    return out.select("vec_id", F.col("mean").isNull().alias("no_score"), F.when(F.col("members").isNotNull(), F.size("members")).alias("members"), F.coalesce(inside, F.lit(True)).alias("fits"))
 
 
-_ORDERED = "p as (select a.vec_id as a, b.vec_id as b, a.label - b.label >= 1 as y from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 = 0 and a.vec_id % 4 = b.vec_id % 4 and a.vec_id <> b.vec_id)"
+_ORDERED = "p as (select a.vec_id as a, b.vec_id as b, a.label - b.label >= 1 as y from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id // 20 % 4 = b.vec_id // 20 % 4 and a.vec_id <> b.vec_id)"
+#: Parts that the rows of a fold are dealt into, each of which meets all queries of the fold.
+_PARTS = 32
 
 
 def _ordered_pairs(spark, d):
-    """Ordered pairs i <> j within a fold of the stated set of queries (vec_id divisible by 20)."""
-    e = table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 4).alias("fold"))
-    a, b = e.toDF("a", "la", "va", "fold"), e.toDF("b", "lb", "vb", "fold")
-    return a.join(b, "fold").where("a <> b").withColumn("y", F.col("la") - F.col("lb") >= 1)
+    """Ordered pairs i <> j within a fold: the stated queries (ids divisible by 20) against all rows, in blocks."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), _fold().alias("fold"))
+    a = e.where("vec_id % 20 = 0").toDF("a", "la", "va", "fold").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    b = e.toDF("b", "lb", "vb", "fold").withColumn("part", F.pmod(F.hash("b"), F.lit(_PARTS)))
+    return a.join(b, ["fold", "part"]).where("a <> b").withColumn("y", F.col("la") - F.col("lb") >= 1)
 
 
 @query(f"with {_ORDERED} select a, b, y from p")
@@ -143,9 +217,15 @@ def jon11_ordered_pairs(spark, d):
     return _ordered_pairs(spark, d).select("a", "b", "y")
 
 
-@query(f"with {_ORDERED} select a, round(avg(y::int), 6) as score from p group by a")
+@query("select a.vec_id as a, round(avg((a.label - b.label >= 1)::int), 6) as score from embeddings a join embeddings b on a.vec_id // 20 % 4 = b.vec_id // 20 % 4 and a.vec_id <> b.vec_id group by a.vec_id")
 def win13_pair_to_row_score(spark, d):
-    return _ordered_pairs(spark, d).groupBy("a").agg(F.round(F.avg(F.col("y").cast("int")), 6).alias("score"))
+    """Every row's share of its fold that it beats by 1 at least, from the fold's histogram of labels instead of pairs."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), "label", _fold().alias("fold"))
+    counts = e.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    fold = Window.partitionBy("fold")
+    # One row a fold and label.
+    beaten = counts.select("fold", "label", F.coalesce(F.sum("n").over(fold.orderBy("label").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beaten"), (F.sum("n").over(fold) - 1).alias("others"))
+    return e.join(beaten, ["fold", "label"]).where("others > 0").select("a", F.round(F.col("beaten") / F.col("others"), 6).alias("score"))
 
 
 @query()
@@ -153,11 +233,13 @@ def mdl16_pairwise_preference(spark, d):
     """Difference features of ordered pairs, balanced classes, a model, and the mean chance to win as each row's score."""
     from ..functions.scalars import differences
 
-    pairs = _ordered_pairs(spark, d).select("a", "b", "la", F.col("y").cast("int").alias("y"), differences(F.col("va"), F.col("vb")).alias("features"), (F.col("a") * 1000003 + F.col("b")).alias("k"), (F.col("a") / 20 % 2).cast("int").alias("fold"))
+    pairs = _ordered_pairs(spark, d).select("a", "b", "la", F.col("y").cast("int").alias("y"), differences(F.col("va"), F.col("vb")).alias("features"), F.xxhash64("a", "b").alias("k"), (F.floor(F.col("a") / 80) % 4).cast("int").alias("fold"))
+    pairs = cut(pairs)
     train = X.vectors(K.balanced(pairs, "y", "k", 3))
-    _, models = X.cross_validate(train, "k", "y", "fold", [0, 1], trees=3)
-    scored = X.ensemble_score(X.vectors(pairs), models)
-    per_row = scored.groupBy("a").agg(F.avg("mean").alias("score"), F.first("la").alias("label"))
+    # A row is scored by the models that have not seen it as the first of a pair.
+    _, models = X.cross_validate(train, "k", "y", "fold", FOLDS, trees=3)
+    scored = X.ensemble_score(X.vectors(pairs), models).withColumn("p", F.get("members", "fold"))
+    per_row = scored.groupBy("a").agg(F.avg("p").alias("score"), F.first("la").alias("label"))
     return M.correlations(per_row, "score", "label")
 
 
@@ -178,12 +260,31 @@ def mdl17_parameter_search(spark, d):
     return spark.createDataFrame([(p[lr.regParam], float(m)) for p, m in zip(grid, fitted.avgMetrics)], "reg double, pr_auc double")
 
 
+def _funnel(spark, d):
+    """Score, keep the better half, route to the nearest of three references, cluster, select, write by group, read back."""
+    df = rows(spark, d)
+    _, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS, trees=3)
+    scored = cut(X.ensemble_score(df, models).select("vec_id", "embedding", "mean"))
+    best = K.top_or_threshold(scored, "mean", "vec_id", n=max(6, scored.count() // 2))
+    refs = {r.vec_id: list(r.embedding) for r in df.where("vec_id in (1, 2, 3)").select("vec_id", "embedding").collect()}  # three rows
+    dots = [F.struct(F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, v)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("sim"), F.lit(-i).alias("i")) for i, v in sorted(refs.items())]
+    routed = best.withColumn("grp", F.when(F.greatest(*dots)["sim"] > 0, F.concat(F.lit("g"), (-F.greatest(*dots)["i"]).cast("string"))).otherwise("DEFAULT"))
+    routed, path = cut(routed), scratch(spark, "picks")
+    picks = X.cluster_representatives(routed, "grp", "vec_id", "embedding", "mean", 3, 11)
+    write_groups(picks.join(routed.select("vec_id", "mean"), "vec_id"), "grp", path)
+    return routed, spark.read.parquet(path)
+
+
 @query()
 def mdl19_funnel(spark, d):
-    """Score, keep the best, cluster, and one representative a cluster."""
-    df = rows(spark, d)
-    _, models = X.cross_validate(df, "vec_id", "y", "fold", [0, 1], trees=3)
-    scored = X.ensemble_score(df, models)
-    best = K.top_or_threshold(scored, "mean", "vec_id", n=max(6, scored.count() // 2)).select("vec_id", "embedding", "mean")
-    folds = X.space_folds(best, "vec_id", "embedding", 3, 11)
-    return K.best_per_key(folds.join(best.select("vec_id", "mean"), "vec_id"), ["fold"], [F.desc("mean"), F.asc("vec_id")]).select("fold", "vec_id", F.round("mean", 6).alias("mean"))
+    return _funnel(spark, d)[1].select("grp", "cluster", "vec_id", F.round("mean", 6).alias("mean"))
+
+
+@query("select greatest(6, count(*) // 2) as n_kept, true as picks_fit from embeddings")
+def mdl19_funnel_counts(spark, d):
+    """Half of the rows pass, and each group gives one row a cluster: three, or all it has."""
+    routed, picks = _funnel(spark, d)
+    wanted = routed.groupBy("grp").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("wanted"), F.count(F.lit(1)).alias("n"))
+    got = picks.groupBy("grp").agg(F.count_distinct("cluster").alias("got"), F.count(F.lit(1)).alias("rows"))
+    both = wanted.join(got, "grp", "left")
+    return both.agg(F.sum("n").alias("n_kept"), F.bool_and((F.col("wanted") == F.col("got")) & (F.col("wanted") == F.col("rows"))).alias("picks_fit"))
