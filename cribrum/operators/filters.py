@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import let
+from .lineage import cut, few
 from .replicates import nearest_quantile
 
+#: Rows up to which one side of a join is broadcast; texts and patterns among them are a few hundred bytes each.
+BROADCAST_ROWS = 100_000
+
 
 def literals(patterns: list[str], least: int = 4) -> list[str]:
     """Distinct patterns of ``least`` characters at least, in their order."""
@@ -68,21 +72,52 @@ def contained_references(df: DataFrame, key: str, text: str, references: DataFra
     """Rows (key, ref_id, sites): references whose pattern occurs in the text as a run of whole words.
 
     ``references``: ref_id, site (labels joined by ``|``), pattern (words, lower
-    case).  The first three words of a pattern are looked up among the word
-    triples of the texts, so only texts that hold them are compared in full.
+    case).  Hashes of the first words of a pattern, up to three, are looked up
+    among those of the texts' runs of words; only texts that hold them are compared in full.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    triple = lambda words, i: F.array_join(F.slice(words, i, 3), " ")
-    refs = references.select("ref_id", "site", clean(F.col("pattern")).alias("pattern")).withColumn("_t", triple(F.split("pattern", " "), F.lit(1)))
+    refs = references.select("ref_id", "site", clean(F.col("pattern")).alias("pattern")).where("pattern <> ''")
+    refs = cut(refs.withColumn("_w", F.slice(F.split("pattern", " "), 1, 3)).withColumn("_n", F.size("_w")).withColumn("_t", F.xxhash64("_w")).drop("_w"))
+    sizes = sorted(r[0] for r in refs.select("_n").distinct().collect())  # 1, 2 and 3 at most
     texts = df.select(key, clean(F.col(text)).alias("_text"))
-    triples = let(
-        F.split("_text", " "), lambda words: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 2)), lambda i: triple(words, i)))
-    )
-    near = texts.select(key, F.explode(triples).alias("_t")).join(refs, "_t").drop("_t").distinct().join(texts, key)
-    hits = near.where(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("pattern"), F.lit(" "))))
+
+    def of_size(words: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+        return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<long>"))
+
+    def runs(words: Column) -> Column:
+        return F.array_distinct(F.concat(*[of_size(words, n) for n in sizes])) if sizes else F.array().cast("array<long>")
+
+    heads = refs.select("ref_id", "_t")
+    heads = F.broadcast(heads) if few(heads, BROADCAST_ROWS) else heads
+    near = texts.select(key, F.explode(let(F.split("_text", " "), runs)).alias("_t")).join(heads, "_t").select(key, "ref_id").distinct()
+    near = cut(near).join(refs.select("ref_id", "site", "pattern"), "ref_id")
+    # Texts stay where they are if few of them are asked for.
+    near = F.broadcast(near) if few(near, BROADCAST_ROWS) else near
+    hits = texts.join(near, key).where(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("pattern"), F.lit(" "))))
     return hits.select(key, "ref_id", F.split("site", r"\|").alias("sites")).distinct()
 
 
+def reference_flags(df: DataFrame, key: str, text: str, references: DataFrame) -> DataFrame:
+    """Rows (key, ref_id, hit): one boolean a reference for every row with any hit."""
+    hits = contained_references(df, key, text, references).select(key, "ref_id", F.lit(True).alias("hit"))
+    ids = references.select("ref_id").distinct()
+    if not few(ids, BROADCAST_ROWS):
+        raise ValueError(f"flags of more than {BROADCAST_ROWS} references")
+    every = hits.select(key).distinct().crossJoin(F.broadcast(ids))  # a flag for each is the result asked for
+    return every.join(hits, [key, "ref_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def final_gate(df: DataFrame, group: str, score: str, margin: float, others: list[Column]) -> DataFrame:
+    """Rows whose score is within ``margin`` of the best of their group and that meet all other criteria; null fails."""
+    best = df.groupBy(F.col(group).alias("_group")).agg(F.max(score).alias("_best"))
+    best = F.broadcast(best) if few(best, BROADCAST_ROWS) else best
+    ok = F.col(score) >= F.col("_best") - margin
+    for other in others:
+        ok = ok & other
+    return df.join(best, F.col(group).eqNullSafe(F.col("_group"))).where(ok).drop("_group", "_best")
+
+
 def containment_gate(df: DataFrame, key: str, text: str, references: DataFrame) -> DataFrame:
     """Rows with a reference: number of hits, sorted references, sorted distinct labels."""
     hits = contained_references(df, key, text, references)

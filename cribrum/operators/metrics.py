@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import positions, running_totals
+from .replicates import quantiles
 
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -116,7 +117,7 @@ def kendall_by_group(df: DataFrame, group: str, key: str, a: str, b: str) -> Dat
 def signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     """Of the paired differences a - b other than 0: n, W+ and W- over average ranks of |d|, tie term, median difference."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
-    median = d.agg(F.median("d").alias("median_diff"))
+    median = quantiles(d, "d", {"median_diff": 0.5})
     ranked = positions(d.where("d <> 0").withColumn("m", F.abs("d")), "m").withColumn("r", F.col("below") + (F.col("ties") + 1) / 2)
     sums = ranked.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"),

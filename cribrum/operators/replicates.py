@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def average_by_batch(df: DataFrame, key: str, batch: str, value: str, first: list[str], order: str) -> DataFrame:
     """One row per id and batch: first non-null attributes in the order given, mean, sample deviation, count of values."""
@@ -67,13 +69,10 @@ def within_key_spread(df: DataFrame, key: str, batch: str, value: str) -> DataFr
 
 def reproducibility(spread: DataFrame) -> DataFrame:
     """Over ids with two values at least: how large the deviations are."""
-    return spread.where("n >= 2").agg(
-        F.count(F.lit(1)).alias("n_ids"),
-        F.median("std").alias("median_std"),
-        F.avg("std").alias("mean_std"),
-        F.percentile("std", F.lit(0.9)).alias("p90_std"),
-        F.max("std").alias("max_std"),
-    )
+    rows = spread.where("n >= 2")
+    sums = rows.agg(F.count(F.lit(1)).alias("n_ids"), F.avg("std").alias("mean_std"), F.max("std").alias("max_std"))
+    places = quantiles(rows, "std", {"median_std": 0.5, "p90_std": 0.9})
+    return sums.crossJoin(places).select("n_ids", "median_std", "mean_std", "p90_std", "max_std")  # one row each
 
 
 def variance_explained(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -98,11 +97,25 @@ def composition(df: DataFrame, a: str, b: str, key: str, value: str) -> DataFram
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q(0.25).alias("q25"),
-        F.median(value).alias("median"), q(0.75).alias("q75"), q(0.9).alias("q90"), F.max(value).alias("max"),
-    )
+    """One row: count, mean, sample deviation, extremes and exact quantiles."""
+    sums = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    places = quantiles(df, value, {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9})
+    return sums.crossJoin(places).select("count", "mean", "std", "min", "q25", "median", "q75", "q90", "max")  # one row each
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles, interpolated between neighbours; nulls take no part, and all are null without values.
+
+    Distinct values are counted and ranked over ranges, so that no task holds them all.
+    """
+    from .ranking import running_totals
+
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    cumulative = running_totals(counts, "v", ["c"]).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
+    place = {name: F.lit(q) * (F.col("n") - 1) for name, q in wanted.items()}
+    sides = [F.min(F.when(F.col("cum_c") > side(p), F.col("v"))).alias(f"_{name}_{i}") for name, p in place.items() for i, side in enumerate((F.floor, F.ceil))]
+    shares = [F.max(p - F.floor(p)).alias(f"_{name}_s") for name, p in place.items()]
+    return cumulative.agg(*sides, *shares).select(*[(F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_s")).alias(n) for n in wanted])
 
 
 def nearest_quantile(df: DataFrame, value: str, q: float) -> DataFrame:

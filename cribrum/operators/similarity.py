@@ -10,12 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tanimoto_packed
+from .lineage import cut, few
+
+#: Rows up to which one side of a join is broadcast.
+BROADCAST_ROWS = 500_000
+#: Rows of which all pairs may be asked for.
+SMALL_SET = 10_000
 
 
 def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (l, r, sim) of all pairs of sets that share an element; left: l, items; right: r, items."""
     a = left.select("l", F.size("items").alias("nl"), F.explode("items").alias("item"))
     b = right.select("r", F.size("items").alias("nr"), F.explode("items").alias("item"))
+    # A small side goes to the other, which then needs no shuffle of its elements.
+    b = F.broadcast(b) if few(b, BROADCAST_ROWS) else b
     shared = a.join(b, "item").groupBy("l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("n"))
     return shared.select("l", "r", (F.col("n") / (F.col("nl") + F.col("nr") - F.col("n"))).alias("sim"))
 
@@ -27,36 +35,73 @@ def nearest_reference(df: DataFrame, key: str, items: str, references: DataFrame
     return df.join(best.withColumnRenamed("l", key), key, "left").select(*df.columns, F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("max_sim"), F.col("b.r").alias("nearest"))
 
 
-def similarity_self_join(df: DataFrame, key: str, items: str, tenths: int) -> DataFrame:
-    """Pairs (i, j, sim), i < j, of sets with similarity of at least ``tenths`` / 10, exactly.
+def _equal_sets(df: DataFrame, key: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without duplicates among sets: (k, s, size), and the members of each: (k, rep, size).
+
+    Elements are stood for by 64-bit hashes; empty sets take no part.
+    """
+    hashed = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))).alias("s")).where(F.size("s") > 0)
+    sets = cut(hashed.withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit(1), "s")}))
+    same = sets.groupBy("h", "g").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("size"))
+    members = cut(sets.select("k", "h", "g").join(same, ["h", "g"]).select("k", "rep", "size"))
+    return cut(sets.join(members.where("k = rep"), "k").select("k", "s", "size").dropDuplicates(["k"])), members
+
+
+def _similar_sets(sets: DataFrame, tenths: int) -> DataFrame:
+    """Pairs (i, j, sim), i < j, of different sets (k, s) with similarity of at least ``tenths`` / 10, exactly.
 
     Elements are ordered by rarity; two such sets share an element among their
     rarest n - ceil(t n) + 1 and differ in size by the factor t at most.  Only
     pairs so found are compared in full, in whole numbers.
     """
-    sets = df.select(F.col(key).alias("k"), F.array_distinct(items).alias("s")).where(F.size("s") > 0)
     rows = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("e"))
     frequency = rows.groupBy("e").agg(F.count(F.lit(1)).alias("f"))
     place = F.row_number().over(Window.partitionBy("k").orderBy("f", "e"))
-    prefix = rows.join(frequency, "e").where("f > 1 or n = 1").withColumn("p", place)
-    # Elements of one set only come first in the order and pair with nothing, so they shorten the prefix.
-    lone = rows.join(frequency, "e").groupBy("k").agg(F.count_if(F.col("f") == 1).alias("lone"))
-    prefix = prefix.join(lone, "k").where(F.col("p") <= F.col("n") - F.ceil(F.lit(tenths) * F.col("n") / 10) + 1 - F.col("lone"))
-    a, b = prefix.select("e", F.col("k").alias("i"), F.col("n").alias("ni")), prefix.select("e", F.col("k").alias("j"), F.col("n").alias("nj"))
+    # Elements of one set only come first and pair with nothing.
+    prefix = rows.join(frequency, "e").withColumn("p", place).where((F.col("p") <= F.col("n") - F.ceil(F.lit(tenths) * F.col("n") / 10) + 1) & (F.col("f") > 1))
+    prefix = cut(prefix.select("e", "k", "n"))
+    a, b = prefix.toDF("e", "i", "ni"), prefix.toDF("e", "j", "nj")
     pairs = a.join(b, "e").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") * 10 >= F.greatest("ni", "nj") * tenths)).select("i", "j").distinct()
-    full = pairs.join(sets.toDF("i", "a"), "i").join(sets.toDF("j", "b"), "j")
+    full = pairs.join(sets.select(F.col("k").alias("i"), F.col("s").alias("a")), "i").join(sets.select(F.col("k").alias("j"), F.col("s").alias("b")), "j")
     shared = F.size(F.array_intersect("a", "b"))
     counted = full.select("i", "j", shared.alias("c"), (F.size("a") + F.size("b")).alias("n"))
     return counted.where(F.col("c") * 10 >= tenths * (F.col("n") - F.col("c"))).select("i", "j", (F.col("c") / (F.col("n") - F.col("c"))).alias("sim"))
 
 
+def similarity_self_join(df: DataFrame, key: str, items: str, tenths: int) -> DataFrame:
+    """Pairs (i, j, sim), i < j, of rows whose sets have a similarity of at least ``tenths`` / 10, exactly.
+
+    Sets are compared once, however many rows have them; ``similarity_links``
+    gives the result without expanding these rows into pairs.
+    """
+    sets, members = _equal_sets(df, key, items)
+    same = members.where("size > 1 and k = rep").select(F.col("rep").alias("i"), F.col("rep").alias("j"), F.lit(1.0).alias("sim"))
+    pairs = cut(_similar_sets(sets, tenths)).unionByName(same)
+    left, right = members.select(F.col("rep").alias("i"), F.col("k").alias("ki")), members.select(F.col("rep").alias("j"), F.col("k").alias("kj"))
+    wide = pairs.join(left, "i").join(right, "j").where("i <> j or ki < kj")
+    return wide.select(F.least("ki", "kj").alias("i"), F.greatest("ki", "kj").alias("j"), "sim")
+
+
+def similarity_links(df: DataFrame, key: str, items: str, tenths: int) -> DataFrame:
+    """Per row: key, class_id (the least key of its equal sets) and n_links, the rows with a similarity of at least ``tenths`` / 10."""
+    sets, members = _equal_sets(df, key, items)
+    pairs = cut(_similar_sets(sets, tenths))
+    sizes = sets.select("k", "size")
+    both = pairs.select(F.col("i").alias("rep"), F.col("j").alias("k")).unionByName(pairs.select(F.col("j").alias("rep"), F.col("i").alias("k")))
+    links = both.join(sizes, "k").groupBy("rep").agg(F.sum("size").alias("others"))
+    counted = members.join(links, "rep", "left").select("k", "rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return df.select(F.col(key).alias("k")).join(counted, "k", "left").select(F.col("k").alias(key), F.coalesce("rep", "k").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def novel(df: DataFrame, key: str, items: str, references: DataFrame, ref_key: str, ref_items: str, most: float) -> DataFrame:
     """Rows whose nearest reference is at most ``most`` similar, annotated with it."""
     return nearest_reference(df, key, items, references, ref_key, ref_items).where(F.col("max_sim") <= most)
 
 
 def all_pairs(df: DataFrame, key: str, words: str) -> DataFrame:
-    """Similarity of all pairs i < j of a small stated set of packed fingerprints."""
+    """Similarity of all pairs i < j of a stated set of up to SMALL_SET packed fingerprints; more are an error."""
+    if not few(df, SMALL_SET):
+        raise ValueError(f"all pairs of more than {SMALL_SET} rows")
     small = F.broadcast(df.select(F.col(key).alias("j"), F.col(words).alias("b")))
     return df.select(F.col(key).alias("i"), F.col(words).alias("a")).join(small, F.col("i") < F.col("j")).select("i", "j", tanimoto_packed(F.col("a"), F.col("b")).alias("sim"))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import filters as X
+from ..operators.similarity import nearest_reference
 from .registry import query, table
+from .similarity import _NEAR as NEAR, sets
 
 _WORDS = ["tion the", "ing", "erth", "the", "heou", "tion the"]
 
@@ -85,6 +86,14 @@ def flt7_containment_gate(spark, d):
     return X.containment_gate(table(spark, d, "documents"), "doc_id", "text", references(spark, d))
 
 
+@query(
+    f"with {_REFS}, h as (select doc_id, ref_id, contains(' ' || {_CLEAN.format('text')} || ' ', ' ' || pattern || ' ') as hit from documents, refs) "
+    "select doc_id, ref_id, coalesce(hit, false) as hit from h where doc_id in (select doc_id from h where hit)"
+)
+def flt7_reference_flags(spark, d):
+    return X.reference_flags(table(spark, d, "documents"), "doc_id", "text", references(spark, d))
+
+
 @query("select event_id, value, value > 60 as label, 20.0::double as filter_lo, 60.0::double as filter_hi from events where not (value between 20 and 60)")
 def flt8_gray_zone(spark, d):
     return X.gray_zone(table(spark, d, "events").select("event_id", "value"), "value", 20.0, 60.0)
@@ -123,11 +132,12 @@ def flt14_required_key(spark, d):
     return X.require_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey", "l_returnflag", "R", "A")
 
 
-@query("select o_orderkey, o_orderpriority from (select *, max(o_totalprice) over (partition by o_orderpriority) as best from orders) where o_totalprice >= best - 20000 and o_orderstatus <> 'P' and o_custkey % 2 = 0")
+@query(NEAR + ", g as (select doc_id, lang, log10(n_chars + 1.0::double) as score, coalesce(max_sim, 0) as sim from documents left join t on l = doc_id) select doc_id, lang from g where score >= (select max(score) from g b where b.lang is not distinct from g.lang) - 1 and sim >= 0.001 and sim <= 0.35")
 def flt15_final_gate(spark, d):
-    best = F.max("o_totalprice").over(Window.partitionBy("o_orderpriority"))
-    rows = table(spark, d, "orders").withColumn("best", best)
-    return rows.where((F.col("o_totalprice") >= F.col("best") - 20000) & (F.col("o_orderstatus") != "P") & (F.col("o_custkey") % 2 == 0)).select("o_orderkey", "o_orderpriority")
+    """Score within 1 of the best of its language, somewhat similar to a reference, and novel."""
+    near = nearest_reference(sets(spark, d), "doc_id", "items", sets(spark, d, "benchmark", "item_id").withColumnRenamed("items", "ref"), "item_id", "ref").select("doc_id", "max_sim")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.log10(F.col("n_chars") + 1.0).alias("score")).join(near, "doc_id")
+    return X.final_gate(rows, "lang", "score", 1.0, [F.col("max_sim") >= 0.001, F.col("max_sim") <= 0.35]).select("doc_id", "lang")
 
 
 @query("select o_custkey, count(*) as n, case when count(*) >= 5 then round(avg(o_totalprice), 6) end as mean from orders group by 1")

@@ -30,18 +30,43 @@ def src3_detect_columns(spark, d):
     return df.agg(F.lit(found["text"]).alias("text"), F.lit(found["id"]).alias("id"), F.lit(",".join(found["properties"])).alias("properties"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select name, n_rows, 1.0::double as valid_rate from (select unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) as name), (select count(*) as n_rows from supplier)")
+@query("select name, n_rows, valid_rate from (select unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) as name), (select count(*) as n_rows, round(avg((s_acctbal >= 1000)::int), 6) as valid_rate from supplier)")
 def src4_profile(spark, d):
-    return R.profile(table(spark, d, "supplier"), F.col("s_name").rlike("^Supplier|^SUPP|.+")).select("name", "n_rows", F.col("valid_rate").cast("double").alias("valid_rate"))
+    """The sample of 1,000 rows is the whole table at the scales compared."""
+    return R.profile(table(spark, d, "supplier"), F.col("s_acctbal") >= 1000).select("name", "n_rows", F.round("valid_rate", 6).alias("valid_rate"))
 
 
-@query("select strftime(ts, '%Y%m%d') as batch, count(*) as n, round(sum(value), 4) as total from events where strftime(ts, '%Y%m%d') <> '20240103' group by 1")
-def src5_batch_files(spark, d):
+@query("select s_suppkey, s_name from supplier order by s_suppkey limit 5")
+def src4_first_rows(spark, d):
+    return R.first_rows(table(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"])
+
+
+def _batches(spark, d, exclude=()):
+    """One folder of CSV files a day; every seventh value is left out."""
     path = scratch(spark, "batches")
-    rows = table(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("b"))
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.date_format("ts", "yyyyMMdd").alias("b"))
     rows.repartition("b").write.partitionBy("b").option("header", True).csv(path)
-    df = spark.read.option("header", True).schema("event_id long, value double").csv(path).withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"b=(\d{8})", 1))
-    return df.where("batch <> '20240103'").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return R.read_batches(spark, path, "event_id long, value double", exclude)
+
+
+@query("select strftime(ts, '%Y%m%d') as batch, count(*) as n, round(sum(value) filter (event_id % 7 <> 0), 4) as total from events where strftime(ts, '%Y%m%d') <> '20240103' group by 1")
+def src5_batch_files(spark, d):
+    return _batches(spark, d, ["20240103"]).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("select strftime(ts, '%Y%m%d') as batch, count(*) as n_rows, count(value) filter (event_id % 7 <> 0) as n_values, case when strftime(ts, '%Y%m%d') = '20240103' then 'excluded' else 'ok' end as status from events group by all")
+def src5_batch_log(spark, d):
+    return R.batch_log(_batches(spark, d), "value", ["20240103"])
+
+
+@query("select c_custkey::varchar as id, c_acctbal as value from customer")
+def src6_header_search(spark, d):
+    """The header is the third line of the file."""
+    path = scratch(spark, "sheet")
+    lines = table(spark, d, "customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string")).alias("value"), F.lit(1).alias("o"))
+    head = spark.createDataFrame([("exported by someone", 0), (",", 0), ("Sample , KD value", 0)], "value string, o int").coalesce(1)
+    head.unionByName(lines).coalesce(1).select("value").write.text(path)
+    return R.resolve_headers(R.read_below_header(spark, path, ["compound id", "sample"]), ["compound id", "sample"], "kd value", ["error"])
 
 
 @query("select o_custkey::varchar as id, o_totalprice as value from orders where o_orderkey % 2 = 0 union all select c_custkey::varchar, c_acctbal from customer")
@@ -105,11 +130,13 @@ def snk1_write_by_extension(spark, d):
     return R.read_any(spark, path, "s_suppkey long, s_name string, s_acctbal double")
 
 
-@query("select count(*) as rows from orders")
+@query("select count(*) as rows, ceil(count(*) / 100000)::bigint as files, true as sized, true as grouped from orders")
 def snk2_convert(spark, d):
     source = scratch(spark, "orders") + ".csv"
     W.write_any(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), source)
-    return W.convert(spark, source, scratch(spark, "orders"), "o_orderkey long, o_totalprice double", rows_per_file=100_000).select("rows")
+    return W.convert(spark, source, scratch(spark, "orders"), "o_orderkey long, o_totalprice double", rows_per_file=100_000, files=1).select(
+        "rows", "files", (F.col("bytes") > 1000).alias("sized"), (F.col("row_groups") >= F.col("files")).alias("grouped")
+    )
 
 
 @query("select count(*) as part_rows, count(*) as final_rows, true as equal from events")
@@ -119,6 +146,19 @@ def snk3_compact(spark, d):
     return W.compact(spark, source, scratch(spark, "final"), 2)
 
 
+@query("select count(*) as rows, true as full, true as equal from events")
+def snk3_roll_up(spark, d):
+    """All rollups but the last have the number of rows asked for at least."""
+    source, target = scratch(spark, "shards"), scratch(spark, "rollups")
+    table(spark, d, "events").repartition(24).write.parquet(source)
+    every = max(1, table(spark, d, "events").count() // 4)
+    log = W.roll_up(spark, source, target, every)
+    last = log.agg(F.max("rollup").alias("last"))
+    written = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("written"))
+    checked = log.crossJoin(last).agg(F.sum("rows").alias("rows"), F.bool_and((F.col("rows") > 0) & ((F.col("rollup") == F.col("last")) | (F.col("rows") * 2 >= every))).alias("full"))
+    return checked.crossJoin(written).select("rows", "full", (F.col("rows") == F.col("written")).alias("equal"))  # one row each
+
+
 @query("select o_orderpriority, count(*) as n from orders group by 1")
 def snk5_group_outputs(spark, d):
     path = scratch(spark, "groups")

@@ -109,15 +109,22 @@ def similar_pairs(spark, d, tenths=7):
     return X.similarity_self_join(sets(spark, d), "doc_id", "items", tenths)
 
 
-@query(f"with {_S}, {_PAIRS} select i, j, round(c / u, 6) as sim from q where c * 10 >= u * 7")
+_LINKS = f"with {_S}, {_PAIRS}, e as (select i, j, c, u from q union all select j, i, c, u from q) "
+
+
+@query(_LINKS + "select doc_id, least(doc_id, coalesce(min(j) filter (c = u), doc_id)) as class_id, count(j) filter (c * 10 >= u * 7) as n_links from documents left join e on i = doc_id group by doc_id")
 def jon8_similarity_join(spark, d):
+    return X.similarity_links(sets(spark, d), "doc_id", "items", 7)
+
+
+@query(f"with {_S}, {_PAIRS} select i, j, round(c / u, 6) as sim from q where c * 10 >= u * 7")
+def jon8_similar_pairs(spark, d):
     return similar_pairs(spark, d).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"with {_S}, {_PAIRS}, e as (select i, j from q where c * 10 >= u * 6 union all select j, i from q where c * 10 >= u * 6) select i as doc_id, count(*) as degree from e group by 1")
+@query(_LINKS + "select i as doc_id, count(*) as degree from e where c * 10 >= u * 6 group by 1")
 def jon16_neighbour_counts(spark, d):
-    pairs = similar_pairs(spark, d, 6)
-    return pairs.select(F.col("i").alias("doc_id")).unionAll(pairs.select("j")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    return X.similarity_links(sets(spark, d), "doc_id", "items", 6).where("n_links > 0").select("doc_id", F.col("n_links").alias("degree"))
 
 
 @query()
@@ -191,15 +198,40 @@ def agg22_fold_targets(spark, d):
     )
 
 
+_FOLDS_SIM = (
+    f"with {_S}, w as (select s.* from s where k % 20 = 0), p as (select w.k as i, s.k as j, count(*) as c from w join s using (e) where w.k <> s.k group by all), "
+    "x as (select i, la.lang as fold, lb.lang as other, c / (a.n + b.n - c) as sim from p join n a on a.k = i join n b on b.k = j join documents la on la.doc_id = i join documents lb on lb.doc_id = j where la.lang <> lb.lang), "
+)
+
+
+def _across_folds(spark, d):
+    """Similarities of the rows asked for (ids divisible by 20) to all rows of other folds (languages)."""
+    folds, all_sets = table(spark, d, "documents").select("doc_id", "lang"), sets(spark, d)
+    pairs = X.shared_counts(all_sets.toDF("l", "items"), all_sets.where("doc_id % 20 = 0").toDF("r", "items"))
+    rows = pairs.join(folds.toDF("l", "other"), "l").join(folds.toDF("r", "fold"), "r").where("fold <> other")
+    return rows.select(F.col("r").alias("i"), "fold", "other", "sim")
+
+
+def _top(rows, keys):
+    order = Window.partitionBy("i", *keys).orderBy(F.desc("sim"))
+    return rows.withColumn("rn", F.row_number().over(order)).where("rn <= 5").groupBy("i", "fold", *keys).agg(F.avg("sim").alias("m"))
+
+
 @query(
-    f"with {_S}, {_PAIRS}, l as (select doc_id, lang from documents), e as (select i, j, c / u as sim from q union all select j, i, c / u from q), x as (select e.i, a.lang as fold, b.lang as other, e.sim from e join l a on a.doc_id = e.i join l b on b.doc_id = e.j where a.lang <> b.lang), "
-    "t as (select i, fold, sim, row_number() over (partition by i order by sim desc) as rn from x) select fold, count(distinct i) as n, round(median(m), 6) as median_top5 from (select i, fold, avg(sim) as m from t where rn <= 5 group by all) group by fold"
+    _FOLDS_SIM + "t as (select i, fold, sim, row_number() over (partition by i order by sim desc) as rn from x), f as (select fold, count(distinct i) as n, median(m) as med from (select i, fold, avg(sim) as m from t where rn <= 5 group by all) group by fold) "
+    "select fold, n, round(med, 6) as median_top5, row_number() over (order by med, fold) as distinctness, row_number() over (order by med, fold) = 1 as is_holdout from f"
 )
 def met15_fold_similarity(spark, d):
-    """Per fold (language): median over its rows of the mean similarity to their five nearest rows of other folds."""
-    folds = table(spark, d, "documents").select("doc_id", "lang")
-    left, right = sets(spark, d).toDF("l", "items"), sets(spark, d).toDF("r", "items")
-    pairs = X.shared_counts(left, right).join(folds.toDF("l", "fold"), "l").join(folds.toDF("r", "other"), "r").where("fold <> other")
-    top = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("sim")))).where("rn <= 5")
-    rows = top.groupBy("l", "fold").agg(F.avg("sim").alias("m"))
-    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("m"), 6).alias("median_top5"))
+    """Per fold: median of its rows' mean similarity to their five nearest rows of all other folds; the most distinct fold is the holdout."""
+    per_fold = _top(_across_folds(spark, d), []).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.median("m").alias("m"))
+    place = F.row_number().over(Window.orderBy("m", "fold"))  # one row a fold
+    return per_fold.select("fold", "n", F.round("m", 6).alias("median_top5"), place.alias("distinctness"), (place == 1).alias("is_holdout"))
+
+
+@query(
+    _FOLDS_SIM + "t as (select i, fold, other, sim, row_number() over (partition by i, other order by sim desc) as rn from x) "
+    "select fold, other, count(distinct i) as n, round(median(m), 6) as median_top5 from (select i, fold, other, avg(sim) as m from t where rn <= 5 group by all) group by fold, other"
+)
+def met15_fold_pairs(spark, d):
+    """The same for each pair of folds."""
+    return _top(_across_folds(spark, d), ["other"]).groupBy("fold", "other").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("m"), 6).alias("median_top5"))

@@ -63,10 +63,42 @@ def profile(df: DataFrame, valid: Column, sample: int = 1000) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(rate).select("n_rows", "valid_rate", F.inline(schema))
 
 
+def first_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order: what a profile shows of a table."""
+    return df.orderBy(*order).limit(n)
+
+
+#: Eight digits that end the name of a file, or of the folder it lies in.
+BATCH = r"(\d{8})(?:\.[a-z.]+|/[^/]*)$"
+
+
 def read_batches(spark: SparkSession, pattern: str, schema: str, exclude: list[str] = ()) -> DataFrame:
-    """CSV files, one a batch; ``batch`` is the eight digits in the file's name."""
-    df = spark.read.option("header", True).schema(schema).csv(pattern).withColumn("file", F.col("_metadata.file_name"))
-    return df.withColumn("batch", F.regexp_extract("file", r"(\d{8})", 1)).where(~F.col("batch").isin(list(exclude)) if exclude else F.lit(True))
+    """CSV files, one or one folder a batch; ``batch`` is the eight digits that end its name."""
+    df = spark.read.option("header", True).schema(schema).csv(pattern).withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), BATCH, 1))
+    return df.where(~F.col("batch").isin(list(exclude))) if exclude else df
+
+
+def batch_log(batches: DataFrame, value: str, exclude: list[str]) -> DataFrame:
+    """Per batch: rows, values, and its status: excluded, no values, or ok."""
+    log = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_values"))
+    status = F.when(F.col("batch").isin(exclude), "excluded").when(F.col("n_values") == 0, "no values").otherwise("ok")
+    return log.withColumn("status", status)
+
+
+def read_below_header(spark: SparkSession, path: str, id_names: list[str], sep: str = ",", lines: int = 5) -> DataFrame:
+    """A delimited file whose header is one of its first lines: the first that has a known id column; all columns are strings.
+
+    What stands above the header goes, as do lines equal to these or to the header.
+    """
+    text = spark.read.text(path)
+    first = [r.value for r in text.limit(lines).collect()]
+    at = next((i for i, line in enumerate(first) if {c.strip().lower() for c in line.split(sep)} & set(id_names)), None)
+    if at is None:
+        raise DataError(f"no header in the first {lines} lines of {path}")
+    names = [c.strip() for c in first[at].split(sep)]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = text.where(~F.col("value").isin(first[: at + 1])).select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r"))
+    return rows.select("r.*").toDF(*names)
 
 
 def resolve_headers(df: DataFrame, id_names: list[str], value_part: str, exclude: list[str]) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 
 def write_any(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header for .csv, tab-separated for .tsv, else Parquet."""
@@ -15,12 +21,38 @@ def write_any(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         writer.parquet(path)
 
 
-def convert(spark: SparkSession, source: str, target: str, schema: str, codec: str = "zstd", rows_per_file: int = 0, row_group_bytes: int = 128 << 20) -> DataFrame:
-    """CSV to Parquet, never over existing output; returns one row: rows and files written."""
-    writer = spark.read.option("header", True).schema(schema).csv(source).write.mode("errorifexists").option("compression", codec).option("parquet.block.size", row_group_bytes)
+def convert(spark: SparkSession, source: str, target: str, schema: str, codec: str = "zstd", rows_per_file: int = 0, row_group_bytes: int = 128 << 20, files: int = 0) -> DataFrame:
+    """CSV to Parquet, never over existing output; returns one row: rows, files, their bytes and row groups."""
+    rows = spark.read.option("header", True).schema(schema).csv(source)
+    writer = (rows.coalesce(files) if files else rows).write.mode("errorifexists").option("compression", codec).option("parquet.block.size", row_group_bytes)
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(target)
     out = spark.read.parquet(target)
-    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col("_metadata.file_path")).alias("files"))
+    files = out.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
+    groups = spark.read.format("binaryFile").load(f"{target}/*.parquet").select("content").mapInArrow(_row_groups, "groups long")
+    one = files.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return one.crossJoin(groups.agg(F.sum("groups").alias("row_groups")))  # one row each
+
+
+def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of row groups of each Parquet file; one file at a time is held."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            groups = pq.ParquetFile(pa.BufferReader(batch.column(0)[row].as_buffer())).num_row_groups
+            yield pa.RecordBatch.from_arrays([pa.array([groups], pa.int64())], names=["groups"])
+
+
+def roll_up(spark: SparkSession, source: str, target: str, every: int) -> DataFrame:
+    """Shards in the order of their names into rollups of about ``every`` rows under ``target``; per rollup: shards and rows.
+
+    A rollup is full with the shard that reaches the number.
+    """
+    shards = spark.read.option("mergeSchema", True).parquet(source)
+    sizes = shards.groupBy(F.col("_metadata.file_path").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
+    placed = cut(sizes.withColumn("rollup", F.floor(before / every).cast("int")))
+    rows = shards.withColumn("shard", F.col("_metadata.file_path")).join(F.broadcast(placed.select("shard", "rollup")), "shard").drop("shard")
+    rows.repartition("rollup").write.mode("errorifexists").partitionBy("rollup").parquet(target)
+    return placed.groupBy("rollup").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"))
 
 
 def compact(spark: SparkSession, source: str, target: str, files: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.filters import first_failure
 
@@ -17,17 +19,49 @@ def arriving(spark: SparkSession, path: str, schema: T.StructType | str, files_p
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+class _Counters(StreamingQueryListener):
+    """The counters of every micro-batch of one query, however many there are (``recentProgress`` keeps the last hundred)."""
+
+    def __init__(self):
+        self.batches: dict[int, dict] = {}
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = p.observedMetrics.get("funnel")
+        if row is not None:
+            seconds = p.batchDuration / 1000
+            self.batches[p.batchId] = row.asDict() | {"batch": p.batchId, "seconds": seconds, "rate": row["raw"] / seconds if seconds else None}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
 def run_to_sink(stream: DataFrame, steps: list[tuple[str, Column]], target: str, checkpoint: str) -> list[dict]:
-    """Append survivors to Parquet under ``target`` until no file is left; counters of each micro-batch.
+    """Append survivors to Parquet under ``target`` until no file is left; counters, seconds and rows a second of each micro-batch.
 
     The checkpoint holds what was read and committed: after a stop the next run
     goes on exactly there, and files are never read twice.
     """
+    counters, spark = _Counters(), stream.sparkSession
     tagged = stream.withColumn("_why", first_failure(steps))
     watched = tagged.observe("funnel", F.count(F.lit(1)).alias("raw"), *[F.count_if(F.col("_why") == name).alias(f"fail_{name}") for name, _ in steps], F.count_if(F.col("_why") == "out").alias("out"))
-    query = watched.where("_why = 'out'").drop("_why").writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return [p["observedMetrics"]["funnel"].asDict() if hasattr(p["observedMetrics"]["funnel"], "asDict") else dict(p["observedMetrics"]["funnel"]) for p in query.recentProgress if p["observedMetrics"].get("funnel")]
+    spark.streams.addListener(counters)
+    try:
+        query = watched.where("_why = 'out'").drop("_why").writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        # Events come in order, the end last.
+        if not counters.ended.wait(120):
+            raise TimeoutError("the counters of the stream did not arrive")
+    finally:
+        spark.streams.removeListener(counters)
+    return [counters.batches[b] for b in sorted(counters.batches)]
 
 
 def run_idempotent(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
