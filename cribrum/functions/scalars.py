@@ -73,7 +73,7 @@ def fingerprint(text: Column, kind: str = "word", size: int = 3, n_bits: int = 2
         return F.array_compact(F.array(*[F.when(low.contains(p.lower()), F.lit(i)) for i, p in enumerate(vocabulary)]))
     if n_bits < 1:
         raise ValueError("n_bits must be positive")
-    return F.array_sort(F.array_distinct(F.transform(shingles(text, kind, size), lambda s: F.pmod(F.xxhash64(s), F.lit(n_bits)).cast("int"))))
+    return F.sort_array(F.array_distinct(F.transform(shingles(text, kind, size), lambda s: F.pmod(F.xxhash64(s), F.lit(n_bits)).cast("int"))))
 
 
 def pack_bits(bits: Column, n_bits: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import let
-from .lineage import cut, few
+from .lineage import cut, few, spread
 from .replicates import nearest_quantile
 
 #: Rows up to which one side of a join is broadcast; texts and patterns among them are a few hundred bytes each.
@@ -79,7 +79,7 @@ def contained_references(df: DataFrame, key: str, text: str, references: DataFra
     refs = references.select("ref_id", "site", clean(F.col("pattern")).alias("pattern")).where("pattern <> ''")
     refs = cut(refs.withColumn("_w", F.slice(F.split("pattern", " "), 1, 3)).withColumn("_n", F.size("_w")).withColumn("_t", F.xxhash64("_w")).drop("_w"))
     sizes = sorted(r[0] for r in refs.select("_n").distinct().collect())  # 1, 2 and 3 at most
-    texts = df.select(key, clean(F.col(text)).alias("_text"))
+    texts = spread(df.select(key, F.col(text).alias("_text"))).select(key, clean(F.col("_text")).alias("_text"))
 
     def of_size(words: Column, n: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))

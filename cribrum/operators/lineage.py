@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,9 +27,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, read from a checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows of ``df``, read from a table that is written once (an eager checkpoint computes them twice)."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out if they lie in fewer parts than there are cores, as those of a file of one row group do; else ``df``."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return df.repartition(2 * cores) if parts < cores else df
 
 
 def few(df: DataFrame, most: int) -> bool:

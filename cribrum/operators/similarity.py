@@ -40,8 +40,8 @@ def _equal_sets(df: DataFrame, key: str, items: str) -> tuple[DataFrame, DataFra
 
     Elements are stood for by 64-bit hashes; empty sets take no part.
     """
-    hashed = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))).alias("s")).where(F.size("s") > 0)
-    sets = cut(hashed.withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit(1), "s")}))
+    hashed = cut(df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))).alias("s")))
+    sets = hashed.where(F.size("s") > 0).withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit(1), "s")})
     same = sets.groupBy("h", "g").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("size"))
     members = cut(sets.select("k", "h", "g").join(same, ["h", "g"]).select("k", "rep", "size"))
     return cut(sets.join(members.where("k = rep"), "k").select("k", "s", "size").dropDuplicates(["k"])), members

@@ -7,11 +7,12 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import similarity as X
+from ..operators.lineage import spread
 from .registry import query, table
 
 
 def sets(spark, d, name="documents", key="doc_id"):
-    return table(spark, d, name).select(key, S.shingles(F.col("text"), "word", 3).alias("items"))
+    return spread(table(spark, d, name).select(key, "text")).select(key, S.shingles(F.col("text"), "word", 3).alias("items"))
 
 
 def _words(name, key):
