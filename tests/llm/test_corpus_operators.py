@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from cribrum.llm import anchors, decontaminate, html_text, language_id, media, near_dup, packing, quality, registry, substring_dedup, suffix_array_dedup, token_store
@@ -562,3 +563,31 @@ def test_pipeline_keeps_clean_documents(spark):
     assert len(ids) == len(set(ids)) and set(ids) <= {r.doc_id for r in d.select("doc_id").collect()} and len(ids) > 100
     leaked = {r.doc_id for r in decontaminate.overlaps(d, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert not leaked & set(ids)
+
+
+def test_stages_keep_columns_of_any_name(spark, rows, empty):
+    """Names with dots and back-quotes, and those of columns that the operators make; each stage against brute force or its operator."""
+    extra = ["a.b", "_likely", "back`quote", "hit", "_c0", "marks", "n_chars", "lang"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in extra)])
+    some = [r for r in rows if r[1] is None or len(r[1]) < 5000]
+    docs = spark.createDataFrame([(i, t, *range(len(extra))) for i, t in some], schema)
+    bench = spark.createDataFrame([(1, some[0][1])], "item_id long, text string")
+    item = some[0][1].split()
+    labels = spark.createDataFrame([(1, 1), (2, 0), (100, 1), (4, 0)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= len(some)
+    one = near_dup.keep_one(docs)
+    assert one.columns == docs.columns and one.where("`a.b` <> 0 or `back``quote` <> 2").count() == 0
+    short = suffix_array_dedup.drop_repeats(docs)
+    raws = [(t or "").encode() for _, t in some]
+    want = sorted((str(i), np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")) for (i, _), raw, gone in zip(some, raws, covered(raws, 200)))
+    assert short.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in short.collect()) == want
+    clean = decontaminate.drop_contaminated(docs, bench)
+    if len(item) >= 8:
+        gone = {i for i, t in some if i is not None and " ".join(item) in " ".join((t or "").split())}
+        left = {r.doc_id for r in clean.collect()}
+        assert clean.columns == docs.columns and gone and not gone & left and {160, 161, 162, None} <= left
+    none = docs.limit(0)
+    assert near_dup.keep_one(none).count() == 0 and suffix_array_dedup.drop_repeats(none).count() == 0
+    assert decontaminate.drop_contaminated(none, bench).count() == 0 and near_dup.near_classes(empty).count() == 0
+    assert media.media_features(media.with_media(empty)).count() == 0 and packing.pack(docs).count() == len(some)
