@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Classifier, signatures and packing are beyond SQL; tests compare each stage with brute force.
+#: Classifier, signatures and packing are beyond SQL; the tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
