@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Model
@@ -197,15 +198,21 @@ def grouped_importance(model: Model, slices: list[tuple[str, int, int]]) -> list
     return [(name, float(values[a:b].sum()), float(values[a:b].sum()) / total) for name, a, b in slices]
 
 
-def ablation(df: DataFrame, key: str, label: str, fold: str, folds: list[int], variants: dict[tuple[str, str], list[str]], trees: int = 2) -> DataFrame:
-    """Rows (features, block, n, auroc, ap): the same folds and models for each variant's columns (arrays or numbers)."""
-    out = []
-    for (features, block), columns in variants.items():
+def ablation(df: DataFrame, key: str, label: str, fold: str, folds: list[int], variants: dict[tuple[str, str], list[str]], trees: int = 2, parallel: int = 6) -> DataFrame:
+    """Rows (features, block, n, auroc, ap): the same folds and models for each variant's columns (arrays or numbers).
+
+    ``parallel`` variants are fitted at a time: the jobs of one leave cores idle.
+    """
+
+    def one(variant: tuple[tuple[str, str], list[str]]) -> DataFrame:
+        (features, block), columns = variant
         rows, _ = feature_blocks(df, [("all", columns)])
         oof = cut(cross_validate(vectors(rows), key, label, fold, folds, trees=trees)[0])
         scores = auroc(oof, label, "oof").crossJoin(average_precision(oof, label, "oof")).crossJoin(oof.agg(F.count("oof").alias("n")))  # one row each
-        out.append(scores.select(F.lit(features).alias("features"), F.lit(block).alias("block"), "n", "auroc", "ap"))
-    return reduce(DataFrame.unionByName, out)
+        return cut(scores.select(F.lit(features).alias("features"), F.lit(block).alias("block"), "n", "auroc", "ap"))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, variants.items()))
 
 
 def probes(df: DataFrame, queries: DataFrame, key: str, target: str, array: str, fold: str, folds: list[int], alpha: float, k: int) -> DataFrame:
