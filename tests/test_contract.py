@@ -15,6 +15,7 @@ CHOSEN = [
     "labelled_entities", "agg6_batch_stats", "agg8_variance_explained", "jon1_lookup_cascade", "flt3_funnel", "flt7_containment_gate", "flt10_quantile_labels", "win1_rank_norm",
     "win3_ordinal_rank", "win5_fractional_rank", "met1_auroc", "met2_average_precision", "met3_pr_trapezoid", "met5_best_f1", "met11_correlations", "met12_signed_rank_statistic",
     "jon6_nearest_reference", "jon8_similarity_join", "jon10_nearest_neighbours", "jon12_radius_join", "win7_argmax_group", "win9_argmax_strict", "agg27_largest_component", "str3_resume", "snk6_finish_groups",
+    "jon8_similar_pairs", "jon11_ordered_pairs", "win13_pair_to_row_score", "agg10_distribution", "flt7_reference_flags", "flt15_final_gate", "met15_fold_pairs", "src5_batch_log", "src6_header_search", "src12_row_ids", "snk3_roll_up",
 ]
 
 

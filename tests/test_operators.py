@@ -111,3 +111,36 @@ def test_load_errors(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "t.parquet"))
     with pytest.raises(readers.DataError):
         readers.load(spark, str(tmp_path / "t.parquet"), ["x"])
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    import numpy as np
+
+    from cribrum.operators.replicates import quantiles
+
+    rng = np.random.default_rng(3)
+    values = [float(x) for x in rng.integers(0, 40, 301)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = quantiles(df, "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}).first()
+    assert np.allclose(list(got), np.quantile(values, [0, 0.25, 0.5, 0.9, 1]))
+    assert list(quantiles(df.where("v is null"), "v", {"a": 0.5}).first()) == [None]
+
+
+def test_row_numbers_run_through(spark):
+    from cribrum.operators.ranking import row_numbers
+
+    df = spark.createDataFrame([(i, i % 7 if i % 5 else None) for i in range(100)], "k long, v long").repartition(5)
+    got = [r.n for r in row_numbers(df, [F.desc_nulls_last("v"), F.asc("k")], "n").orderBy(F.desc_nulls_last("v"), "k").collect()]
+    assert got == list(range(100))
+    assert row_numbers(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_representatives_of_small_and_large_groups(spark):
+    from cribrum.operators.models import attach_folds, cluster_representatives
+
+    rows = [("small", i, [float(i), 0.0], 1.0) for i in range(2)] + [("large", 10 + i, [float(100 * (i % 3)), float(i % 2)], float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, k long, v array<double>, s double")
+    got = {(r.g, r.k) for r in cluster_representatives(df, "g", "k", "v", "s", 3, 5).collect()}
+    assert got == {("small", 0), ("small", 1), ("large", 19), ("large", 20), ("large", 21)}
+    with pytest.raises(ValueError):
+        attach_folds(df, df.where("k > 3").select("k", F.lit(0).alias("fold")), "k")
