@@ -111,14 +111,14 @@ class ByteNet:
         mean /= counts[:, None]
         p = 1 / (1 + np.exp(-(mean @ self.out + self.shift)))
         slope = ((p - target) * weight / weight.sum()).astype(np.float32)
-        back = (slope[owner] / counts[owner])[:, None] * self.out * (pooled > 0)
-        row = np.arange(len(owner))
-        embed, filters, again = np.zeros_like(self.embed), np.zeros_like(self.filters), np.zeros_like(self.again)
-        for f in range(FILTERS):
-            under = patches[row, where[:, f]]
-            filters[:, f] = back[:, f] @ self.embed[under].reshape(len(owner), -1)
-            again[:, f] = back[:, f] @ flags[row, where[:, f]]
-            np.add.at(embed, under, back[:, f, None, None] * self.filters[:, f].reshape(WIDTH, EMBED))
+        back = ((slope[owner] / counts[owner])[:, None] * self.out * (pooled > 0)).astype(self.filters.dtype)
+        # Only the bytes under each filter's maximum take part: (chunks, FILTERS, WIDTH).
+        row = np.arange(len(owner))[:, None]
+        under = patches[row, where]
+        filters = np.einsum("cf,cfx->xf", back, self.embed[under].reshape(*where.shape, -1), optimize=True)
+        again = np.einsum("cf,cfw->wf", back, flags[row, where], optimize=True)
+        below = back[:, :, None, None] * self.filters.T.reshape(FILTERS, WIDTH, EMBED)
+        embed = np.stack([np.bincount(under.ravel(), below[..., e].ravel(), 256) for e in range(EMBED)], axis=1).astype(self.embed.dtype)
         embed[0] = 0
         return [embed, filters, again, back.sum(axis=0), slope @ mean, np.array([slope.sum()], np.float32)]
 
