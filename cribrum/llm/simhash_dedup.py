@@ -171,10 +171,12 @@ def linked(values: DataFrame, shard: int = SHARD, limit: int = CUTS) -> DataFram
         large = sizes.where(F.col("n") > shard)
         if last or large.isEmpty():
             break
-        held = [m for own in masks.values() for m in own]
+        held = sorted({m for own in masks.values() for m in own})
         masks = {m: cuts(m & (1 << BITS) - 1) for m in held}
         wider: Column = F.create_map(*[x for m in held for x in (F.lit(m), F.array(*map(F.lit, masks[m])))])
-        rows = stage(rows.join(large, ["mask", "under"]).select("value", F.explode(wider[F.col("mask")]).alias("mask")).withColumn("under", under), "cut")
+        # Two masks may be widened to the same one.
+        cut = rows.join(large, ["mask", "under"]).select("value", F.explode(wider[F.col("mask")]).alias("mask")).distinct()
+        rows = stage(cut.withColumn("under", under), "cut")
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
