@@ -30,6 +30,8 @@ OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 APART = frozenset("nav footer aside form button select menu dialog head".split())
 BODY_OF = frozenset("article main".split())
+#: Text in these belongs to the container around them; every other block element is a container of its own.
+FLOW = HEADINGS | frozenset("p ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th figure figcaption blockquote pre address details summary hgroup center".split())
 
 # Words in class, id or role that mark what is not the article.
 MARKS = frozenset(
@@ -39,19 +41,26 @@ MARKS = frozenset(
 )
 #: Those of them that also set an article element apart: readers' comments and teasers are often articles.
 ARTICLE_MARKS = frozenset("ad ads advert promo sponsored related recommended sidebar comment comments reply replies".split())
-#: A path is content from this share of the mean score.
-CUT = 0.3
+#: A container is content from this share of the best score.
+CUT = 0.4
 #: Priors: what the score of a path counts for that tags or class words set apart, inside an article element, and of a heading in it.
 APART_PRIOR, ARTICLE_PRIOR, HEADING_PRIOR = 0.005, 2.0, 2.0
+#: A container of so many blocks, of fewer characters each and without punctuation, is a menu, which nothing around it lifts.
+MENU_BLOCKS, MENU_CHARS = 3, 8
+#: What lifts nothing in it: the page as a whole.
+WHOLE = frozenset(["", "html", "body"])
 
 
 @dataclass
 class Block:
-    """A run of text: the number of its tag path, the path's last tag, and what priors go by."""
+    """A run of text: the number of its tag path, the path's last tag, and what priors and containers go by.
+
+    ``box`` is the number of the nearest container.
+    """
 
     path: int
     tag: str
-    inside: bool
+    box: int
     apart: bool
     parts: list[str] = field(default_factory=list)
 
@@ -121,39 +130,65 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         yield tag, attributes, ends
 
 
+@dataclass
+class Box:
+    """A container element: the one around it (0: none), its tag, and the nearest article element (0: none)."""
+
+    around: int
+    tag: str
+    article: int
+
+
+@dataclass
+class _Frame:
+    tag: str
+    path: int
+    last: str
+    box: int
+    article: int
+    apart: bool
+
+
 class _Open:
     """The elements that are open, outermost first; finding the innermost of a name takes constant time."""
 
     def __init__(self):
-        self.frames: list[tuple[str, int, str, bool, bool]] = []  # tag, path, its last tag, inside an article, apart from it
+        self.frames: list[_Frame] = []
         self.where: dict[str, list[int]] = {}
         self.paths: dict[tuple[int, str], int] = {}
+        #: In page order, so outer ones first; the first stands for the page.
+        self.boxes = [Box(0, "", 0)]
 
-    def top(self) -> tuple[str, int, str, bool, bool]:
-        return self.frames[-1] if self.frames else ("", 0, "", False, False)
+    def top(self) -> _Frame:
+        return self.frames[-1] if self.frames else _Frame("", 0, "", 0, 0, False)
 
     def innermost(self, *tags: str) -> int:
         return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
 
-    def push(self, tag: str, signature: str, inside: bool, apart: bool) -> None:
-        _, path, last, *_ = self.top()
+    def push(self, tag: str, signature: str, apart: bool) -> None:
+        around = self.top()
+        path, last, box, article = around.path, around.last, around.box, around.article
         if tag not in INLINE:
             path, last = self.paths.setdefault((path, signature), len(self.paths) + 1), tag
+            if tag not in FLOW:
+                article = len(self.boxes) if tag in BODY_OF else article
+                self.boxes.append(Box(box, tag, article))
+                box = len(self.boxes) - 1
         self.where.setdefault(tag, []).append(len(self.frames))
-        self.frames.append((tag, path, last, inside, apart))
+        self.frames.append(_Frame(tag, path, last, box, article, apart))
 
     def close(self, index: int) -> bool:
         """Close the elements from ``index`` on; whether any of them was a block."""
         wide = False
         while len(self.frames) > index >= 0:
-            tag = self.frames.pop()[0]
+            tag = self.frames.pop().tag
             self.where[tag].pop()
             wide |= tag not in INLINE
         return wide
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, each with its root-to-leaf tag path."""
+def blocks(page: str) -> tuple[list[Block], list[Box]]:
+    """The page's blocks of text in order, each with its root-to-leaf tag path, and the containers."""
     out: list[Block] = []
     stack = _Open()
     skip, depth, fresh = "", 0, True
@@ -165,10 +200,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if not tag:
             if stack.innermost("head") < 0:
-                _, path, last, inside, apart = stack.top()
+                top = stack.top()
                 # An inline element that is set apart (a marked span) is a block of its own.
-                if fresh or not out or out[-1].apart != apart:
-                    out.append(Block(path, last, inside, apart))
+                if fresh or not out or out[-1].apart != top.apart:
+                    out.append(Block(top.path, top.last, top.box, top.apart))
                     fresh = False
                 out[-1].parts.append(text)
             continue
@@ -194,8 +229,7 @@ def blocks(page: str) -> list[Block]:
             own = stack.innermost(*OWN_KIND[tag])
             if own > stack.innermost(*LISTS):
                 stack.close(own)
-        *_, inside, apart = stack.top()
-        inside |= tag in BODY_OF
+        inside, apart = stack.top().article > 0 or tag in BODY_OF, stack.top().apart
         if tag in BODY_OF:
             apart |= _marked(text, ARTICLE_MARKS)
         elif tag not in ("html", "body"):
@@ -204,31 +238,46 @@ def blocks(page: str) -> list[Block]:
         # The header of an article holds its headline; other headers are the site's.
         if tag == "header":
             apart |= not inside
-        stack.push(tag, _signature(tag, text), inside, apart)
+        stack.push(tag, _signature(tag, text), apart)
         fresh |= tag not in INLINE
-    return out
+    return out, stack.boxes
 
 
 def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
+def _smooth(x: list[float], of: list[int]) -> list[float]:
+    """Each value with its neighbours, as far as these belong to the same; values at an end count for the missing one."""
+    n = len(x)
+    sides = [[x[j] if 0 <= j < n and of[j] == of[i] else x[i] for j in (i - 1, i + 1)] for i in range(n)]
+    return [0.5 * own + 0.25 * sum(two) for own, two in zip(x, sides)]
+
+
 def extract(page: str) -> str:
     """The main text of one page.
 
     For each tag path the ratios text length / blocks and punctuation / blocks are
-    smoothed over neighbouring paths in page order and fused.  The score of a path
-    is that times a prior: tags and class words that set text apart from the
-    article (navigation, forms, adverts, comments) count little, an article
-    element and the headings in it more.  Paths are content from a share of the
-    mean score.
+    smoothed over neighbouring paths, in page order, that begin in one container, and
+    fused.  The score of a path is that times a prior: tags and class words that set
+    text apart from the article (navigation, forms, adverts, comments) count little,
+    an article element and the headings in it more.  The score of a container is the
+    mean of its paths' by their text; containers in it, or in one article element, that
+    are not set apart or menus are lifted to it.  Containers are content from a share
+    of the best score, with all of their blocks.
     """
-    found = [(b, t) for b in blocks(page) if (t := _clean(b.parts))]
+    all_blocks, boxes = blocks(page)
+    found = [(b, t) for b in all_blocks if (t := _clean(b.parts))]
     if not found:
         return ""
-    paths: dict[tuple, list[float]] = {}
+
+    def path_of(b: Block) -> tuple[int, str, bool, bool]:
+        return b.path, b.tag, boxes[b.box].article > 0, b.apart
+
+    # Text, punctuation and blocks by path, and the container in which the path begins.
+    paths: dict[tuple[int, str, bool, bool], list[int]] = {}
     for b, t in found:
-        row = paths.setdefault((b.path, b.tag, b.inside, b.apart), [0.0, 0.0, 0.0])
+        row = paths.setdefault(path_of(b), [0, 0, 0, b.box])
         row[0] += len(t)
         row[1] += sum(map(t.count, ".,;:!?"))
         row[2] += 1
@@ -240,19 +289,42 @@ def extract(page: str) -> str:
         heading = tag in HEADINGS and (inside or not has_article)
         return (ARTICLE_PRIOR if inside else 1.0) * (HEADING_PRIOR if heading else 1.0)
 
-    def smooth(x: list[float]) -> list[float]:
-        wide = [0.0, *x, 0.0]
-        return [0.25 * a + 0.5 * b + 0.25 * c for a, b, c in zip(wide, wide[1:], wide[2:])]
-
-    # What counts for little does not lift its neighbours either.
-    priors = [prior(*key[1:]) for key in paths]
-    length = [min(1.0, p) * chars / n for (chars, _, n), p in zip(paths.values(), priors)]
-    points = [min(1.0, p) * marks / n for (_, marks, n), p in zip(paths.values(), priors)]
-    scores = [max(1.0, p) * a * (1 + b) for a, b, p in zip(smooth(length), smooth(points), priors)]
-    own = [min(s, p * chars / n * (1 + marks / n)) if p < 1 else s for s, (chars, marks, n), p in zip(scores, paths.values(), priors)]
-    mean = sum(own) / len(own)
-    keep = {key for key, score in zip(paths, own) if score >= CUT * mean}
-    return " ".join(t for b, t in found if (b.path, b.tag, b.inside, b.apart) in keep)
+    begins = [row[3] for row in paths.values()]
+    length = _smooth([chars / n for chars, _, n, _ in paths.values()], begins)
+    points = _smooth([marks / n for _, marks, n, _ in paths.values()], begins)
+    score = {key: a * (1 + b) * prior(*key[1:]) for key, a, b in zip(paths, length, points)}
+
+    # Fused by container and whether it is set apart, and by article element: weighted scores, text, blocks, punctuation.
+    fused: dict[tuple[int, bool], list[float]] = {}
+    articles: dict[int, list[float]] = {}
+    for b, t in found:
+        sums = [fused.setdefault((b.box, b.apart), [0.0, 0, 0, 0])]
+        if not b.apart and boxes[b.box].article:
+            sums.append(articles.setdefault(boxes[b.box].article, [0.0, 0, 0, 0]))
+        for row in sums:
+            for i, x in enumerate((score[path_of(b)] * len(t), len(t), 1, sum(map(t.count, ".,;:!?")))):
+                row[i] += x
+
+    # What is not set apart is lifted by the container around it and by its article element.
+    lifted: list[float] = []
+    menus: set[int] = set()
+    for at, box in enumerate(boxes):
+        total, chars, n, marks = fused.get((at, False), (0.0, 0, 0, 0))
+        own = total / max(1, chars)
+        if box.tag not in BODY_OF and (box.around in menus or n >= MENU_BLOCKS and chars < MENU_CHARS * n and not marks):
+            menus.add(at)
+            lifted.append(own)
+            continue
+        total, chars, *_ = articles.get(box.article, (0.0, 0))
+        whole = not at or box.tag in BODY_OF or boxes[box.around].tag in WHOLE
+        lifted.append(max(own, total / max(1, chars), 0.0 if whole else lifted[box.around]))
+    least = CUT * max(total / chars for total, chars, *_ in fused.values())
+
+    def value(b: Block) -> float:
+        total, chars, *_ = fused[b.box, b.apart]
+        return total / chars if b.apart else lifted[b.box]
+
+    return " ".join(t for b, t in found if value(b) >= least)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
