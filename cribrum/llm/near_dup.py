@@ -157,27 +157,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, class_id (least doc_id of its class), class_size.
-
-    Documents are linked when the Jaccard similarity of their sets of word
-    shingles is at least ``threshold``; classes are what links connect.  Equal
-    texts are one node throughout, so copies cost one row each.  Candidates
-    share a band of ProbMinHash registers, where each distinct shingle has weight 1
-    as in that similarity, and every candidate is verified on the whole texts.  In each bucket
-    members are verified against its most central node, the one whose buckets
-    are fullest; then, across classes only, against two further centres; and then
-    all that share a bucket are compared across classes, pair by pair in buckets of
-    up to SMALL_BUCKET nodes and after a prefix filter in larger ones.
-
-    Null, empty and blank texts are in classes of their own; rows that repeat
-    share a class, whose class_id ignores nulls and is null where all ids are.
-    Texts are read whole, about four megabytes at a time or one text.  Other
-    columns are not read; an empty table gives no rows.
-    """
+def _placed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Rows doc_id, key (the text's), comp (the class's name; null for texts without words), as ``near_classes`` links them."""
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("who")
     nodes = docs.select("doc_id", "text", who, text_key(F.col("text")).alias("node"))
-    members = stage(nodes.select("doc_id", "who", F.when(F.col("text").rlike("[^ \\t-\\r]"), F.col("node")).alias("node")), "members")
+    words = F.col("text").rlike("[^ \\t-\\r]")
+    members = stage(nodes.select("doc_id", "who", F.col("node").alias("key"), F.when(words, F.col("node")).alias("node")), "members")
     held = stage(nodes.select("node", "text").mapInArrow(lambda b: _band_rows(b, bands, rows), "bucket long, node binary").distinct(), "buckets")
     full = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = held.join(full, "bucket")
@@ -217,6 +202,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             more = star.select("a", "b")
         else:
             left = stage(placed.join(open_buckets, "bucket"), "open")
+            if left.isEmpty():
+                break
             if turn < 3:
                 # The next centre: the most central node outside the first one's class.
                 first = left.where("node = top.node").select("bucket", F.col("comp").alias("first"))
@@ -247,7 +234,28 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
     # Classes of several nodes are named by a number, the others by their one node.
     placed = comp.join(ids.select(F.col("id").alias("node"), F.col("node").alias("key")), "node").select(F.col("key").alias("node"), F.col("comp").cast("string").cast("binary").alias("comp"))
-    grouped = members.join(placed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return members.join(placed, "node", "left").select("doc_id", "key", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per document: doc_id, class_id (least doc_id of its class), class_size.
+
+    Documents are linked when the Jaccard similarity of their sets of word
+    shingles is at least ``threshold``; classes are what links connect.  Equal
+    texts are one node throughout, so copies cost one row each.  Candidates
+    share a band of ProbMinHash registers, where each distinct shingle has weight 1
+    as in that similarity, and every candidate is verified on the whole texts.  In each bucket
+    members are verified against its most central node, the one whose buckets
+    are fullest; then, across classes only, against two further centres; and then
+    all that share a bucket are compared across classes, pair by pair in buckets of
+    up to SMALL_BUCKET nodes and after a prefix filter in larger ones.
+
+    Null, empty and blank texts are in classes of their own; rows that repeat
+    share a class, whose class_id ignores nulls and is null where all ids are.
+    Texts are read whole, about four megabytes at a time or one text.  Other
+    columns are not read; an empty table gives no rows.
+    """
+    grouped = _placed(docs, threshold, bands, rows)
     classes = grouped.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return grouped.join(classes, "comp", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
@@ -255,14 +263,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of least doc_id of each class; rows that repeat a doc_id count once.
+    """One document of each class: that of least doc_id, of several texts under it the one whose key is least.
 
-    Documents whose doc_id is null belong to no class here and stay.  Columns
-    besides doc_id and text stay as they are, whatever their names.
+    Rows alike in doc_id and text count once; texts under one doc_id that are not
+    near copies are different documents and all stay.  Texts without words are no
+    copies of each other; documents whose doc_id is null belong to no class here, and
+    stay.  Columns besides doc_id and text stay as they are, whatever their names;
+    which row's, where rows repeat, is left open.
     """
     table, _ = hidden(docs, ["doc_id", "text"])
-    keep = near_classes(table.where("doc_id is not null")).where("doc_id = class_id").select("doc_id").distinct()
-    chosen = table.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    placed = _placed(table.where("doc_id is not null"))
+    first = placed.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("one.*")
+    keep = stage(first.union(placed.where("comp is null").select("doc_id", "key")).distinct(), "kept")
+    keyed = table.where("doc_id is not null").withColumn("_key", text_key(F.col("text")))
+    chosen = keyed.join(keep.withColumnRenamed("key", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
     return chosen.select(*table.columns).union(table.where("doc_id is null")).toDF(*docs.columns)
 
 
