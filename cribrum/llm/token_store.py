@@ -31,7 +31,7 @@ from .tables import documents, new_path
 
 END = 0
 #: The dictionary is trained on about this many documents, chosen by a hash of doc_id.
-SAMPLE, DICTIONARY_BYTES = 800, 64 << 10
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 800, 32 << 10, 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
 #: Bytes that a worker spends on remembering the ids of chunks between spaces (one worker a core).
@@ -118,10 +118,15 @@ def _encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A dictionary for serialized id arrays; empty if the sample is too small to train one."""
+    """A dictionary for serialized id arrays; empty if the sample is too small to train one.
+
+    The driver holds at most 2 * SAMPLE texts of at most SAMPLE_BYTES each: drawn by a
+    hash of doc_id, and in its order.  Longer texts need no dictionary of their own.
+    """
     total = docs.count()
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.where((lot < SAMPLE / max(1, total)) & F.col("text").isNotNull()).select("text").limit(2 * SAMPLE).collect()
+    short = docs.where((lot < SAMPLE / max(1, total)) & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = short.select(F.xxhash64("doc_id").alias("lot"), "doc_id", "text").orderBy("lot", "doc_id", "text").limit(2 * SAMPLE).collect()
     samples = [ids.tobytes() for ids in Encoder(tokenizer).encode([r.text for r in rows])] if rows else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
