@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import positions, running_totals
-from .replicates import quantiles
+from .lineage import cut
+from .ranking import average_ranks, positions, ranges, running_totals
+from .replicates import quantiles, with_quantiles
 
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -101,9 +104,7 @@ def regression_errors(df: DataFrame, y: str, p: str, train_mean: float) -> DataF
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, and Spearman as Pearson of average ranks; rows with a null take no part."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ra = positions(both, a).withColumn("_ra", F.col("below") + (F.col("ties") + 1) / 2).drop("below", "ties", "total")
-    rb = positions(ra, b).withColumn("_rb", F.col("below") + (F.col("ties") + 1) / 2)
-    return rb.agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return average_ranks(both.select(a, b), {a: "_ra", b: "_rb"}).agg(F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def kendall_by_group(df: DataFrame, group: str, key: str, a: str, b: str) -> DataFrame:
@@ -114,6 +115,109 @@ def kendall_by_group(df: DataFrame, group: str, key: str, a: str, b: str) -> Dat
     return p.select(group, F.when(F.col("na") * F.col("nb") > 0, F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).alias("tau_b"))
 
 
+def agreement(u: np.ndarray, v: np.ndarray) -> int:
+    """Sum over pairs of sign(u - u') * sign(v - v'): pairs in order less pairs out of order, by merging.
+
+    Values are sorted by (u, v); at each level neighbouring blocks are compared by
+    searches in their sorted values.  Pairs that tie in u are in order then, and are taken off.
+    """
+    n = len(u)
+    if n < 2:
+        return 0
+    v = np.unique(v, return_inverse=True)[1].astype(np.int64)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    base, total, width = np.int64(v.max() + 1), 0, 1
+    where = np.arange(n)
+    while width < n:
+        block = where // (2 * width)
+        left = where % (2 * width) < width
+        key = np.sort(block[left] * base + v[left])
+        mine = block[~left] * base + v[~left]
+        first = np.searchsorted(key, block[~left] * base)
+        last = np.searchsorted(key, (block[~left] + 1) * base)
+        below, upto = np.searchsorted(key, mine), np.searchsorted(key, mine, "right")
+        total += int((below - first).sum() - (last - upto).sum())
+        width *= 2
+    new = np.concatenate([[True], u[1:] != u[:-1]])
+    both = new | np.concatenate([[True], v[1:] != v[:-1]])
+    ties, same = (np.diff(np.append(np.flatnonzero(x), n)) for x in (new, both))
+    return total - (int((ties * (ties - 1) // 2).sum()) - int((same * (same - 1) // 2).sum()))
+
+
+def _ranges_with_singles(df: DataFrame, key: str) -> tuple[Column, Column]:
+    """The range of a numeric key, and whether the range is one value: a value that fills quantiles has a range of its own."""
+    n = ranges(df)
+    cuts = df.approxQuantile(key, [i / n for i in range(1, n)], min(0.01, 0.25 / n))
+    full = sorted({x for x, y in itertools.pairwise(cuts) if x == y})
+    bounds = sorted({*cuts, *(math.nextafter(x, math.inf) for x in full)})
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
+    return place, F.col(key).isin(full) if full else F.lit(False)
+
+
+def _range_agreement(first: str, second: str):
+    """Per range of rows that come sorted by it: the agreement of two columns; several ranges of a task one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = 0, []
+
+        def close() -> int:
+            return agreement(*(np.concatenate([h[c] for h in held]) for c in (1, 2))) if held else 0
+
+        for batch in batches:
+            part, u, v = (batch.column(c).to_numpy() for c in ("part", first, second))
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+            for lo, hi in itertools.pairwise(edges):
+                if hi > lo:
+                    if held and held[0][0] != part[lo]:
+                        total, held = total + close(), []
+                    held.append((part[lo], u[lo:hi], v[lo:hi]))
+        yield pa.RecordBatch.from_arrays([pa.array([total + close()], pa.int64())], names=["s"])
+
+    return run
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Kendall tau-b of all rows with both values, and their number n; null where one side is constant.
+
+    Pairs in order less pairs out of order, counted apart: pairs of different ranges
+    on both sides from the counts of a-range by b-range (at most a million numbers
+    on the driver); pairs of one a-range in that range; pairs of one b-range and
+    different a-ranges in that b-range, where a is its range.  A task has one range
+    of about equal size at a time, whose pairs are counted by merging; a value
+    that fills ranges has one for itself, where all pairs tie.
+    """
+    values = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    rows = cut(values.where(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b")))
+    (ra, single_a), (rb, single_b) = _ranges_with_singles(rows, "a"), _ranges_with_singles(rows, "b")
+    placed = cut(rows.select("a", "b", ra.cast("long").alias("ra"), rb.cast("long").alias("rb"), single_a.alias("sa"), single_b.alias("sb")))
+
+    def inside(part: str, first: str, second: str, single: str) -> DataFrame:
+        own = placed.where(~F.col(single)).select(F.col(part).alias("part"), F.col(first).alias("u"), F.col(second).alias("v"))
+        return own.repartition("part").sortWithinPartitions("part").mapInArrow(_range_agreement("u", "v"), "s long")
+
+    part = inside("ra", "a", "b", "sa").union(inside("rb", "ra", "b", "sb")).agg(F.sum(F.col("s").cast("decimal(38,0)"))).first()[0]
+    cells = placed.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(c.n for c in cells)
+    grid = np.zeros((max((c.ra for c in cells), default=0) + 1, max((c.rb for c in cells), default=0) + 1), np.int64)
+    for c in cells:
+        grid[c.ra, c.rb] = c.n
+    # Of each cell: what lies behind it in both, less what lies behind it in one and before it in the other.
+    below = np.cumsum(grid[::-1], axis=0)[::-1] - grid
+    before = np.cumsum(below, axis=1)
+    ahead = before[:, -1:] - before - (before - below)
+    across = sum(int(n) * int(x) for n, x in zip(grid.ravel(), ahead.ravel()) if n)
+    ties = [
+        placed.groupBy(c).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0))).first()[0] for c in ("a", "b")
+    ]
+    pairs = total * (total - 1) // 2
+    free = [pairs - int(t) for t in ties]
+    tau = (across + int(part or 0)) / (math.sqrt(free[0]) * math.sqrt(free[1])) if all(free) else None
+    return df.sparkSession.createDataFrame([(tau, total)], "tau_b double, n long")
+
+
 def signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     """Of the paired differences a - b other than 0: n, W+ and W- over average ranks of |d|, tie term, median difference."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
@@ -194,7 +298,8 @@ def tukey(spark: SparkSession, df: DataFrame, group: str, value: str, alpha: flo
 
 def rank_summary(long: DataFrame, model: str, rank: str) -> DataFrame:
     """Per model: mean, median, min, max rank."""
-    return long.groupBy(model).agg(F.avg(rank).alias("mean"), F.median(rank).alias("median"), F.min(rank).alias("min"), F.max(rank).alias("max"))
+    sums = long.groupBy(model).agg(F.avg(rank).alias("mean"), F.min(rank).alias("min"), F.max(rank).alias("max"))
+    return with_quantiles(sums, [model], long, rank, {"median": 0.5}).select(model, "mean", "median", "min", "max")
 
 
 def false_positive_rates(df: DataFrame, label: str, score: str, thresholds: list[float]) -> DataFrame:

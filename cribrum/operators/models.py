@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 from .metrics import auroc, average_precision
-from .ranking import best_per_key, rank_norm
+from .ranking import best_per_key, rank_norms
 from .similarity import nearest_rows
 
 
@@ -185,9 +185,7 @@ def ensemble_score(df: DataFrame, models: list[Model], regression: bool = False)
 
 def rank_ensemble(df: DataFrame, scores: list[str], name: str) -> DataFrame:
     """Adds the mean of the normalised ranks of several scores."""
-    out = df
-    for s in scores:
-        out = rank_norm(out, s, f"_n_{s}")
+    out = rank_norms(df, {s: f"_n_{s}" for s in scores})
     return out.withColumn(name, sum((F.col(f"_n_{s}") for s in scores), F.lit(0.0)) / len(scores)).drop(*[f"_n_{s}" for s in scores])
 
 

@@ -13,9 +13,14 @@ LEAST_RANGES, MOST_RANGES = 32, 1000
 TOP = 10_000
 
 
-def _range_of(df: DataFrame, key: str) -> Column:
+def ranges(df: DataFrame) -> int:
+    """How many ranges a global order over the rows is cut into."""
+    return min(MOST_RANGES, max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def range_of(df: DataFrame, key: str) -> Column:
     """The range of a numeric key, between quantiles of its values: an expression over literals."""
-    n = min(MOST_RANGES, max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = ranges(df)
     bounds = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], min(0.01, 0.25 / n))))
     if not bounds:
         return F.lit(0)
@@ -43,7 +48,7 @@ def running_totals(df: DataFrame, key: str, sums: list[str], descending: bool =
     range) are then added.
     """
     order = F.desc if descending else F.asc
-    placed = df.withColumn("_range", _range_of(df, key))
+    placed = df.withColumn("_range", range_of(df, key))
     within = Window.partitionBy("_range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,45 +57,95 @@ def running_totals(df: DataFrame, key: str, sums: list[str], descending: bool =
     return out.select(*df.columns, *[(F.col(f"_w_{c}") + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in sums])
 
 
+def _number(score: str) -> Column:
+    """The score as a number; null for null and NaN, which take no part."""
+    return F.when(~F.isnan(score), F.col(score).cast("double"))
+
+
+def _counted(df: DataFrame, scores: list[str]) -> DataFrame:
+    """Rows c, v, below, ties, total of each different value v of the score number c: one scan of ``df``, whatever the number of scores.
+
+    Values of all scores are one table, which is cut into ranges of about equal
+    size; (score, range) parts are summed apart, and the sums of the ranges before
+    (one row a score and range) are then added.
+    """
+    wide = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), _number(s).alias("v")) for i, s in enumerate(scores)])))
+    counts = cut(wide.where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("ties")))
+    placed = counts.withColumn("r", range_of(counts, "v"))
+    within = Window.partitionBy("c", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("c", "r").agg(F.sum("ties").alias("t"))
+    before = F.sum("t").over(Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("c", "r", F.coalesce(before, F.lit(0)).alias("b"), F.sum("t").over(Window.partitionBy("c")).alias("total"))
+    ranked = placed.withColumn("w", F.coalesce(F.sum("ties").over(within), F.lit(0))).join(F.broadcast(offsets), ["c", "r"])
+    return cut(ranked.select("c", "v", (F.col("b") + F.col("w")).alias("below"), "ties", "total"))
+
+
+def all_positions(df: DataFrame, scores: list[str]) -> DataFrame:
+    """Adds a struct ``<score>_at`` for each score: rows of lower score (below), of this score (ties), with a score (total).
+
+    Null and NaN scores take no part and get a null.  Several scores are looked up
+    as one long table of (row, score, value), which goes back to the rows once.
+    """
+    if len(scores) == 1:
+        (score,) = scores
+        # Rows without a score would all meet in one task; each gets a key of its own, which finds nothing.
+        keyed = df.withColumn("_v", _number(score)).withColumn("_lone", F.when(F.col("_v").isNull(), F.monotonically_increasing_id()))
+        ranked = _counted(df, scores).select(F.col("v").alias("_w"), F.lit(None).cast("long").alias("_none"), F.struct("below", "ties", "total").alias(f"{score}_at"))
+        found = keyed.join(ranked, F.col("_v").eqNullSafe(F.col("_w")) & F.col("_lone").eqNullSafe(F.col("_none")), "left")
+        return found.select(*df.columns, f"{score}_at")
+    rows = cut(df.withColumn("_id", F.monotonically_increasing_id()))
+    ranked = _counted(rows, scores)
+    long = rows.select("_id", F.inline(F.array(*[F.struct(F.lit(i).alias("c"), _number(s).alias("v")) for i, s in enumerate(scores)]))).where("v is not null")
+    found = long.join(ranked, ["c", "v"]).groupBy("_id").agg(*[F.max(F.when(F.col("c") == i, F.struct("below", "ties", "total"))).alias(f"{s}_at") for i, s in enumerate(scores)])
+    return rows.join(found, "_id", "left").select(*df.columns, *[f"{s}_at" for s in scores])
+
+
 def positions(df: DataFrame, score: str) -> DataFrame:
     """Adds ``below`` (rows of lower score), ``ties`` (rows of this score) and ``total`` (rows with a score).
 
     NaN and null scores take no part and get nulls.
     """
-    value = F.when(~F.isnan(score), F.col(score).cast("double"))
-    keyed = df.withColumn("_v", value)
-    distinct = keyed.where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("ties"))
-    ranked = running_totals(distinct, "_v", ["ties"]).select("_v", (F.col("cum_ties") - F.col("ties")).alias("below"), "ties")
-    total = distinct.agg(F.sum("ties").alias("total"))
-    # Rows without a score would all meet in one task of the join.
-    found = keyed.where("_v is not null").join(ranked, "_v").crossJoin(F.broadcast(total)).drop("_v")  # one row
-    none = keyed.where("_v is null").drop("_v").withColumns({c: F.lit(None).cast("long") for c in ("below", "ties", "total")})
-    return found.select(*df.columns, "below", "ties", "total").unionByName(none)
+    return all_positions(df, [score]).select(*df.columns, *[F.col(f"{score}_at.{c}").alias(c) for c in ("below", "ties", "total")])
+
+
+def _ranked(df: DataFrame, names: dict[str, str], rank) -> DataFrame:
+    """Adds for each score, under its name in ``names``, what ``rank`` makes of below, ties and total."""
+    out = all_positions(df, list(names))
+    return out.select(*df.columns, *[rank(*(F.col(f"{s}_at.{c}") for c in ("below", "ties", "total"))).alias(n) for s, n in names.items()])
+
+
+def rank_norms(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Average ascending rank over the number of scores, for each score under its name; null where there is no score."""
+    return _ranked(df, names, lambda below, ties, total: (below + (ties + 1) / 2) / total)
 
 
 def rank_norm(df: DataFrame, score: str, name: str) -> DataFrame:
-    """Average ascending rank over the number of scores; null where there is no score."""
-    out = positions(df, score).withColumn(name, (F.col("below") + (F.col("ties") + 1) / 2) / F.col("total"))
-    return out.drop("below", "ties", "total")
+    return rank_norms(df, {score: name})
+
+
+def average_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Average rank, 1 for the lowest score, for each score under its name."""
+    return _ranked(df, names, lambda below, ties, total: below + (ties + 1) / 2)
 
 
 def average_rank_desc(df: DataFrame, score: str, name: str) -> DataFrame:
     """Average rank, 1 for the highest score."""
-    out = positions(df, score).withColumn(name, F.col("total") - F.col("below") - F.col("ties") + (F.col("ties") + 1) / 2)
-    return out.drop("below", "ties", "total")
+    return _ranked(df, {score: name}, lambda below, ties, total: total - below - ties + (ties + 1) / 2)
 
 
-def ordinal_rank(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """1, 2, ... by descending score, then key; rows without a score (null or NaN) last."""
-    value = df.withColumn("_v", F.when(~F.isnan(score), F.col(score).cast("double")))
-    return row_numbers(value, [F.desc_nulls_last("_v"), F.asc(key)], name).drop("_v").withColumn(name, F.col(name) + 1)
+def fractional_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(rows above + half the other ties) / (rows - 1), for each score under its name: 0 is the top."""
+    return _ranked(df, names, lambda below, ties, total: (total - below - ties + 0.5 * (ties - 1)) / F.greatest(total - 1, F.lit(1)))
 
 
 def fractional_rank(df: DataFrame, score: str, name: str) -> DataFrame:
-    """(rows above + half the other ties) / (rows - 1): 0 is the top."""
-    above = F.col("total") - F.col("below") - F.col("ties")
-    out = positions(df, score).withColumn(name, (above + 0.5 * (F.col("ties") - 1)) / F.greatest(F.col("total") - 1, F.lit(1)))
-    return out.drop("below", "ties", "total")
+    return fractional_ranks(df, {score: name})
+
+
+def ordinal_rank(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
+    """1, 2, ... by descending score, then key; rows without a score (null or NaN) last."""
+    value = df.withColumn("_v", _number(score))
+    return row_numbers(value, [F.desc_nulls_last("_v"), F.asc(key)], name).drop("_v").withColumn(name, F.col(name) + 1)
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -98,9 +153,18 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int | Column) -> DataFrame:
-    """The first ``n`` rows of each group; ``n`` may be a column, such as a quota."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int | Column, most: int | None = None, place: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each group, with their number as ``place`` if asked for.
+
+    ``n`` may be a column, such as a quota, of which ``most`` is the largest: a limit
+    that is a number is applied before the shuffle, too, so that no group meets
+    whole in one task.
+    """
+    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if most is not None:
+        numbered = numbered.where(F.col("_rn") <= most)
+    kept = numbered.where(F.col("_rn") <= n)
+    return kept.withColumnRenamed("_rn", place) if place else kept.drop("_rn")
 
 
 def top_or_threshold(df: DataFrame, score: str, key: str, n: int | None = None, threshold: float | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -21,7 +23,8 @@ def collapse(df: DataFrame, key: str, batch: str, mean: str, first: list[str]) -
 
 
 def median_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.median(value).alias("median"))
+    """Exact median of each id; null where an id has no values."""
+    return with_quantiles(df.select(key).distinct(), [key], df, value, {"median": 0.5})
 
 
 def ambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -35,19 +38,11 @@ def unambiguous_rows(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def batch_stats(df: DataFrame, batch: str, key: str, value: str) -> DataFrame:
     """Per batch, nulls dropped first: n, distinct ids, mean, median, sample deviation, quartiles."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(batch)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_distinct(F.col(key)).alias("n_ids"),
-            F.avg(value).alias("mean"),
-            F.median(value).alias("median"),
-            F.stddev_samp(value).alias("std"),
-            F.percentile(value, F.lit(0.25)).alias("q25"),
-            F.percentile(value, F.lit(0.75)).alias("q75"),
-        )
+    rows = df.where(F.col(value).isNotNull())
+    sums = rows.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("n_ids"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
     )
+    return with_quantiles(sums, [batch], rows, value, {"median": 0.5, "q25": 0.25, "q75": 0.75}).select(batch, "n", "n_ids", "mean", "median", "std", "q25", "q75")
 
 
 def within_key_spread(df: DataFrame, key: str, batch: str, value: str) -> DataFrame:
@@ -77,9 +72,9 @@ def reproducibility(spread: DataFrame) -> DataFrame:
 
 def variance_explained(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way R2 = between-group over total sum of squares (null if the total is 0), and the spread of group medians."""
-    groups = df.where(F.col(value).isNotNull()).groupBy(group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"), F.median(value).alias("median")
-    )
+    rows = df.where(F.col(value).isNotNull())
+    sums = rows.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
+    groups = cut(with_quantiles(sums, [group], rows, value, {"median": 0.5}))
     grand = groups.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     parts = groups.crossJoin(F.broadcast(grand))  # one row
     between = F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), F.lit(2)))
@@ -91,9 +86,8 @@ def variance_explained(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def composition(df: DataFrame, a: str, b: str, key: str, value: str) -> DataFrame:
     """Per pair of groups: distinct ids, median, mean, rows (nulls counted as rows)."""
-    return df.groupBy(a, b).agg(
-        F.count_distinct(F.col(key)).alias("n_ids"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_rows")
-    )
+    sums = df.groupBy(a, b).agg(F.count_distinct(F.col(key)).alias("n_ids"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_rows"))
+    return with_quantiles(sums, [a, b], df, value, {"median": 0.5}).select(a, b, "n_ids", "median", "mean", "n_rows")
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
@@ -103,19 +97,47 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
     return sums.crossJoin(places).select("count", "mean", "std", "min", "q25", "median", "q75", "q90", "max")  # one row each
 
 
-def quantiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
-    """One row: exact quantiles, interpolated between neighbours; nulls take no part, and all are null without values.
+def _same(left: list[str], right: list[str]) -> Column:
+    """Equality of keys, where nulls are equal."""
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)], F.lit(True))
 
-    Distinct values are counted and ranked over ranges, so that no task holds them all.
-    """
-    from .ranking import running_totals
 
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    cumulative = running_totals(counts, "v", ["c"]).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
-    place = {name: F.lit(q) * (F.col("n") - 1) for name, q in wanted.items()}
-    sides = [F.min(F.when(F.col("cum_c") > side(p), F.col("v"))).alias(f"_{name}_{i}") for name, p in place.items() for i, side in enumerate((F.floor, F.ceil))]
+def group_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Rows of keys and exact quantiles, interpolated between neighbours; each value counts ``weight`` times (once).
+
+    Nulls take no part; groups without values give no row (without keys: one row of
+    nulls).  Different values of a group are counted and cut into ranges of all
+    values, so that a (group, range) part is at most a range, however large the
+    group; sums of the ranges before are then added.
+    """
+    from .ranking import range_of
+
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(times.alias("_c")))
+    placed = counts.withColumn("_r", range_of(counts, "_v"))
+    within = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*keys, "_r").agg(F.sum("_c").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    own = [f"_k{i}" for i in range(len(keys))]
+    offsets = sums.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("_r").alias("_q"), F.coalesce(before, F.lit(0)).alias("_b"), F.sum("_t").over(Window.partitionBy(*keys)).alias("_n"))
+    reach = placed.withColumn("_w", F.sum("_c").over(within)).join(offsets, _same([*keys, "_r"], [*own, "_q"])).withColumn("_cum", F.col("_w") + F.col("_b"))
+    place = {name: F.lit(q) * (F.col("_n") - 1) for name, q in wanted.items()}
+    sides = [F.min(F.when(F.col("_cum") > side(p), F.col("_v"))).alias(f"_{name}_{i}") for name, p in place.items() for i, side in enumerate((F.floor, F.ceil))]
     shares = [F.max(p - F.floor(p)).alias(f"_{name}_s") for name, p in place.items()]
-    return cumulative.agg(*sides, *shares).select(*[(F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_s")).alias(n) for n in wanted])
+    found = reach.groupBy(*keys).agg(*sides, *shares)
+    return found.select(*keys, *[(F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * F.col(f"_{n}_s")).alias(n) for n in wanted])
+
+
+def with_quantiles(groups: DataFrame, keys: list[str], df: DataFrame, value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Adds to one row a group the quantiles of its rows in ``df``; null where it has no values."""
+    own = [f"_g{i}" for i in range(len(keys))]
+    found = group_quantiles(df, keys, value, wanted, weight).toDF(*own, *wanted)
+    return groups.join(found, _same(keys, own), "left").drop(*own)
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles, interpolated between neighbours; nulls take no part, and all are null without values."""
+    return group_quantiles(df, [], value, wanted)
 
 
 def nearest_quantile(df: DataFrame, value: str, q: float) -> DataFrame:

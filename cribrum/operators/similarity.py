@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tanimoto_packed
 from .lineage import cut, few
+from .ranking import running_totals
+from .replicates import with_quantiles
 
 #: Rows up to which one side of a join is broadcast.
 BROADCAST_ROWS = 500_000
@@ -93,6 +95,32 @@ def similarity_links(df: DataFrame, key: str, items: str, tenths: int) -> DataFr
     return df.select(F.col(key).alias("k")).join(counted, "k", "left").select(F.col("k").alias(key), F.coalesce("rep", "k").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def weighted_pairs(df: DataFrame, key: str, items: str, tenths: int, features: list[str]) -> DataFrame:
+    """Similar pairs of rows as (sim, <f>_i, <f>_j, n): n pairs have this similarity and these features on either side.
+
+    Sets are compared once, and each class of equal sets has a histogram of its
+    rows' features: a pair of classes gives a row for each two entries of the
+    histograms, and a class gives its own pairs as products of counts.  So a
+    million copies with equal features are one row, not 10**12.  The two sides of
+    a pair are in no order.
+    """
+    sets, members = _equal_sets(df, key, items)
+    of_row = df.select(F.col(key).alias("k"), *features)
+    counts = cut(members.select("k", "rep").join(of_row, "k").groupBy("rep", *features).agg(F.count(F.lit(1)).alias("c")))
+
+    def side(end: str) -> DataFrame:
+        return counts.select(F.col("rep").alias(end), *[F.col(f).alias(f"{f}_{end}") for f in features], F.col("c").alias(f"c_{end}"))
+
+    across = _similar_sets(sets, tenths).join(side("i"), "i").join(side("j"), "j").withColumn("n", F.col("c_i") * F.col("c_j"))
+    own = side("i").join(side("j"), F.col("i") == F.col("j"))
+    # A histogram's entries against themselves, and against later ones.
+    left, right = (F.struct(*[F.col(f"{f}_{end}") for f in features]) for end in "ij")
+    within = own.where(left <= right).withColumn("n", F.when(left == right, F.col("c_i") * (F.col("c_i") - 1) / 2).otherwise(F.col("c_i") * F.col("c_j")).cast("long"))
+    names = [f"{f}_{end}" for f in features for end in "ij"]
+    both = across.select("sim", *names, "n").unionByName(within.where("n > 0").select(F.lit(1.0).alias("sim"), *names, "n"))
+    return both.groupBy("sim", *names).agg(F.sum("n").alias("n"))
+
+
 def novel(df: DataFrame, key: str, items: str, references: DataFrame, ref_key: str, ref_items: str, most: float) -> DataFrame:
     """Rows whose nearest reference is at most ``most`` similar, annotated with it."""
     return nearest_reference(df, key, items, references, ref_key, ref_items).where(F.col("max_sim") <= most)
@@ -147,29 +175,41 @@ def nearest_rows(df: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def pair_bins(pairs: DataFrame, sim: str, difference: str, bins: int = 20, least: int = 10) -> DataFrame:
-    """Per similarity bin: n, median and quartiles of the difference where there are ``least`` pairs."""
+def pair_bins(pairs: DataFrame, sim: str, difference: str, weight: str, bins: int = 20, least: int = 10) -> DataFrame:
+    """Per similarity bin: n, median and quartiles of the difference where there are ``least`` pairs; each row counts ``weight`` times."""
     from ..functions.scalars import equal_width_bin
 
-    stats = pairs.groupBy(equal_width_bin(F.col(sim), bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.median(difference).alias("median"), F.percentile(difference, F.lit(0.25)).alias("q25"), F.percentile(difference, F.lit(0.75)).alias("q75")
-    )
+    binned = pairs.withColumn("bin", equal_width_bin(F.col(sim), bins))
+    sums = binned.groupBy("bin").agg(F.sum(weight).alias("n"))
+    stats = with_quantiles(sums, ["bin"], binned, difference, {"median": 0.5, "q25": 0.25, "q75": 0.75}, weight)
     return stats.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("median", "q25", "q75")})
 
 
-def cliff_rate(pairs: DataFrame, sim: str, difference: str, similar: float, steep: float) -> DataFrame:
+def _times(condition: Column, weight: str) -> Column:
+    return F.sum(F.when(condition, F.col(weight)).otherwise(0))
+
+
+def cliff_rate(pairs: DataFrame, sim: str, difference: str, similar: float, steep: float, weight: str) -> DataFrame:
     close, cliff = F.col(sim) >= similar, F.col(difference) >= steep
-    return pairs.agg(F.count_if(close).alias("n_similar"), F.count_if(close & cliff).alias("n_cliffs")).withColumn("rate", F.when(F.col("n_similar") > 0, F.col("n_cliffs") / F.col("n_similar")))
+    return pairs.agg(_times(close, weight).alias("n_similar"), _times(close & cliff, weight).alias("n_cliffs")).withColumn("rate", F.when(F.col("n_similar") > 0, F.col("n_cliffs") / F.col("n_similar")))
 
 
-def stratified_cliffs(pairs: DataFrame, group_i: str, group_j: str, sim: str, difference: str, similar: list[float], steep: float) -> DataFrame:
+def stratified_cliffs(pairs: DataFrame, group_i: str, group_j: str, sim: str, difference: str, similar: list[float], steep: float, weight: str) -> DataFrame:
     """By pair category (same, cross, unassigned) and similarity threshold: n, median, mean, deviation, cliffs, rate, median similarity."""
+    keys = ["category", "threshold"]
     category = F.when(F.col(group_i).isNull() | F.col(group_j).isNull(), "unassigned").when(F.col(group_i) == F.col(group_j), "same").otherwise("cross")
     rows = pairs.withColumn("category", category).withColumn("threshold", F.explode(F.array(*map(F.lit, similar)))).where(F.col(sim) >= F.col("threshold"))
-    cliffs = F.count_if(F.col(difference) >= steep)
-    return rows.groupBy("category", "threshold").agg(
-        F.count(F.lit(1)).alias("n"), F.median(difference).alias("median"), F.avg(difference).alias("mean"), F.stddev_pop(difference).alias("std"), cliffs.alias("n_cliffs"),
-        (cliffs / F.count(F.lit(1))).alias("rate"), F.median(sim).alias("median_sim"),
-    )
-
-
+    n, x = F.sum(weight), F.col(difference)
+    sums = rows.groupBy(*keys).agg(n.alias("n"), (F.sum(x * F.col(weight)) / n).alias("mean"), _times(x >= steep, weight).alias("n_cliffs"))
+    centred = rows.join(F.broadcast(sums.select(*keys, "mean")), keys)  # one row a category and threshold
+    spread = centred.groupBy(*keys).agg(F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * F.col(weight)) / n).alias("std"))
+    out = sums.join(spread, keys).withColumn("rate", F.col("n_cliffs") / F.col("n"))
+    out = with_quantiles(out, keys, rows, difference, {"median": 0.5}, weight)
+    return with_quantiles(out, keys, rows, sim, {"median_sim": 0.5}, weight)
+
+
+def index_distribution(pairs: DataFrame, index: str, weight: str) -> DataFrame:
+    """Different values of an index over pairs: n pairs that have it, and the share of pairs up to and with it (cdf)."""
+    counts = cut(pairs.groupBy(index).agg(F.sum(weight).alias("n")))
+    total = counts.agg(F.sum("n").alias("total"))
+    return running_totals(counts, index, ["n"]).crossJoin(F.broadcast(total)).select(index, "n", (F.col("cum_n") / F.col("total")).alias("cdf"))  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import filters as X
+from ..operators.replicates import with_quantiles
 from ..operators.similarity import nearest_reference
 from .registry import query, table
 from .similarity import _NEAR as NEAR, sets
@@ -198,7 +199,9 @@ def agg28_reconcile_counts(spark, d):
 def agg29_before_and_after(spark, d):
     orders = table(spark, d, "orders").select("o_orderpriority", F.col("o_totalprice").alias("p"))
     both = orders.withColumn("stage", F.lit("before")).union(orders.where("p > 100000").withColumn("stage", F.lit("after")))
-    return both.groupBy("o_orderpriority", "stage").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.round(F.median("p"), 4).alias("median"))
+    keys = ["o_orderpriority", "stage"]
+    sums = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("low"), F.max("p").alias("high"))
+    return with_quantiles(sums, keys, both, "p", {"median": 0.5}).withColumn("median", F.round("median", 4))
 
 
 @query("select l_orderkey, l_linenumber, round(case when l_quantity > 0 then -l_extendedprice / l_quantity else 0 end, 8) as eff from lineitem")

@@ -141,9 +141,7 @@ _FR = ", ".join(f"(select * from (select y, '{m}' as model, (rank() over (order
 
 
 def _positive_ranks(spark, d):
-    p = predictions(spark, d)
-    for m in ("m0", "m1", "m2"):
-        p = K.fractional_rank(p, m, f"r_{m}")
+    p = K.fractional_ranks(predictions(spark, d), {m: f"r_{m}" for m in ("m0", "m1", "m2")})
     return p.where("y = 1").select("doc_id", *[F.col(f"r_{m}").alias(m) for m in ("m0", "m1", "m2")]).unpivot("doc_id", ["m0", "m1", "m2"], "model", "r")
 
 

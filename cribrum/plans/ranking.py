@@ -33,9 +33,7 @@ def _norm(m):
 
 @query(f"with {_P} select doc_id, round(({_norm('m0')} + {_norm('m1')} + {_norm('m2')}) / 3, 6) as ensemble from p")
 def win4_ensemble_rank(spark, d):
-    p = predictions(spark, d)
-    for m in ("m0", "m1", "m2"):
-        p = K.rank_norm(p, m, f"n_{m}")
+    p = K.rank_norms(predictions(spark, d), {m: f"n_{m}" for m in ("m0", "m1", "m2")})
     return p.select("doc_id", F.round((F.col("n_m0") + F.col("n_m1") + F.col("n_m2")) / 3, 6).alias("ensemble"))
 
 
@@ -89,8 +87,7 @@ def top2_sort_nulls_last(spark, d):
 @query("select p_brand, p_partkey, rn from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rn from part) where rn <= 3")
 def top3_top_n_per_group(spark, d):
     order = [F.desc("p_retailprice"), F.asc("p_partkey")]
-    rows = table(spark, d, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy(*order)).cast("long"))
-    return K.top_per_group(rows, ["p_brand"], order, 3).select("p_brand", "p_partkey", "rn")
+    return K.top_per_group(table(spark, d, "part"), ["p_brand"], order, 3, place="rn").select("p_brand", "p_partkey", F.col("rn").cast("long").alias("rn"))
 
 
 @query("select p_partkey, round(sqrt(p_retailprice) * p_size, 6) as fine from (select * from part order by p_retailprice desc, p_partkey limit 200) order by sqrt(p_retailprice) * p_size desc, p_partkey limit 20")
@@ -122,4 +119,5 @@ def top6_hash_sample(spark, d):
 def top7_quotas(spark, d):
     quota = spark.createDataFrame([("ECONOMY", 30), ("PROMO", 10), ("STANDARD", 20)], "p_type string, quota int")
     rows = table(spark, d, "part").join(F.broadcast(quota), "p_type")
-    return K.top_per_group(rows, ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], F.col("quota")).select("p_type", "p_partkey")
+    most = quota.agg(F.max("quota")).first()[0]
+    return K.top_per_group(rows, ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], F.col("quota"), most).select("p_type", "p_partkey")

@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import similarity as X
-from ..operators.lineage import spread
+from ..operators.lineage import cut, few, spread
+from ..operators.ranking import positions
+from ..operators.replicates import with_quantiles
 from .registry import query, table
 
 
@@ -66,6 +68,8 @@ def scl8_fold_bits(spark, d):
 @query(f"with {_B} select x.k as i, y.k as j, round((select count(*) from b u join b v on u.e = v.e where u.k = x.k and v.k = y.k) / (x.n + y.n - (select count(*) from b u join b v on u.e = v.e where u.k = x.k and v.k = y.k)), 6) as sim from m x join m y on x.k < y.k")
 def scl9_tanimoto(spark, d):
     items = sets(spark, d, "benchmark", "item_id")
+    if not few(items, X.SMALL_SET):
+        raise ValueError(f"all pairs of more than {X.SMALL_SET} rows")
     other = F.broadcast(items.select(F.col("item_id").alias("j"), F.col("items").alias("b")))
     return items.join(other, F.col("item_id") < F.col("j")).select(F.col("item_id").alias("i"), "j", F.round(S.tanimoto(F.col("items"), F.col("b")), 6).alias("sim"))
 
@@ -148,12 +152,15 @@ def jon10_nearest_neighbours(spark, d):
     return labelled.groupBy("query").agg(F.round(F.avg("sim"), 6).alias("mean_sim"), F.round(F.stddev_pop("label"), 6).alias("target_std"), F.round(F.avg("label"), 6).alias("target_mean"))
 
 
+def _features(spark, d):
+    """Per document: its logarithmic length and its source language, which every third lacks."""
+    return table(spark, d, "documents").select("doc_id", F.log10(F.col("n_chars") + 1.0).alias("y"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("g"))
+
+
 def _diffs(spark, d):
-    """Similar pairs of documents with the difference of their logarithmic lengths and their sources."""
-    docs = table(spark, d, "documents").select("doc_id", F.log10(F.col("n_chars") + 1.0).alias("y"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("g"))
-    pairs = similar_pairs(spark, d, 3)
-    out = pairs.join(docs.toDF("i", "yi", "gi"), "i").join(docs.toDF("j", "yj", "gj"), "j")
-    return out.withColumn("diff", F.abs(F.col("yi") - F.col("yj")))
+    """Similar pairs of documents with the difference of their logarithmic lengths, and their sources; n pairs a row."""
+    rows = sets(spark, d).join(_features(spark, d), "doc_id")
+    return X.weighted_pairs(rows, "doc_id", "items", 3, ["y", "g"]).withColumn("diff", F.abs(F.col("y_i") - F.col("y_j")))
 
 
 _DIFFS = f"{_S}, {_PAIRS}, f as (select doc_id, log10(n_chars + 1.0::double) as y, case when doc_id % 3 <> 0 then lang end as g from documents), z as (select i, j, c / u as sim, abs(a.y - b.y) as diff, a.g as gi, b.g as gj from q join f a on a.doc_id = i join f b on b.doc_id = j where c * 10 >= u * 3)"
@@ -161,12 +168,12 @@ _DIFFS = f"{_S}, {_PAIRS}, f as (select doc_id, log10(n_chars + 1.0::double) as
 
 @query(f"with {_DIFFS} select least(floor(sim * 20), 19)::int as bin, count(*) as n, case when count(*) >= 10 then round(median(diff), 6) end as median, case when count(*) >= 10 then round(quantile_cont(diff, 0.25), 6) end as q25, case when count(*) >= 10 then round(quantile_cont(diff, 0.75), 6) end as q75 from z group by 1")
 def agg17_pair_bins(spark, d):
-    return X.pair_bins(_diffs(spark, d), "sim", "diff").withColumns({c: F.round(c, 6) for c in ("median", "q25", "q75")})
+    return X.pair_bins(_diffs(spark, d), "sim", "diff", "n").withColumns({c: F.round(c, 6) for c in ("median", "q25", "q75")})
 
 
 @query(f"with {_DIFFS} select count(*) filter (sim >= 0.7) as n_similar, count(*) filter (sim >= 0.7 and diff >= 0.05) as n_cliffs, round(count(*) filter (sim >= 0.7 and diff >= 0.05) / count(*) filter (sim >= 0.7), 6) as rate from z")
 def agg18_cliff_rate(spark, d):
-    return X.cliff_rate(_diffs(spark, d), "sim", "diff", 0.7, 0.05).withColumn("rate", F.round("rate", 6))
+    return X.cliff_rate(_diffs(spark, d), "sim", "diff", 0.7, 0.05, "n").withColumn("rate", F.round("rate", 6))
 
 
 @query(
@@ -174,29 +181,39 @@ def agg18_cliff_rate(spark, d):
     "count(*) filter (diff >= 0.05) as n_cliffs, round(count(*) filter (diff >= 0.05) / count(*), 6) as rate, round(median(sim), 6) as median_sim from z, (select unnest([0.5, 0.7]) as threshold) where sim >= threshold group by all"
 )
 def agg19_stratified_cliffs(spark, d):
-    out = X.stratified_cliffs(_diffs(spark, d), "gi", "gj", "sim", "diff", [0.5, 0.7], 0.05)
+    out = X.stratified_cliffs(_diffs(spark, d), "g_i", "g_j", "sim", "diff", [0.5, 0.7], 0.05, "n")
     return out.withColumns({c: F.round(c, 6) for c in ("median", "mean", "std", "rate", "median_sim")})
 
 
 @query("select case when doc_id % 3 <> 0 then lang else 'unassigned' end as g, count(*) as n, round(avg(log10(n_chars + 1.0::double)), 6) as mean, round(median(log10(n_chars + 1.0::double)), 6) as median from documents group by 1")
 def agg20_group_targets(spark, d):
     docs = table(spark, d, "documents").select(F.when(F.col("doc_id") % 3 != 0, F.col("lang")).otherwise("unassigned").alias("g"), F.log10(F.col("n_chars") + 1.0).alias("y"))
-    return docs.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("mean"), F.round(F.median("y"), 6).alias("median"))
+    sums = docs.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("mean"))
+    return with_quantiles(sums, ["g"], docs, "y", {"median": 0.5}).withColumn("median", F.round("median", 6))
 
 
 @query(f"with {_DIFFS}, v as (select i, j, diff / greatest(1 - sim, 0.001) as sali from z where sim >= 0.7) select i, j, round(sali, 6) as sali, round(cume_dist() over (order by sali), 6) as cdf from v")
 def agg21_index_distribution(spark, d):
-    from ..operators.ranking import positions
-
-    v = _diffs(spark, d).where("sim >= 0.7").select("i", "j", S.landscape_index(F.col("diff"), F.col("sim")).alias("sali"))
+    """Row by row, copies expanded; ``agg21_index_values`` gives the distribution without."""
+    features = _features(spark, d)
+    pairs = similar_pairs(spark, d, 7).join(features.toDF("i", "yi", "gi"), "i").join(features.toDF("j", "yj", "gj"), "j")
+    v = pairs.select("i", "j", S.landscape_index(F.abs(F.col("yi") - F.col("yj")), F.col("sim")).alias("sali"))
     return positions(v, "sali").select("i", "j", F.round("sali", 6).alias("sali"), F.round((F.col("below") + F.col("ties")) / F.col("total"), 6).alias("cdf"))
 
 
+@query(f"with {_DIFFS}, v as (select round(diff / greatest(1 - sim, 0.001), 6) as sali from z where sim >= 0.7) select sali, count(*) as n, round(sum(count(*)) over (order by sali) / sum(count(*)) over (), 6) as cdf from v group by sali")
+def agg21_index_values(spark, d):
+    v = _diffs(spark, d).where("sim >= 0.7").withColumn("sali", F.round(S.landscape_index(F.col("diff"), F.col("sim")), 6))
+    return X.index_distribution(v, "sali", "n").withColumn("cdf", F.round("cdf", 6))
+
+
 @query("select label as fold, count(*) as n, round(avg(vec_id), 6) as mean, round(median(vec_id), 6) as median, round(stddev_pop(vec_id), 6) as std, label = 3 as is_holdout from embeddings group by label")
 def agg22_fold_targets(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("fold")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("vec_id"), 6).alias("mean"), F.round(F.median("vec_id"), 6).alias("median"), F.round(F.stddev_pop("vec_id"), 6).alias("std"), F.bool_or(F.col("label") == 3).alias("is_holdout")
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("fold"), "vec_id")
+    sums = rows.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("vec_id"), 6).alias("mean"), F.round(F.stddev_pop("vec_id"), 6).alias("std"), F.bool_or(F.col("fold") == 3).alias("is_holdout")
     )
+    return with_quantiles(sums, ["fold"], rows, "vec_id", {"median": 0.5}).withColumn("median", F.round("median", 6))
 
 
 _FOLDS_SIM = (
@@ -224,9 +241,10 @@ def _top(rows, keys):
 )
 def met15_fold_similarity(spark, d):
     """Per fold: median of its rows' mean similarity to their five nearest rows of all other folds; the most distinct fold is the holdout."""
-    per_fold = _top(_across_folds(spark, d), []).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.median("m").alias("m"))
-    place = F.row_number().over(Window.orderBy("m", "fold"))  # one row a fold
-    return per_fold.select("fold", "n", F.round("m", 6).alias("median_top5"), place.alias("distinctness"), (place == 1).alias("is_holdout"))
+    rows = cut(_top(_across_folds(spark, d), []))
+    per_fold = with_quantiles(rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), ["fold"], rows, "m", {"mid": 0.5})
+    place = F.row_number().over(Window.orderBy("mid", "fold"))  # one row a fold
+    return per_fold.select("fold", "n", F.round("mid", 6).alias("median_top5"), place.alias("distinctness"), (place == 1).alias("is_holdout"))
 
 
 @query(
@@ -235,4 +253,6 @@ def met15_fold_similarity(spark, d):
 )
 def met15_fold_pairs(spark, d):
     """The same for each pair of folds."""
-    return _top(_across_folds(spark, d), ["other"]).groupBy("fold", "other").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("m"), 6).alias("median_top5"))
+    rows = cut(_top(_across_folds(spark, d), ["other"]))
+    sums = rows.groupBy("fold", "other").agg(F.count(F.lit(1)).alias("n"))
+    return with_quantiles(sums, ["fold", "other"], rows, "m", {"median_top5": 0.5}).withColumn("median_top5", F.round("median_top5", 6))
