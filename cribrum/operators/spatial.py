@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,20 +13,75 @@ from .lineage import cut
 _XYZ = ("x", "y", "z")
 
 
-def radius_join(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+#: Rows of one side of a cell up to which it is one key; a fuller cell is cut in eight, at most so many times, then dealt out.
+CELL_ROWS, DEPTH = 4096, 6
+
+
+def _reaches(point: list[Column], cell: list[Column], width: float, cutoff: float) -> Column:
+    """Whether a ball of radius ``cutoff`` around the point meets the cell; a little wider, for rounding."""
+    gaps = [F.greatest(c * width - p, p - (c + 1) * width, F.lit(0.0)) for p, c in zip(point, cell)]
+    return sum((g * g for g in gaps), F.lit(0.0)) <= cutoff * cutoff * (1 + 1e-9)
+
+
+def radius_join(left: DataFrame, right: DataFrame, cutoff: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs of points (columns x, y, z) at most ``cutoff`` apart, with their distance; other columns get l_ and r_.
 
-    Points fall into cells of the cutoff's width; each left point looks into its
-    own cell and the 26 around it.
+    The grid adapts: right points fall into cells of the cutoff's width, and cells of
+    more than ``cell_rows`` of them into cells of half that width, and so on.  Each left
+    point looks into the cells of the first width around it, and goes on into the
+    smaller ones of those that are cut, as far as its ball meets them; so it meets
+    right points in cells of any width.  What is still crowded on either side then,
+    such as points at one place, is dealt out: every part of the one side meets every
+    part of the other, so that no key has more than about ``cell_rows`` rows of a side.
+    Points with a null coordinate pair with nothing.
     """
-    cell = lambda c: F.floor(F.col(c) / cutoff)
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], *[cell(c).alias(f"_{c}") for c in _XYZ])
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    at = [f"_{c}" for c in _XYZ]
+    given_l, given_r = [f"l_{c}" for c in left.columns], [f"r_{c}" for c in right.columns]
+
+    def placed(points: DataFrame, names: list[str], side: str) -> DataFrame:
+        known = points.toDF(*names)
+        for c in _XYZ:
+            known = known.where(F.col(f"{side}_{c}").isNotNull() & ~F.isnan(f"{side}_{c}"))
+        return cut(known.withColumns({f"_{c}": F.floor(F.col(f"{side}_{c}") / cutoff) for c in _XYZ}).withColumn("_lot", F.monotonically_increasing_id()))
+
+    a, b = placed(left, given_l, "l"), placed(right, given_r, "r")
     for c in _XYZ:
-        a = a.withColumn("_o", F.explode(around)).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_o")).drop("_o")
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *[cell(c).alias(f"_{c}") for c in _XYZ])
+        a = a.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + i for i in (-1, 0, 1)])))
+    pairs, width = [], cutoff
+    for depth in range(DEPTH + 1):
+        count = b.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+        crowded = cut(count.where(F.col("_n") > cell_rows))
+        deeper = depth < DEPTH and not crowded.isEmpty()
+        fits_a, fits_b = (a.join(crowded, at, "left_anti"), b.join(crowded, at, "left_anti")) if deeper else (a, b)
+        pairs.append(_meet(fits_a, fits_b, at, cell_rows))
+        if not deeper:
+            break
+        width /= 2
+        b = cut(b.join(crowded.select(*at), at, "left_semi").withColumns({f"_{c}": F.floor(F.col(f"r_{c}") / width) for c in _XYZ}))
+        a = a.join(crowded.select(*at), at, "left_semi")
+        for c in _XYZ:
+            a = a.withColumn(f"_{c}", F.explode(F.array(*[2 * F.col(f"_{c}") + i for i in (0, 1)])))
+        a = cut(a.where(_reaches([F.col(f"l_{c}") for c in _XYZ], [F.col(c) for c in at], width, cutoff)))
     apart = distance([F.col(f"l_{c}") for c in _XYZ], [F.col(f"r_{c}") for c in _XYZ])
-    return a.join(b, [f"_{c}" for c in _XYZ]).withColumn("distance", apart).where(F.col("distance") <= cutoff).drop(*[f"_{c}" for c in _XYZ])
+    out = reduce(DataFrame.unionByName, [p.select(*given_l, *given_r) for p in pairs])
+    return out.withColumn("distance", apart).where(F.col("distance") <= cutoff)
+
+
+def _meet(a: DataFrame, b: DataFrame, at: list[str], most: int) -> DataFrame:
+    """Rows of one cell; cells of more than ``most`` rows on a side in parts, each of which meets all parts of the other side."""
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+
+    load = cut(parts(a, "_pa").join(parts(b, "_pb"), at))
+    many = load.where("_pa > 1 or _pb > 1")
+    if many.isEmpty():
+        return a.drop("_lot").join(b.drop("_lot"), at)
+    plain = a.drop("_lot").join(load.where("_pa = 1 and _pb = 1").select(*at), at, "left_semi").join(b.drop("_lot"), at)
+    lot = F.pmod(F.xxhash64("_lot"), F.col("_own")).cast("int")
+    da = a.join(many.withColumnRenamed("_pa", "_own"), at).withColumn("_i", lot).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1))).drop("_own", "_pb", "_lot")
+    db = b.join(many.withColumnRenamed("_pb", "_own"), at).withColumn("_j", lot).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_pa") - 1))).drop("_own", "_pa", "_lot")
+    return plain.unionByName(da.join(db, [*at, "_i", "_j"]).drop("_i", "_j"))
 
 
 def nearest_contacts(pairs: DataFrame, group: str, member: str) -> DataFrame:
@@ -46,23 +103,49 @@ def bounding_boxes(points: DataFrame, group: str, padding: float) -> DataFrame:
     return boxes.select(group, *[F.col(f"{c}_centre") for c in _XYZ], *[(F.col(f"{c}_max") - F.col(f"{c}_min") + padding).alias(f"{c}_size") for c in _XYZ])
 
 
-def largest_components(members: DataFrame, group: str, part: str, element: str, shared: int) -> DataFrame:
-    """Per group: size of its largest component of parts that share ``shared`` elements or more; 0 where nothing is joined.
+def _spread_labels(ends: DataFrame) -> DataFrame:
+    """Rows g, p, c of rows g, p, e: the least part of the component of each part, where parts of one g with a common e are joined.
 
-    Labels spread along edges until none changes; the loop runs as often as the
-    longest chain halves, and each turn starts from a checkpoint.
+    Labels go from parts to elements and back until none changes, and each turn also
+    takes the label of the label's part; so an element of many parts costs a row for
+    each, and no pair.  Each turn starts from a table.
     """
-    rows = members.select(F.col(group).alias("g"), F.col(part).alias("p"), F.col(element).alias("e")).distinct()
-    a, b = rows.toDF("g", "a", "e"), rows.toDF("g", "b", "e")
-    edges = cut(a.join(b, ["g", "e"]).where("a <> b").groupBy("g", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("g", "a", "b"))
-    label = edges.select("g", F.col("a").alias("p")).distinct().withColumn("c", F.col("p"))
+    label = ends.groupBy("g", "p").agg(F.min("p").alias("c"))
     while True:
-        near = edges.join(label.withColumnRenamed("p", "b"), ["g", "b"]).groupBy("g", F.col("a").alias("p")).agg(F.min("c").alias("m"))
-        via = label.join(near, ["g", "p"]).select("g", "p", F.col("c").alias("old"), F.least("c", "m").alias("v"))
+        of_element = ends.join(label, ["g", "p"]).groupBy("g", "e").agg(F.min("c").alias("m"))
+        of_part = ends.join(of_element, ["g", "e"]).groupBy("g", "p").agg(F.min("m").alias("v"))
+        via = label.join(of_part, ["g", "p"]).select("g", "p", F.col("c").alias("old"), F.least("c", "v").alias("v"))
         far = label.select("g", F.col("p").alias("v"), F.col("c").alias("f"))
         step = cut(via.join(far, ["g", "v"]).select("g", "p", "old", F.least("v", "f").alias("c")))
         label = step.select("g", "p", "c")
         if step.where("old <> c").isEmpty():
-            break
-    largest = label.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max("n").alias("n"))
-    return members.select(F.col(group).alias("g")).distinct().join(largest, "g", "left").select(F.col("g").alias(group), F.coalesce("n", F.lit(0)).alias("largest"))
+            return label
+
+
+def _sharing(rows: DataFrame, shared: int) -> DataFrame:
+    """Rows g, p, e: an own e for each pair of parts of one g with ``shared`` common elements or more.
+
+    Such parts have a common element besides the ``shared`` - 1 most frequent ones of
+    each, so pairs come from the rest only, and their elements are then counted.
+    """
+    spread = rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy("g", "p").orderBy(F.desc("f"), "e"))
+    rest = cut(rows.join(spread, ["g", "e"]).withColumn("k", place).where((F.col("k") >= shared) & (F.col("f") > 1)).select("g", "p", "e"))
+    near = rest.toDF("g", "a", "e").join(rest.toDF("g", "b", "e"), ["g", "e"]).where("a < b").select("g", "a", "b").distinct()
+    own = rows.groupBy("g", "p").agg(F.collect_set("e").alias("s"))
+    both = near.join(own.toDF("g", "a", "sa"), ["g", "a"]).join(own.toDF("g", "b", "sb"), ["g", "b"]).where(F.size(F.array_intersect("sa", "sb")) >= shared)
+    return both.select("g", F.explode(F.array("a", "b")).alias("p"), F.struct("a", "b").alias("e"))
+
+
+def largest_components(members: DataFrame, group: str, part: str, element: str, shared: int) -> DataFrame:
+    """Per group: size of its largest component of parts that share ``shared`` elements or more; 0 where nothing is joined.
+
+    For one shared element labels spread over parts and elements; for more, over the
+    pairs that have them.  Rows with a null group, part or element join nothing.
+    """
+    rows = cut(members.select(F.col(group).alias("g"), F.col(part).alias("p"), F.col(element).alias("e")).where("g is not null and p is not null and e is not null").distinct())
+    ends = rows if shared == 1 else cut(_sharing(rows, shared))
+    sizes = _spread_labels(ends).groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.where("n > 1").groupBy("g").agg(F.max("n").alias("n"))
+    groups = members.select(F.col(group).alias("g")).distinct()
+    return groups.join(largest, "g", "left").select(F.col("g").alias(group), F.coalesce("n", F.lit(0)).alias("largest"))

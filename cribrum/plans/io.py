@@ -155,7 +155,7 @@ def snk3_roll_up(spark, d):
     log = W.roll_up(spark, source, target, every)
     last = log.agg(F.max("rollup").alias("last"))
     written = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("written"))
-    checked = log.crossJoin(last).agg(F.sum("rows").alias("rows"), F.bool_and((F.col("rows") > 0) & ((F.col("rollup") == F.col("last")) | (F.col("rows") * 2 >= every))).alias("full"))
+    checked = log.crossJoin(last).agg(F.sum("rows").alias("rows"), F.bool_and((F.col("rows") > 0) & ((F.col("rollup") == F.col("last")) | (F.col("rows") >= every))).alias("full"))
     return checked.crossJoin(written).select("rows", "full", (F.col("rows") == F.col("written")).alias("equal"))  # one row each
 
 

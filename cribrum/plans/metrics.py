@@ -104,6 +104,16 @@ def met11_kendall(spark, d):
     return _round(M.kendall_by_group(rows, "user_id", "event_id", "value", "m"), "tau_b")
 
 
+@query(
+    "with t as (select o_totalprice as a, o_custkey % 50 as b, count(*) as c from orders group by all), p as (select sum(sign(x.a - y.a) * sign(x.b - y.b) * x.c * y.c) as s, sum((x.a <> y.a)::int * x.c * y.c) as na, sum((x.b <> y.b)::int * x.c * y.c) as nb from t x join t y on x.a < y.a or x.a = y.a and x.b < y.b) "
+    "select round(s / (sqrt(na) * sqrt(nb)), 8) as tau_b, (select count(*) from orders) as n from p"
+)
+def met11_kendall_table(spark, d):
+    """Of a whole table, by counting inversions."""
+    orders = table(spark, d, "orders").select("o_totalprice", (F.col("o_custkey") % 50).alias("b"))
+    return _round(M.kendall(orders, "o_totalprice", "b"), "tau_b", digits=8)
+
+
 def _wilcoxon_sql(a, b):
     return (
         f"select '{a}' as model_a, '{b}' as model_b, count(*) as n, round(least(coalesce(sum(r) filter (d > 0), 0), coalesce(sum(r) filter (d < 0), 0)), 4) as w "

@@ -29,6 +29,14 @@ def jon12_radius_join(spark, d):
     return near.select(F.col("l_grp").alias("grp"), F.col("r_vec_id").alias("member"), F.round("distance", 6).alias("distance"))
 
 
+@query(f"with {_PTS} select a.vec_id, count(*) as n, round(max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))), 6) as farthest from p a join p b on (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.15 * 0.15 group by 1")
+def jon12_crowded_cells(spark, d):
+    """All points against all, in cells that hold hundreds: cells of more than 32 points are cut, and dealt out where that doesn't help."""
+    p = points(spark, d).select("vec_id", "x", "y", "z")
+    near = X.radius_join(p, p, 0.15, cell_rows=32)
+    return near.groupBy(F.col("l_vec_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("distance"), 6).alias("farthest"))
+
+
 @query(
     f"with {_PAIR}, t as (select l, r, dist, 'polar' as type from w where dist <= 0.06 and lg % 2 = 0 and rg % 2 = 0 union all select l, r, dist, 'charged' from w where dist <= 0.05 and (lg + rg) % 3 = 0 union all select l, r, dist, 'stacked' from w where dist <= 0.07 and lg = rg "
     "union all select l, r, dist, 'apolar' from (select *, row_number() over (partition by r order by dist) as rn from w where dist <= 0.08 and lg % 2 = 1) where rn = 1) select l, r, type, round(dist, 6) as distance from t"
@@ -64,6 +72,18 @@ def agg27_largest_component(spark, d):
     return X.largest_components(lines, "o_custkey", "l_orderkey", "l_suppkey", 1)
 
 
+@query(
+    "with recursive m as (select distinct o_custkey as g, l_orderkey as p, l_suppkey % 40 as e from lineitem join orders on o_orderkey = l_orderkey), ed as (select a.g, a.p as a, b.p as b from m a join m b on a.g = b.g and a.e = b.e and a.p <> b.p group by all having count(*) >= 2), "
+    "reach(g, a, b) as (select g, a, b from ed union select r.g, r.a, ed.b from reach r join ed on ed.g = r.g and ed.a = r.b), comp as (select g, a, least(a, min(b)) as c from reach group by g, a) "
+    "select o_custkey, coalesce(max(n), 0) as largest from (select distinct g as o_custkey from m) left join (select g as o_custkey, c, count(*) as n from comp group by all) using (o_custkey) group by 1"
+)
+def agg27_sharing_two(spark, d):
+    """Orders of a customer that share two groups of suppliers."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 40).alias("e")).join(orders, "l_orderkey")
+    return X.largest_components(lines, "o_custkey", "l_orderkey", "e", 2)
+
+
 @query("select l_orderkey, pos, part, n_r, best_line from (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag, l_extendedprice) - 1 as pos, l_partkey as part, count(*) filter (l_returnflag = 'R') over (partition by l_orderkey) as n_r, first_value(l_linenumber) over (partition by l_orderkey order by l_extendedprice, l_linenumber) as best_line from lineitem)")
 def agg34_nested_rows(spark, d):
     """Nested arrays to rows with their positions, counts by type and the best row of each."""

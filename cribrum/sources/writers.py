@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut
-
 
 def write_any(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header for .csv, tab-separated for .tsv, else Parquet."""
@@ -28,31 +22,47 @@ def convert(spark: SparkSession, source: str, target: str, schema: str, codec: s
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(target)
     out = spark.read.parquet(target)
     files = out.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
-    groups = spark.read.format("binaryFile").load(f"{target}/*.parquet").select("content").mapInArrow(_row_groups, "groups long")
     one = files.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-    return one.crossJoin(groups.agg(F.sum("groups").alias("row_groups")))  # one row each
+    return one.crossJoin(row_groups(out).agg(F.sum("groups").alias("row_groups")))  # one row each
 
 
-def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of row groups of each Parquet file; one file at a time is held."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            groups = pq.ParquetFile(pa.BufferReader(batch.column(0)[row].as_buffer())).num_row_groups
-            yield pa.RecordBatch.from_arrays([pa.array([groups], pa.int64())], names=["groups"])
+def row_groups(table: DataFrame) -> DataFrame:
+    """The number of row groups of each Parquet file of a table, from the footers alone, which the driver's reader of file systems gives.
+
+    One footer is read at a time; the driver lists the files anyway.
+    """
+    spark = table.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for file in table.inputFiles():
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            found.append((file, reader.getFooter().getBlocks().size()))
+        finally:
+            reader.close()
+    return spark.createDataFrame(found, "file string, groups long")
 
 
 def roll_up(spark: SparkSession, source: str, target: str, every: int) -> DataFrame:
-    """Shards in the order of their names into rollups of about ``every`` rows under ``target``; per rollup: shards and rows.
+    """Shards in the order of their names into rollups under ``target``; per rollup: shards and rows.
 
-    A rollup is full with the shard that reaches the number.
+    A rollup ends with the shard that brings it to ``every`` rows, so all but the last
+    have so many at least.  ``streaming.parts`` does the same while shards arrive.
     """
     shards = spark.read.option("mergeSchema", True).parquet(source)
-    sizes = shards.groupBy(F.col("_metadata.file_path").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
-    placed = cut(sizes.withColumn("rollup", F.floor(before / every).cast("int")))
-    rows = shards.withColumn("shard", F.col("_metadata.file_path")).join(F.broadcast(placed.select("shard", "rollup")), "shard").drop("shard")
+    # One row a file, which the driver lists anyway.
+    sizes = sorted(shards.groupBy(F.col("_metadata.file_path").alias("shard")).agg(F.count(F.lit(1)).alias("n")).collect())
+    placed, rollup, have = [], 0, 0
+    for shard, n in sizes:
+        placed.append((shard, rollup, n))
+        have += n
+        if have >= every:
+            rollup, have = rollup + 1, 0
+    log = spark.createDataFrame(placed, "shard string, rollup int, n long")
+    rows = shards.withColumn("shard", F.col("_metadata.file_path")).join(F.broadcast(log.select("shard", "rollup")), "shard").drop("shard")
     rows.repartition("rollup").write.mode("errorifexists").partitionBy("rollup").parquet(target)
-    return placed.groupBy("rollup").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"))
+    return log.groupBy("rollup").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"))
 
 
 def compact(spark: SparkSession, source: str, target: str, files: int) -> DataFrame:
