@@ -69,6 +69,27 @@ def src6_header_search(spark, d):
     return R.resolve_headers(R.read_below_header(spark, path, ["compound id", "sample"]), ["compound id", "sample"], "kd value", ["error"])
 
 
+@query(
+    "select 'orders' as sheet, o_custkey::varchar as id, o_totalprice as value from orders union all select 'customer', c_custkey::varchar, c_acctbal from customer union all select 'supplier', s_suppkey::varchar, s_acctbal from supplier "
+    "union all select 'supplier', 'exported', null"
+)
+def src6_sheets(spark, d):
+    """Three files in one read, each with other headers at another line; a line of the data that says the same as one above the header stays."""
+    folder = scratch(spark, "sheets")
+
+    def sheet(name, above, head, *cells):
+        lines = table(spark, d, name).select(F.concat_ws(";", *[c.cast("string") for c in cells]).alias("value"))
+        tops = spark.createDataFrame([(x,) for x in [*above, head]], "value string").coalesce(1)
+        more = spark.createDataFrame([("exported;",)] if name == "supplier" else [], "value string")
+        tops.unionByName(lines).unionByName(more).coalesce(1).write.text(f"{folder}/{name}")
+
+    sheet("orders", [], "KD value (M);Compound ID;KD value error", F.col("o_totalprice"), F.col("o_custkey"), F.lit("x"))
+    sheet("customer", ["exported by someone", ";"], '"Sample" ; "kd  value"', F.col("c_custkey"), F.col("c_acctbal"))
+    sheet("supplier", ["exported;"], "sample;note;KD Value", F.col("s_suppkey"), F.lit(""), F.col("s_acctbal"))
+    out = R.read_sheets(spark, folder, ["compound id", "sample"], "kd value", ["error"], sep=";")
+    return out.select(F.regexp_extract("file", "/(\\w+)/[^/]*$", 1).alias("sheet"), "id", "value")
+
+
 @query("select o_custkey::varchar as id, o_totalprice as value from orders where o_orderkey % 2 = 0 union all select c_custkey::varchar, c_acctbal from customer")
 def src6_resolve_headers(spark, d):
     a = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("Compound ID"), F.col("o_totalprice").cast("string").alias("KD value (M)"), F.lit("x").alias("KD value error"))

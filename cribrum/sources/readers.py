@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import cut, few
 from ..operators.ranking import row_numbers
 
+#: Files up to which their headers are broadcast to the lines.
+BROADCAST_FILES = 10_000
+
 
 class DataError(ValueError):
     """A table is missing, empty or lacks a column."""
@@ -85,20 +92,95 @@ def batch_log(batches: DataFrame, value: str, exclude: list[str]) -> DataFrame:
     return log.withColumn("status", status)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``place``, the number of a line in its file, in the first block of a file; null in later ones.
+
+    Lines of a block come in order, and those of one file's first block in one task.
+    """
+    now, at = None, 0
+    for batch in batches:
+        files, starts = batch.column("file").to_pylist(), batch.column("start").to_numpy()
+        place: list[int | None] = []
+        for file, start in zip(files, starts):
+            if start:
+                place.append(None)
+                continue
+            now, at = (file, 0) if file != now else (now, at + 1)
+            place.append(at)
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(place, pa.int64()), batch.column("value")], names=["file", "place", "value"])
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows file, place, value: the lines of all files below a path."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value").mapInArrow(_numbered, "file string, place long, value string")
+
+
+def _cells(line: Column, sep: str) -> Column:
+    return F.transform(F.split(line, re.escape(sep), -1), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+
+
+def header_lines(spark: SparkSession, path: str, id_names: list[str], sep: str = ",", lines: int = 5) -> DataFrame:
+    """Rows file, at, names: of each file below a path its header, the first of its first ``lines`` lines that has a known id column, and that line's place.
+
+    A file that has lines but no such header is an error.
+    """
+    low = F.transform(_cells(F.col("value"), sep), lambda c: F.lower(c))
+    first = _lines(spark, path).where(F.col("place") < lines).withColumn("is_header", F.arrays_overlap(low, F.array(*map(F.lit, id_names))))
+    head = F.min(F.when(F.col("is_header"), F.struct("place", "value")))
+    heads = cut(first.groupBy("file").agg(head.alias("h")).select("file", F.col("h.place").alias("at"), _cells(F.col("h.value"), sep).alias("names")))
+    lost = heads.where("at is null").first()
+    if lost:
+        raise DataError(f"no header in the first {lines} lines of {lost.file}")
+    return heads
+
+
+def _below(spark: SparkSession, path: str, heads: DataFrame, sep: str) -> DataFrame:
+    """The cells of all lines below their file's header that aren't blank, with the columns of ``heads``.
+
+    What is above a header goes by its place, not by what it says.
+    """
+    width = heads.agg(F.max(F.size("names"))).first()[0] or 1
+    known = F.broadcast(heads) if few(heads, BROADCAST_FILES) else heads
+    rows = _lines(spark, path).join(known, "file").where((F.col("place").isNull() | (F.col("place") > F.col("at"))) & (F.trim("value") != ""))
+    parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"sep": sep})
+    return rows.withColumn("_r", parsed).select(*heads.columns, F.array(*[F.trim(f"_r.c{i}") for i in range(width)]).alias("cells"))
+
+
 def read_below_header(spark: SparkSession, path: str, id_names: list[str], sep: str = ",", lines: int = 5) -> DataFrame:
-    """A delimited file whose header is one of its first lines: the first that has a known id column; all columns are strings.
+    """Delimited files of one header, which is one of their first lines; all columns are strings.  What is above the header goes."""
+    heads = header_lines(spark, path, id_names, sep, lines)
+    kinds = heads.select("names").distinct().limit(2).collect()
+    if len(kinds) != 1:
+        raise DataError(f"{len(kinds)} headers or more in {path}; read_sheets takes several")
+    return _below(spark, path, heads, sep).select(*[F.get("cells", i).alias(n) for i, n in enumerate(kinds[0].names)])
+
+
+def read_sheets(spark: SparkSession, path: str, id_names: list[str], value_part: str, exclude: list[str], sep: str = ",", lines: int = 5) -> DataFrame:
+    """Rows file, id, value of all delimited files below a path, each with a header of its own somewhere in its first lines.
 
-    What stands above the header goes, as do lines equal to these or to the header.
+    The headers are a table by file, which tells the columns of a file's rows: id is the
+    first non-blank of the columns named in ``id_names``, in that order; value the first
+    number of the columns whose name has ``value_part`` and none of ``exclude``.  A file
+    without such columns is an error; every line below a header that isn't blank is a row.
     """
-    text = spark.read.text(path)
-    first = [r.value for r in text.limit(lines).collect()]
-    at = next((i for i, line in enumerate(first) if {c.strip().lower() for c in line.split(sep)} & set(id_names)), None)
-    if at is None:
-        raise DataError(f"no header in the first {lines} lines of {path}")
-    names = [c.strip() for c in first[at].split(sep)]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = text.where(~F.col("value").isin(first[: at + 1])).select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r"))
-    return rows.select("r.*").toDF(*names)
+    heads = header_lines(spark, path, id_names, sep, lines)
+    low = F.transform("names", lambda c: F.lower(F.regexp_replace(c, r"\s+", " ")))
+    places = F.sequence(F.lit(0), F.size("names") - 1)
+
+    def named(n: str) -> Column:
+        return F.filter(places, lambda i: F.get("low", i) == n)
+
+    ids = F.flatten(F.array(*map(named, id_names)))
+    fits = lambda name: F.contains(name, F.lit(value_part)) & ~reduce(Column.__or__, [F.contains(name, F.lit(x)) for x in exclude], F.lit(False))
+    mapped = cut(heads.withColumn("low", low).select("file", "at", "names", ids.alias("ids"), F.filter(places, lambda i: fits(F.get("low", i))).alias("values")))
+    lost = mapped.where(F.size("values") == 0).first()
+    if lost:
+        raise DataError(f"no value column in {lost.file}")
+    rows = _below(spark, path, mapped, sep)
+    given = F.filter(F.transform("ids", lambda i: F.get("cells", i)), lambda c: c != "")
+    numbers = F.filter(F.transform("values", lambda i: F.get("cells", i).try_cast("double")), lambda x: x.isNotNull())
+    return rows.select("file", F.get(given, 0).alias("id"), F.get(numbers, 0).alias("value"))
 
 
 def resolve_headers(df: DataFrame, id_names: list[str], value_part: str, exclude: list[str]) -> DataFrame:
