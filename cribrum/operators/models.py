@@ -12,14 +12,20 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, few
 from .metrics import auroc, average_precision
 from .ranking import best_per_key, rank_norms
 from .similarity import nearest_rows
 
+#: Groups up to which their centres are broadcast.
+BROADCAST_GROUPS = 10_000
+#: Boosted trees of a model, wherever there are no others asked for.
+TREES = 20
+
 
 def feature_blocks(df: DataFrame, blocks: list[tuple[str, list[str]]], width: int | None = None) -> tuple[DataFrame, list[tuple[str, int, int]]]:
     """Adds ``features`` (array), the blocks' columns one after another, and gives each block's (name, start, end).
@@ -67,21 +73,62 @@ def attach_folds(df: DataFrame, folds: DataFrame, key: str, fold: str = "fold")
     return out
 
 
-def cluster_representatives(df: DataFrame, group: str, key: str, array: str, score: str, k: int, seed: int) -> DataFrame:
-    """Per group: its rows in ``k`` clusters, and of each the row of the highest score (the least key among equals); all rows of groups of up to ``k``.
+def _nearest_centre(rows: DataFrame, centres: DataFrame, few_groups: bool) -> DataFrame:
+    """Adds ``cluster``, the nearest centre of the row's group (the lowest among equals); centres: _g, centres (array of cluster, centre)."""
+    known = F.broadcast(centres) if few_groups else centres
+
+    def squares(c: Column) -> Column:
+        return F.aggregate(F.zip_with("_x", c["centre"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+
+    nearest = F.array_min(F.transform("centres", lambda c: F.struct(squares(c).alias("d"), c["cluster"].alias("cluster"))))
+    return rows.join(known, F.col("_group").eqNullSafe(F.col("_g"))).withColumn("cluster", nearest["cluster"]).drop("_g", "centres")
+
+
+def group_clusters(df: DataFrame, group: str, key: str, array: str, k: int, rounds: int, start: Column) -> DataFrame:
+    """group, key, cluster: k-means of each group by itself, of all groups at once.
 
-    Columns group, cluster, key.  Clusters are fitted group by group: the driver loops over the (few) groups.
+    A group starts from its first ``k`` rows by ``start``, then key; each round assigns
+    all rows to the nearest centre of their group, the lowest among equals, and moves
+    each centre to the mean of its rows; centres without rows stay.  It ends after
+    ``rounds`` rounds or where no centre moves: so there are as many jobs as
+    rounds, however many groups.  In groups of up to ``k`` rows each row is a cluster
+    of its own.  Null is a group like any other; rows without a vector have no cluster.
     """
-    rows = cut(vectors(df.select(group, key, array, score), array).drop(array))
-    parts = []
-    for name, n in sorted((r[0], r[1]) for r in rows.groupBy(group).count().collect()):
-        own = rows.where(F.col(group) == name)
-        if n <= k:
-            placed = own.withColumn("cluster", F.row_number().over(Window.orderBy(key)) - 1)  # at most k rows
-        else:
-            placed = KMeans(k=k, seed=seed, featuresCol="vector", predictionCol="cluster").fit(own).transform(own)
-        parts.append(best_per_key(placed, [group, "cluster"], [F.desc(score), F.asc(key)]).select(group, "cluster", key))
-    return reduce(DataFrame.unionByName, parts) if parts else rows.select(group, F.lit(0).alias("cluster"), key)
+    rows = cut(df.where(F.col(array).isNotNull()).select(F.col(group).alias("_group"), F.col(key).alias("_key"), F.col(array).cast("array<double>").alias("_x"), start.alias("_start")))
+    numbered = rows.withColumn("cluster", F.row_number().over(Window.partitionBy("_group").orderBy("_start", "_key")) - 1).where(F.col("cluster") < k)
+    first = cut(numbered.select("_group", "_key", "_x", "cluster"))
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    small = F.broadcast(sizes.where(F.col("_n") <= k)) if few(sizes, BROADCAST_GROUPS) else sizes.where(F.col("_n") <= k)
+    same = rows["_group"].eqNullSafe(F.col("_g"))
+    large = cut(rows.join(small.select(F.col("_group").alias("_g")), same, "left_anti"))
+    lone = first.join(small.select(F.col("_group").alias("_g")), first["_group"].eqNullSafe(F.col("_g")), "left_semi")
+    few_groups = few(sizes, BROADCAST_GROUPS)
+
+    def by_group(centres: DataFrame) -> DataFrame:
+        return cut(centres.groupBy(F.col("_group").alias("_g")).agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("centres")))
+
+    centres = by_group(first.select("_group", "cluster", F.col("_x").alias("centre")))
+    for _ in range(rounds):
+        placed = _nearest_centre(large, centres, few_groups)
+        moved = placed.groupBy("_group", "cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("mean")).toDF("_h", "_c", "mean")
+        old = centres.select(F.col("_g").alias("_group"), F.inline("centres"))
+        new = old.join(moved, F.col("_group").eqNullSafe(F.col("_h")) & (F.col("cluster") == F.col("_c")), "left")
+        new = cut(new.select("_group", "cluster", F.coalesce("mean", "centre").alias("centre"), (F.col("mean").isNotNull() & (F.col("mean") != F.col("centre"))).alias("moved")))
+        centres = by_group(new)
+        if new.where("moved").isEmpty():
+            break
+    out = _nearest_centre(large, centres, few_groups).select("_group", "_key", "cluster").unionByName(lone.select("_group", "_key", "cluster"))
+    return out.select(F.col("_group").alias(group), F.col("_key").alias(key), F.col("cluster").cast("int").alias("cluster"))
+
+
+def cluster_representatives(df: DataFrame, group: str, key: str, array: str, score: str, k: int, rounds: int = 10, start: Column | None = None) -> DataFrame:
+    """Per group: its rows in ``k`` clusters (``group_clusters``), and of each the row of the highest score (the least key among equals); all rows of groups of up to ``k``.
+
+    Columns group, cluster, key.  Without ``start`` the order of the first rows is that of a hash of the key.
+    """
+    placed = group_clusters(df, group, key, array, k, rounds, F.xxhash64(F.col(key)) if start is None else start)
+    scored = placed.join(df.select(F.col(key).alias("_key"), F.col(score).alias("_score")), F.col(key) == F.col("_key"))
+    return best_per_key(scored, [group, "cluster"], [F.desc("_score"), F.asc(key)]).select(group, "cluster", key)
 
 
 def sphere_clusters(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -151,24 +198,26 @@ def _score(model: Model, df: DataFrame, regression: bool, name: str) -> DataFram
     return model.transform(df).withColumn(name, p).drop("prediction", "rawPrediction", "probability")
 
 
-def cross_validate(df: DataFrame, key: str, label: str, fold: str, folds: list[int], trees: int = 5, seed: int = 7, rotate: bool = False, regression: bool = False) -> tuple[DataFrame, list[Model]]:
+def cross_validate(df: DataFrame, key: str, label: str, fold: str, folds: list[int], trees: int = TREES, seed: int = 7, rotate: bool = False, regression: bool = False) -> tuple[DataFrame, list[Model]]:
     """Out-of-fold scores (key, label, fold, oof), one for every row of the folds, and the fold models.
 
     Model i never sees fold i.  With ``rotate`` the next fold decides when to
     stop adding trees.
     """
-    rows = df if regression else class_weights(df, label)
-    parts, models = [], []
-    for i, k in enumerate(folds):
-        train = rows.where(F.col(fold).isin([f for f in folds if f != k]))
+    # The trainer goes over its rows again and again.
+    rows = cut(df if regression else class_weights(df, label))
+
+    def fit(i: int) -> Model:
+        train = rows.where(F.col(fold).isin([f for j, f in enumerate(folds) if j != i]))
         if rotate:
             train = train.withColumn("is_val", F.col(fold) == folds[(i + 1) % len(folds)])
-        models.append(_trees(regression, label, trees, seed, rotate).fit(train))
-        parts.append(_score(models[-1], rows.where(F.col(fold) == k), regression, "oof").select(key, label, fold, "oof"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out, models
+        return _trees(regression, label, trees, seed, rotate).fit(train)
+
+    # Folds are fitted at the same time: the many small jobs of one leave cores idle.
+    with ThreadPoolExecutor(len(folds)) as pool:
+        models = list(pool.map(fit, range(len(folds))))
+    parts = [_score(m, rows.where(F.col(fold) == k), regression, "oof").select(key, label, fold, "oof") for m, k in zip(models, folds)]
+    return reduce(DataFrame.unionByName, parts), models
 
 
 def ensemble_score(df: DataFrame, models: list[Model], regression: bool = False) -> DataFrame:
@@ -196,7 +245,7 @@ def grouped_importance(model: Model, slices: list[tuple[str, int, int]]) -> list
     return [(name, float(values[a:b].sum()), float(values[a:b].sum()) / total) for name, a, b in slices]
 
 
-def ablation(df: DataFrame, key: str, label: str, fold: str, folds: list[int], variants: dict[tuple[str, str], list[str]], trees: int = 2, parallel: int = 6) -> DataFrame:
+def ablation(df: DataFrame, key: str, label: str, fold: str, folds: list[int], variants: dict[tuple[str, str], list[str]], trees: int = TREES, parallel: int = 3) -> DataFrame:
     """Rows (features, block, n, auroc, ap): the same folds and models for each variant's columns (arrays or numbers).
 
     ``parallel`` variants are fitted at a time: the jobs of one leave cores idle.

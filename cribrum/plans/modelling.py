@@ -61,11 +61,23 @@ def mdl4_balanced_folds(spark, d):
     return orders.join(F.broadcast(X.pack_folds(spark, orders, "o_orderpriority", 3)), "o_orderpriority").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_K, _ROUNDS = 6, 4
+_CLUSTERS = (
+    "e as materialized (select vec_id, label, embedding[1]::double as score, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings), "
+    f"c0 as materialized (select label, dense_rank() over (partition by label order by vec_id) - 1 as cluster, pos, x as c from e qualify cluster < {_K})"
+    + "".join(
+        f", d{r} as materialized (select vec_id, label, arg_min(cluster, d) as cluster from (select vec_id, e.label, cluster, sum((x - c) * (x - c)) as d from e join c{r} using (label, pos) group by all) group by all)"
+        + (f", c{r + 1} as materialized (select label, cluster, pos, coalesce(m, c) as c from c{r} left join (select e.label, cluster, pos, avg(x) as m from d{r} join e using (vec_id) group by all) using (label, cluster, pos))" if r < _ROUNDS else "")
+        for r in range(_ROUNDS + 1)
+    )
+)
+
+
+@query(f"with {_CLUSTERS} select label, cluster::int as cluster, arg_min(vec_id, -score * 1e6 + vec_id / 1e9) as vec_id from d{_ROUNDS} join (select vec_id, any_value(score) as score from e group by vec_id) using (vec_id) group by all")
 def mdl5_cluster_representatives(spark, d):
     """Per label: six clusters and the row of the highest score (first coordinate) of each."""
     e = table(spark, d, "embeddings").withColumn("score", F.get("embedding", 0).cast("double"))
-    return X.cluster_representatives(e, "label", "vec_id", "embedding", "score", 6, 11)
+    return X.cluster_representatives(e, "label", "vec_id", "embedding", "score", _K, _ROUNDS, F.col("vec_id"))
 
 
 @query("select label, least(count(*), 6) as n from embeddings group by label")
@@ -154,7 +166,7 @@ def mdl13_grouped_importance(spark, d):
     """Shares of feature blocks in the models of all folds, averaged; they add up to 1."""
     df = rows(spark, d).withColumns({"a": F.slice("embedding", 1, 16), "b": F.slice("embedding", 17, 48)})
     df, slices = X.feature_blocks(df, [("first", ["a"]), ("rest", ["b"])], 64)
-    _, models = X.cross_validate(X.vectors(df.drop("vector")), "vec_id", "y", "fold", FOLDS, trees=3)
+    _, models = X.cross_validate(X.vectors(df.drop("vector")), "vec_id", "y", "fold", FOLDS)
     shares = [row for m in models for row in X.grouped_importance(m, slices)]
     means = spark.createDataFrame(shares, "block string, importance double, share double").groupBy("block").agg(F.avg("share").alias("share"))
     total = means.agg(F.round(F.sum("share"), 6).alias("total"))
@@ -192,7 +204,7 @@ def mdl14_knn_probe(spark, d):
 def mdl15_score_new_rows(spark, d):
     """Rows without features stay, with null scores; the mean and deviation of the others are those of four members."""
     df = rows(spark, d)
-    _, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS, trees=3)
+    _, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS)
     new = df.withColumn("vector", F.when(F.col("vec_id") % 7 != 0, F.col("vector")))
     out = X.ensemble_score(new, models)
     inside = (F.col("mean") >= F.array_min("members") - 1e-9) & (F.col("mean") <= F.array_max("members") + 1e-9) & (F.col("std") >= 0)
@@ -237,7 +249,7 @@ def mdl16_pairwise_preference(spark, d):
     pairs = cut(pairs)
     train = X.vectors(K.balanced(pairs, "y", "k", 3))
     # A row is scored by the models that have not seen it as the first of a pair.
-    _, models = X.cross_validate(train, "k", "y", "fold", FOLDS, trees=3)
+    _, models = X.cross_validate(train, "k", "y", "fold", FOLDS)
     scored = X.ensemble_score(X.vectors(pairs), models).withColumn("p", F.get("members", "fold"))
     per_row = scored.groupBy("a").agg(F.avg("p").alias("score"), F.first("la").alias("label"))
     return M.correlations(per_row, "score", "label")
@@ -254,23 +266,26 @@ def mdl17_parameter_search(spark, d):
 
     lr = LogisticRegression(featuresCol="vector", labelCol="y", maxIter=10)
     rng = random.Random(5)
-    grid = ParamGridBuilder().addGrid(lr.regParam, sorted(10 ** rng.uniform(-4, 0) for _ in range(3))).build()
-    search = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR"), numFolds=2, foldCol="half")
-    fitted = search.fit(rows(spark, d).withColumn("half", (F.col("fold") % 2).cast("int")))
-    return spark.createDataFrame([(p[lr.regParam], float(m)) for p, m in zip(grid, fitted.avgMetrics)], "reg double, pr_auc double")
+    grid = ParamGridBuilder().addGrid(lr.regParam, sorted(10 ** rng.uniform(-4, 0) for _ in range(4))).addGrid(lr.elasticNetParam, [0.0, rng.uniform(0.1, 1.0)]).build()
+    # Without bins the area is that of all different scores.
+    exact = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR", numBins=0)
+    search = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=exact, numFolds=len(FOLDS), foldCol="fold", parallelism=4)
+    fitted = search.fit(cut(rows(spark, d)))
+    best = fitted.avgMetrics.index(max(fitted.avgMetrics))
+    return spark.createDataFrame([(p[lr.regParam], p[lr.elasticNetParam], float(m), i == best) for i, (p, m) in enumerate(zip(grid, fitted.avgMetrics))], "reg double, mix double, pr_auc double, best boolean")
 
 
 def _funnel(spark, d):
     """Score, keep the better half, route to the nearest of three references, cluster, select, write by group, read back."""
     df = rows(spark, d)
-    _, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS, trees=3)
+    _, models = X.cross_validate(df, "vec_id", "y", "fold", FOLDS)
     scored = cut(X.ensemble_score(df, models).select("vec_id", "embedding", "mean"))
     best = K.top_or_threshold(scored, "mean", "vec_id", n=max(6, scored.count() // 2))
     refs = {r.vec_id: list(r.embedding) for r in df.where("vec_id in (1, 2, 3)").select("vec_id", "embedding").collect()}  # three rows
     dots = [F.struct(F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, v)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("sim"), F.lit(-i).alias("i")) for i, v in sorted(refs.items())]
     routed = best.withColumn("grp", F.when(F.greatest(*dots)["sim"] > 0, F.concat(F.lit("g"), (-F.greatest(*dots)["i"]).cast("string"))).otherwise("DEFAULT"))
     routed, path = cut(routed), scratch(spark, "picks")
-    picks = X.cluster_representatives(routed, "grp", "vec_id", "embedding", "mean", 3, 11)
+    picks = X.cluster_representatives(routed, "grp", "vec_id", "embedding", "mean", 3)
     write_groups(picks.join(routed.select("vec_id", "mean"), "vec_id"), "grp", path)
     return routed, spark.read.parquet(path)
 
