@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from .replicates import nearest_quantile
 
 #: Rows up to which one side of a join is broadcast; texts and patterns among them are a few hundred bytes each.
 BROADCAST_ROWS = 100_000
+#: Bytes of patterns that go to the tasks at a time; an automaton takes some hundred times that.
+PATTERN_BYTES = 2 << 20
 
 
 def literals(patterns: list[str], least: int = 4) -> list[str]:
@@ -26,6 +33,51 @@ def any_literal(text: Column, patterns: list[str], least: int = 4) -> Column:
     return F.coalesce(text.rlike("|".join(parts)), F.lit(False)) if parts else F.lit(False)
 
 
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(name: str, patterns: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a block of patterns; a worker keeps the last."""
+    if name not in _automata:
+        _automata.clear()
+        machine = ahocorasick.Automaton()
+        for i, p in enumerate(patterns):
+            machine.add_word(p, i)
+        machine.make_automaton()
+        _automata[name] = machine
+    return _automata[name]
+
+
+def literal_hits(df: DataFrame, text: str, patterns: DataFrame, name: str, least: int = 4, block: int = PATTERN_BYTES) -> DataFrame:
+    """Adds ``name``, the number of different patterns of ``least`` characters at least that the text contains; null contains none.
+
+    For sets of many thousands: the patterns (the first column of ``patterns``) are
+    taken in blocks of about ``block`` bytes, by a hash; each block goes to the tasks
+    as an automaton, which reads a text once for all of its patterns.  Texts are read
+    once a block, so memory is bounded however many patterns there are.
+    """
+    known = cut(patterns.select(F.col(patterns.columns[0]).alias("p")).where(F.length("p") >= least).distinct())
+    blocks = -(-(known.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // block)
+    out = df.withColumn(name, F.lit(0).cast("long"))
+    fields = out.schema
+    for i in range(blocks):
+        own = sorted(r.p for r in known.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == i).collect())
+        digest = hashlib.md5("\0".join(own).encode()).hexdigest()
+
+        def count(batches: Iterator[pa.RecordBatch], own=own, digest=digest) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(digest, own)
+            for batch in batches:
+                if not own:
+                    yield batch
+                    continue
+                hits = [len({k for _, k in machine.iter(t)}) if t else 0 for t in batch.column(text).to_pylist()]
+                sums = pc.add(batch.column(name), pa.array(hits, pa.int64()))
+                yield batch.set_column(batch.schema.get_field_index(name), name, sums)
+
+        out = out.mapInArrow(count, fields)
+    return out
+
+
 def property_filter(df: DataFrame, ranges: dict[str, tuple[float | None, float | None]], sums: list[tuple[list[str], float]] = ()) -> DataFrame:
     """Rows whose columns are all within [low, high] and whose sums of columns are at most their cutoffs."""
     return df.where(within(ranges, sums))

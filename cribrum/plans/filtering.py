@@ -19,6 +19,18 @@ def flt1_literal_prefilter(spark, d):
     return table(spark, d, "documents").where(X.any_literal(F.col("text"), _WORDS)).select("doc_id")
 
 
+@query(
+    "with p as (select distinct unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D,.;:!?]+')) as p from documents) "
+    "select conv_id, turn, coalesce((select count(*) from p where length(p) >= 10 and contains(text, p)), 0) as n_hits from conversations"
+)
+def flt1_many_literals(spark, d):
+    """Every word of ten letters or more of the documents as a pattern: 16,000 at sf0.01, in several blocks."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^\\x20\\x09-\\x0D,.;:!?]+"), F.lit(0))).alias("p")
+    patterns = table(spark, d, "documents").select(words)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return X.literal_hits(turns, "text", patterns, "n_hits", least=10, block=64 << 10).select("conv_id", "turn", "n_hits")
+
+
 _RANGES, _SUMS = {"l_quantity": (5, 40), "l_discount": (None, 0.08), "l_extendedprice": (1000, None)}, [(["l_tax", "l_discount"], 0.1)]
 _OK = ["l_quantity >= 5 and l_quantity <= 40", "l_discount <= 0.08", "l_extendedprice >= 1000", "l_tax + l_discount <= 0.1"]
 
@@ -88,8 +100,8 @@ def flt7_containment_gate(spark, d):
 
 
 @query(
-    f"with {_REFS}, h as (select doc_id, ref_id, contains(' ' || {_CLEAN.format('text')} || ' ', ' ' || pattern || ' ') as hit from documents, refs) "
-    "select doc_id, ref_id, coalesce(hit, false) as hit from h where doc_id in (select doc_id from h where hit)"
+    f"with {_REFS}, t as materialized (select doc_id, ' ' || {_CLEAN.format('text')} || ' ' as t from documents), h as materialized (select doc_id, ref_id from t, refs where contains(t, ' ' || pattern || ' ')) "
+    "select d.doc_id, ref_id, h.ref_id is not null as hit from (select distinct doc_id from h) d cross join refs left join h using (doc_id, ref_id)"
 )
 def flt7_reference_flags(spark, d):
     return X.reference_flags(table(spark, d, "documents"), "doc_id", "text", references(spark, d))
