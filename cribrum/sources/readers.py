@@ -116,6 +116,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value").mapInArrow(_numbered, "file string, place long, value string")
 
 
+def _plain(name: Column) -> Column:
+    """A column's name as synonyms have it: lower case, single spaces."""
+    return F.lower(F.regexp_replace(name, r"\s+", " "))
+
+
 def _cells(line: Column, sep: str) -> Column:
     return F.transform(F.split(line, re.escape(sep), -1), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
 
@@ -125,7 +130,7 @@ def header_lines(spark: SparkSession, path: str, id_names: list[str], sep: str =
 
     A file that has lines but no such header is an error.
     """
-    low = F.transform(_cells(F.col("value"), sep), lambda c: F.lower(c))
+    low = F.transform(_cells(F.col("value"), sep), _plain)
     first = _lines(spark, path).where(F.col("place") < lines).withColumn("is_header", F.arrays_overlap(low, F.array(*map(F.lit, id_names))))
     head = F.min(F.when(F.col("is_header"), F.struct("place", "value")))
     heads = cut(first.groupBy("file").agg(head.alias("h")).select("file", F.col("h.place").alias("at"), _cells(F.col("h.value"), sep).alias("names")))
@@ -165,7 +170,7 @@ def read_sheets(spark: SparkSession, path: str, id_names: list[str], value_part:
     without such columns is an error; every line below a header that isn't blank is a row.
     """
     heads = header_lines(spark, path, id_names, sep, lines)
-    low = F.transform("names", lambda c: F.lower(F.regexp_replace(c, r"\s+", " ")))
+    low = F.transform("names", _plain)
     places = F.sequence(F.lit(0), F.size("names") - 1)
 
     def named(n: str) -> Column:
