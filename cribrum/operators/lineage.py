@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Everything written below the shared folder inside is deleted at the end, when the results have been written or read.
+
+    DataFrames made inside can't be read afterwards.  Outside of such a scope the tables
+    stay, as results are computed when they are asked for.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -56,12 +56,13 @@ def vectors(df: DataFrame, array: str = "features", name: str = "vector") -> Dat
 def space_folds(df: DataFrame, key: str, array: str, k: int, seed: int) -> DataFrame:
     """key, fold, pc_1, pc_2: k-means clusters of a two-dimensional projection; an empty fold is an error."""
     rows = vectors(df.select(key, array), array)
-    flat = PCA(k=2, inputCol="vector", outputCol="plane").fit(rows).transform(rows)
-    out = KMeans(k=k, seed=seed, featuresCol="plane", predictionCol="fold").fit(flat).transform(flat)
-    if out.select("fold").distinct().count() < k:
-        raise ValueError("a fold is empty")
+    # Clusters are sought over the plane again and again, and folds are counted: it is computed once.
+    flat = cut(PCA(k=2, inputCol="vector", outputCol="plane").fit(rows).transform(rows).select(key, "plane"))
     plane = vector_to_array("plane")
-    return out.select(key, "fold", plane[0].alias("pc_1"), plane[1].alias("pc_2"))
+    fitted = KMeans(k=k, seed=seed, featuresCol="plane", predictionCol="fold").fit(flat)
+    if min(fitted.summary.clusterSizes) == 0:
+        raise ValueError("a fold is empty")
+    return fitted.transform(flat).select(key, "fold", plane[0].alias("pc_1"), plane[1].alias("pc_2"))
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, key: str, fold: str = "fold") -> DataFrame:

@@ -56,7 +56,7 @@ def _similar_sets(sets: DataFrame, tenths: int) -> DataFrame:
     rarest n - ceil(t n) + 1 and differ in size by the factor t at most.  Only
     pairs so found are compared in full, in whole numbers.
     """
-    rows = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("e"))
+    rows = cut(sets.select("k", F.size("s").alias("n"), F.explode("s").alias("e")))
     frequency = rows.groupBy("e").agg(F.count(F.lit(1)).alias("f"))
     place = F.row_number().over(Window.partitionBy("k").orderBy("f", "e"))
     # Elements of one set only come first and pair with nothing.

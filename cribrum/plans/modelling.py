@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M, models as X, ranking as K
-from ..operators.lineage import cut, scratch
+from ..operators.lineage import cut, few, scratch
 from ..sources.writers import write_groups
 from .registry import query, table
 from .similarity import similar_pairs
@@ -55,10 +55,15 @@ def mdl3_sphere_clusters(spark, d):
     return X.sphere_clusters(similar_pairs(spark, d, 6), table(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query(
+    "with recursive s as (select o_orderpriority, count(*) as n, row_number() over (order by count(*) desc, o_orderpriority) as i from orders group by 1), "
+    "g(i, load) as (select 0::bigint, [0::bigint, 0, 0] union all select g.i + 1, list_transform(load, lambda x, j: case when j = list_position(load, list_min(load)) then x + s.n else x end) from g join s on s.i = g.i + 1) "
+    "select fold::int as fold, load[fold + 1] as n from (select load from g order by i desc limit 1), (select unnest([0, 1, 2]) as fold)"
+)
 def mdl4_balanced_folds(spark, d):
     orders = table(spark, d, "orders")
-    return orders.join(F.broadcast(X.pack_folds(spark, orders, "o_orderpriority", 3)), "o_orderpriority").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    folds = X.pack_folds(spark, orders, "o_orderpriority", 3)
+    return orders.join(F.broadcast(folds) if few(folds, X.BROADCAST_GROUPS) else folds, "o_orderpriority").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 _K, _ROUNDS = 6, 4

@@ -394,3 +394,68 @@ def test_all_pairs_of_packed_fingerprints(spark):
     got = {(r.i, r.j): r.sim for r in similarity.all_pairs(df, "k", "w").collect()}
     want = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for (i, a), (j, b) in itertools.combinations(enumerate(bits), 2)}
     assert got == pytest.approx(want)
+
+
+def test_space_folds_by_brute_force(spark):
+    """The plane is that of the singular vectors, up to signs; each row is in the fold of the nearest centre; no fold is empty."""
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.normal(c, 0.3, (30, 5)) for c in ([0] * 5, [4, 0, 0, 0, 0], [0, 6, 0, 0, 0])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    got = sorted(models.space_folds(df, "k", "v", 3, 11).collect())
+    plane, fold = np.array([r[2:] for r in got]), np.array([r[1] for r in got])
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(plane), np.abs(x @ axes[:2].T), atol=1e-6)
+    centres = np.array([plane[fold == f].mean(0) for f in range(3)])
+    assert (((plane[:, None] - centres[None]) ** 2).sum(2).argmin(1) == fold).all() and sorted(np.bincount(fold)) == [30, 30, 30]
+    with pytest.raises(Exception):
+        models.space_folds(df.limit(2), "k", "v", 3, 11).collect()
+
+
+def two_classes(spark, n=160):
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 4, int(y), [float(3 * y + rng.normal()), float(rng.normal())], float(rng.normal())) for i, y in enumerate(rng.integers(0, 2, n))]
+    return rows, spark.createDataFrame(rows, "k long, fold int, y int, a array<double>, b double")
+
+
+def test_ablation_scores_are_those_of_its_variants(spark):
+    """The area of each variant is that of its own out-of-fold scores, by brute force; what a block adds is the difference."""
+    rows, df = two_classes(spark)
+    out = {(r.features, r.block): r for r in models.ablation(df, "k", "y", "fold", [0, 1, 2, 3], {("a", "none"): ["a"], ("a", "b"): ["a", "b"], ("b", "none"): ["b"]}, trees=3).collect()}
+    for columns, name in ((["a"], ("a", "none")), (["a", "b"], ("a", "b"))):
+        flat, _ = models.feature_blocks(df, [("all", columns)])
+        oof, fitted = models.cross_validate(models.vectors(flat), "k", "y", "fold", [0, 1, 2, 3], trees=3)
+        scores = {r.k: (r.y, r.oof) for r in oof.collect()}
+        positive, negative = ([s for y, s in scores.values() if y == c] for c in (1, 0))
+        area = np.mean([1.0 if p > q else 0.5 if p == q else 0.0 for p in positive for q in negative])
+        assert len(scores) == len(rows) == out[name].n and len(fitted) == 4 and out[name].auroc == pytest.approx(area, abs=1e-9)
+    assert out["a", "none"].auroc > 0.6 > out["b", "none"].auroc
+
+
+def test_out_of_fold_scores_come_from_models_that_have_not_seen_the_row(spark):
+    """Exchanging the labels within a fold changes no score of that fold, and does change others."""
+    rows, df = two_classes(spark)
+    own = [r[2] for r in rows if r[1] == 2]
+    turned = iter(own[::-1])
+    other = spark.createDataFrame([(k, f, next(turned) if f == 2 else y, a, b) for k, f, y, a, b in rows], df.schema)
+
+    def scores(table):
+        flat, _ = models.feature_blocks(table, [("all", ["a"])])
+        oof, _ = models.cross_validate(models.vectors(flat), "k", "y", "fold", [0, 1, 2, 3], trees=2)
+        return {r.k: r.oof for r in oof.collect()}
+
+    before, after = scores(df), scores(other)
+    changed = {rows[k][1] for k in before if before[k] != pytest.approx(after[k], abs=1e-12)}
+    assert own != own[::-1] and changed and 2 not in changed
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from cribrum.operators.lineage import cut, dropping, scratch, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    kept = cut(spark.range(3))
+    before = set(os.listdir(folder))
+    with dropping(spark):
+        assert cut(spark.range(5)).count() == 5
+        path = scratch(spark, "never-written")
+        assert len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before and kept.count() == 3 and not os.path.exists(path)
