@@ -15,27 +15,30 @@ from cribrum.llm.tables import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the rows of ``docs`` that have labels."""
+    """Documents that the classifier accepts; it learns from the rows of ``docs`` that have labels.
+
+    Null and empty texts get a score like any other; without any labels all stay.  Rows that repeat go or stay alike.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies; rows alike in doc_id and text count once, and rows without doc_id stay."""
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that repeat across or within documents."""
+    """Texts without the byte strings that repeat across or within documents; all rows stay, null texts become empty."""
     return drop_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; all rows of a doc_id go together, and rows without doc_id, null and empty texts stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document."""
+    """Bucket, batch and slot of every document, those without words included."""
     return pack(docs)
 
 
@@ -52,6 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each over the table that the one before was written to: what ``packing`` returns.
+
+    Nulls in any column, empty and very long texts, and rows that repeat are treated
+    as the stages say; columns stay up to the last stage, whatever their names; an
+    empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
