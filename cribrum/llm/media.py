@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .repeats import text_bytes
-from .tables import documents
+from .tables import documents, stage
 
 #: Blocks in a row of an image: the payload's unit.
 ACROSS = 192
@@ -297,5 +297,5 @@ def media_features(table: DataFrame) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``media_features`` of ``with_media`` of documents; edge cases as there."""
-    return media_features(with_media(documents(spark, sf_dir)))
+    """``media_features`` of the table that ``with_media`` of documents is written to; edge cases as there."""
+    return media_features(stage(with_media(documents(spark, sf_dir)), "media"))
