@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import scratch
+from ..operators.lineage import few, scratch
+
+__all__ = ["documents", "few", "hidden", "in_order", "new_path", "stage", "text_key"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -45,11 +47,6 @@ def in_order(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return ordered.withColumn(name, F.monotonically_increasing_id())
 
 
-def few(df: DataFrame, most: int) -> bool:
-    """Whether the table has at most that many rows, and so may be broadcast."""
-    return df.limit(most + 1).count() <= most
-
-
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text (null: empty)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import re
 import time
 import zlib
 
@@ -690,3 +691,67 @@ def test_stages_keep_columns_of_any_name(spark, rows, empty):
     assert near_dup.keep_one(none).count() == 0 and suffix_array_dedup.drop_repeats(none).count() == 0
     assert decontaminate.drop_contaminated(none, bench).count() == 0 and near_dup.near_classes(empty).count() == 0
     assert media.media_features(media.with_media(empty)).count() == 0 and packing.pack(docs).count() == len(some)
+
+
+def found_by_brute_force(text, items):
+    """Whether an item is in the text, by every alignment, as ``decontaminate.overlaps`` says."""
+    tokens = re.findall(r"[^\W_]+", (text or "").lower())
+    for item in items:
+        own = re.findall(r"[^\W_]+", (item or "").lower())
+        n, at = len(own), collections.defaultdict(set)
+        for i, t in enumerate(tokens):
+            for j, u in enumerate(own):
+                if t == u:
+                    at[i - j].add(j)
+        for shift, places in at.items():
+            near = set().union(*(p for s, p in at.items() if abs(s - shift) <= decontaminate.NEAR))
+            if n >= 8 and (len(near) >= max(8, n / 2) or any(len([y for y in places if x <= y < x + 13]) >= 11 for x in places)):
+                return True
+            if 0 < n < 8 and len(places) == n and (n >= 5 or len(tokens) == n):
+                return True
+    return False
+
+
+def test_pipeline_by_brute_force(spark, rows, tmp_path):
+    """The whole chain over nulls, repeats, hostile texts and columns of any name, stage after stage as loops have it."""
+    rng = np.random.default_rng(14)
+    item = text(rng, 30)
+    some = [r for r in rows if r[1] is None or len(r[1]) < 5000] + [(300, f"{text(rng, 20)} {item} {text(rng, 20)}"), (301, f"{text(rng, 60)}"), (302, item)]
+    extra = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("a.b", "_key", "n_chars", "score", "back`quote"))])
+    docs = spark.createDataFrame([(i, t, 0, 1, 2, 3, 4) for i, t in some], extra)
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(1, 20)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (1, "w1 w2 w3")], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    good = [(r.doc_id, r.text) for r in quality.keep_good(docs, labels).select("doc_id", "text").collect()]
+    # Near duplicates: of each class one of least doc_id stays, and every row without doc_id or words.
+    sets = {t: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset() for _, t in good}
+    pairs = sorted({(i, t) for i, t in good if i is not None}, key=str)
+    parent = list(range(len(pairs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(pairs)), 2):
+        x, y = sets[pairs[a][1]], sets[pairs[b][1]]
+        if x and y and len(x & y) >= 0.8 * len(x | y):
+            parent[find(b)] = find(a)
+    classes = collections.defaultdict(list)
+    for x, p in enumerate(pairs):
+        classes[find(x)].append(p)
+    unique = [min(c, key=lambda p: (p[0], hashlib.md5((p[1] or "").encode()).digest())) for c in classes.values()] + [p for p in good if p[0] is None]
+    raws = [(t or "").encode() for _, t in unique]
+    short = [(i, np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")) for (i, _), raw, gone in zip(unique, raws, covered(raws, 200))]
+    gone = {i for i, t in short if i is not None and found_by_brute_force(t, [item, "w1 w2 w3"])}
+    left = [(i, len(t.split())) for i, t in short if i not in gone]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(((r.doc_id, r.n_tokens) for r in out.collect()), key=str) == sorted(left, key=str)
+    assert {300, 302} & {i for i, _ in short} == {300, 302} & gone and len(left) > 25
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string"), ("labels", "doc_id long, quality int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
