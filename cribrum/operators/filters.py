@@ -18,6 +18,8 @@ from .replicates import nearest_quantile
 
 #: Rows up to which one side of a join is broadcast; texts and patterns among them are a few hundred bytes each.
 BROADCAST_ROWS = 100_000
+#: Heads of references up to which they are part of the expression that looks for them.
+LITERAL_HEADS = 1000
 #: Bytes of patterns that go to the tasks at a time; an automaton takes some hundred times that.
 PATTERN_BYTES = 2 << 20
 
@@ -140,9 +142,12 @@ def contained_references(df: DataFrame, key: str, text: str, references: DataFra
     def runs(words: Column) -> Column:
         return F.array_distinct(F.concat(*[of_size(words, n) for n in sizes])) if sizes else F.array().cast("array<long>")
 
-    heads = refs.select("ref_id", "_t")
+    heads, hashes = refs.select("ref_id", "_t"), let(F.split("_text", " "), runs)
+    if few(heads, LITERAL_HEADS):
+        # Most texts hold none of a few heads: they are looked for before anything is dealt out.
+        hashes = F.array_intersect(hashes, F.array(*[F.lit(r[0]) for r in heads.select("_t").distinct().collect()]).cast("array<long>"))
     heads = F.broadcast(heads) if few(heads, BROADCAST_ROWS) else heads
-    near = texts.select(key, F.explode(let(F.split("_text", " "), runs)).alias("_t")).join(heads, "_t").select(key, "ref_id").distinct()
+    near = texts.select(key, F.explode(hashes).alias("_t")).join(heads, "_t").select(key, "ref_id").distinct()
     near = cut(near).join(refs.select("ref_id", "site", "pattern"), "ref_id")
     # Texts stay where they are if few of them are asked for.
     near = F.broadcast(near) if few(near, BROADCAST_ROWS) else near

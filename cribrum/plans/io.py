@@ -123,6 +123,15 @@ def src9_fixed_width(spark, d):
     return R.read_fixed_width(spark, path, {"key": (7, 5, "bigint"), "name": (13, 20, "string")}, ["ATOM", "HETATM"], "name", ["WATER"])
 
 
+@query("select s_suppkey as key, s_name as name, s_nationkey as nation from supplier where s_nationkey not in (3, 7)")
+def src9_excluded_names(spark, d):
+    """Lines whose field is on the list of excluded names go."""
+    path = scratch(spark, "fixed")
+    line = F.concat(F.lit("HETATM"), F.lpad(F.col("s_suppkey").cast("string"), 8, " "), F.rpad("s_name", 20, " "), F.lpad(F.col("s_nationkey").cast("string"), 4, " "))
+    table(spark, d, "supplier").select(line.alias("value")).write.text(path)
+    return R.read_fixed_width(spark, path, {"key": (7, 8, "bigint"), "name": (15, 20, "string"), "nation": (35, 4, "int")}, ["ATOM", "HETATM"], "nation", [3, 7])
+
+
 @query("select conv_id, turn, role, length(text) as n from conversations")
 def src10_flatten(spark, d):
     path = scratch(spark, "nested")

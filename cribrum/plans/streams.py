@@ -85,6 +85,14 @@ def _in_turn(spark, d) -> str:
     return path
 
 
+@query(f"select (event_id % {_FILES})::int as batch, count(*) as raw, count(*) filter (event_type <> 'error' and value between 10 and 100) as out, true as timed, true as fits from events group by 1")
+def str2_batch_rates(spark, d):
+    """Counters of each micro-batch, with the seconds it took and the rows a second."""
+    progress = S.run_to_sink(S.arriving(spark, _in_turn(spark, d), _SCHEMA, 1), _steps(), scratch(spark, "survivors"), scratch(spark, "cp"))
+    rows = [(p["batch"], p["raw"], p["out"], p["seconds"] > 0, abs(p["rate"] * p["seconds"] - p["raw"]) < 1e-6 * p["raw"]) for p in progress]
+    return spark.createDataFrame(rows, "batch int, raw long, out long, timed boolean, fits boolean")
+
+
 _BATCHES = (
     f"b as (select (event_id % {_FILES})::int as i, count(*) as raw, count(*) filter (event_type <> 'error' and value between 10 and 100) as rows from events group by 1), "
     "t as (select count(*) // 4 as every from events), "
