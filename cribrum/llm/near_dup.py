@@ -145,13 +145,13 @@ def prefix_pairs(placed: DataFrame, threshold: float) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """Columns node, comp: the least node of each node's component, for nodes with edges (a, b)."""
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "comp")
+    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", narrow=True)
+    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "comp", narrow=True)
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("via"))
         jump = label.select(F.col("node").alias("via"), F.col("comp").alias("far"))
-        new = stage(step.join(jump, "via").select("node", "old", F.least("via", "far").alias("comp")), "comp")
+        new = stage(step.join(jump, "via").select("node", "old", F.least("via", "far").alias("comp")), "comp", narrow=True)
         label = new.select("node", "comp")
         if new.where("old <> comp").isEmpty():
             return label
@@ -176,7 +176,7 @@ def _placed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
 
     def verified(pairs: DataFrame) -> DataFrame:
         # Ends (b) with many partners are dealt out in parts, each with a copy of b's text.
-        load = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")), "load")
+        load = stage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")), "load", narrow=True)
         spread = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
         of_b = texts.join(load, F.col("node") == F.col("b")).select("b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         one = spread.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -188,8 +188,9 @@ def _placed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     star = stage(
         crowded.join(leaders, "bucket").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")),
         "star",
+        narrow=True,
     )
-    best = stage(star.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")), "best")
+    best = stage(star.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b")), "best", narrow=True)
     links = verified(best)
     tried = best.select("a", "b")
     for turn in range(4):
@@ -225,7 +226,7 @@ def _placed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
             .select("a", "b")
         )
-        fresh = stage(fresh, "fresh")
+        fresh = stage(fresh, "fresh", narrow=True)
         if fresh.isEmpty():
             continue
         links = links.union(verified(fresh))

@@ -18,10 +18,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return scratch(spark, f"cribrum-{name}")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    With ``narrow`` in two parts a core at most: for tables of links and labels, which
+    are small beside the corpus, so that they don't become a file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
