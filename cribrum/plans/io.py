@@ -32,7 +32,6 @@ def src3_detect_columns(spark, d):
 
 @query("select name, n_rows, valid_rate from (select unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) as name), (select count(*) as n_rows, round(avg((s_acctbal >= 1000)::int), 6) as valid_rate from supplier)")
 def src4_profile(spark, d):
-    """The sample of 1,000 rows is the whole table at the scales compared."""
     return R.profile(table(spark, d, "supplier"), F.col("s_acctbal") >= 1000).select("name", "n_rows", F.round("valid_rate", 6).alias("valid_rate"))
 
 
