@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,56 @@ def radius_join(left: DataFrame, right: DataFrame, cutoff: float, cell_rows: int
     return out.withColumn("distance", apart).where(F.col("distance") <= cutoff)
 
 
+def _boxes(points: DataFrame, key: str, width: float, rows: int) -> DataFrame:
+    """Points of a cell, ``rows`` at most, as matrices: ids, data (float64, row-major) and the bounds lo and hi; a null or NaN coordinate drops a point."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xyz = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _XYZ])
+            cells = np.floor(xyz / width)
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1), len(xyz)]
+            for start, end in zip(cuts, cuts[1:]):
+                for lo in range(start, end, rows):
+                    part = xyz[lo : min(lo + rows, end)]
+                    ids = batch.column("k").slice(lo, len(part)).to_pylist()
+                    yield pa.RecordBatch.from_pylist([{"ids": ids, "data": part.tobytes(), "lo": part.min(axis=0).tolist(), "hi": part.max(axis=0).tolist()}])
+
+    known = points.select(F.col(key).cast("long").alias("k"), *_XYZ)
+    for c in _XYZ:
+        known = known.where(F.col(c).isNotNull() & ~F.isnan(c))
+    at = [F.floor(F.col(c) / width) for c in _XYZ]
+    return cut(known.repartitionByRange(*at).sortWithinPartitions(*at).mapInArrow(pack, "ids array<long>, data binary, lo array<double>, hi array<double>"))
+
+
+def radius_summary(left: DataFrame, right: DataFrame, key: str, cutoff: float, rows: int = CELL_ROWS) -> DataFrame:
+    """Per left point with any: key, n (right points at most ``cutoff`` away) and farthest (distance of the last of these).
+
+    For what ``radius_join`` would give, but no pair is a row: points of a cell meet
+    those of cells in reach as matrices, of ``rows`` points at most on a side, a group
+    for each meeting; a left point has a row a meeting, and these are then added.
+    """
+
+    def meet(group: pa.Table) -> pa.Table:
+        found = []
+        for row in group.to_pylist():
+            ids = np.array(row["l_ids"])
+            a, b = (np.frombuffer(row[c]).reshape(-1, 3) for c in ("l_data", "r_data"))
+            for lo in range(0, len(a), 256):
+                gaps = [a[lo : lo + 256, None, i] - b[None, :, i] for i in range(3)]
+                squares = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+                near = squares <= cutoff * cutoff
+                n = near.sum(axis=1)
+                far = np.where(near, squares, -1.0).max(axis=1)
+                found.append(pa.table({"k": ids[lo : lo + 256][n > 0], "n": n[n > 0].astype(np.int64), "far": np.sqrt(far[n > 0])}))
+        return pa.concat_tables(found)
+
+    a, b = (_boxes(side, key, cutoff, rows).toDF(*[f"{s}_{c}" for c in ("ids", "data", "lo", "hi")]) for side, s in ((left, "l"), (right, "r")))
+    gaps = [F.greatest(F.get("l_lo", F.lit(i)) - F.get("r_hi", F.lit(i)), F.get("r_lo", F.lit(i)) - F.get("l_hi", F.lit(i)), F.lit(0.0)) for i in range(3)]
+    both = a.join(b, sum((g * g for g in gaps), F.lit(0.0)) <= cutoff * cutoff * (1 + 1e-9)).select("l_ids", "l_data", "r_data", F.get("r_ids", F.lit(0)).alias("_r"))
+    found = both.groupBy(F.get("l_ids", F.lit(0)).alias("_l"), "_r").applyInArrow(meet, "k long, n long, far double")
+    return found.groupBy(F.col("k").alias(key)).agg(F.sum("n").alias("n"), F.max("far").alias("farthest"))
+
+
 def _meet(a: DataFrame, b: DataFrame, at: list[str], most: int) -> DataFrame:
     """Rows of one cell; cells of more than ``most`` rows on a side in parts, each of which meets all parts of the other side."""
 
