@@ -22,6 +22,8 @@ BROADCAST_ROWS = 100_000
 LITERAL_HEADS = 1000
 #: Bytes of patterns that go to the tasks at a time; an automaton takes some hundred times that.
 PATTERN_BYTES = 2 << 20
+#: Blocks of patterns up to which a task has an automaton for each.
+MOST_BLOCKS = 8
 
 
 def literals(patterns: list[str], least: int = 4) -> list[str]:
@@ -50,16 +52,37 @@ def _automaton(name: str, patterns: list[str]) -> ahocorasick.Automaton:
     return _automata[name]
 
 
+def _seeded_hits(df: DataFrame, text: str, known: DataFrame, name: str, least: int) -> DataFrame:
+    """Adds ``name``, the number of the different patterns p in ``known``, of ``least`` characters or more, that the text contains."""
+    rows = cut(df.withColumn("_id", F.monotonically_increasing_id()))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column("_id").to_pylist(), batch.column(text).to_pylist()):
+                runs = list({t[j : j + least] for j in range(len(t) - least + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(runs), pa.int64()), pa.array(runs, pa.string())], names=["_id", "run"])
+
+    runs = rows.select("_id", text).where(F.length(text) >= least).mapInArrow(starts, "_id long, run string").select("_id", F.xxhash64("run").alias("_s"))
+    patterns = known.select("p", F.xxhash64(F.substring("p", 1, least)).alias("_s"))
+    near = runs.join(F.broadcast(patterns) if few(patterns, BROADCAST_ROWS) else patterns, "_s").select("_id", "p")
+    hits = near.join(rows.select("_id", text), "_id").where(F.contains(F.col(text), F.col("p")))
+    return rows.join(hits.groupBy("_id").agg(F.count(F.lit(1)).alias(name)), "_id", "left").drop("_id").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def literal_hits(df: DataFrame, text: str, patterns: DataFrame, name: str, least: int = 4, block: int = PATTERN_BYTES) -> DataFrame:
     """Adds ``name``, the number of different patterns of ``least`` characters at least that the text contains; null contains none.
 
     For sets of many thousands: the patterns (the first column of ``patterns``) are
     taken in blocks of about ``block`` bytes, by a hash; each block goes to the tasks
-    as an automaton, which reads a text once for all of its patterns.  Texts are read
-    once a block, so memory is bounded however many patterns there are.
+    as an automaton, which reads a text once for all of its patterns.  Automata of more
+    than ``MOST_BLOCKS`` blocks would fill a task, so then nothing goes to the tasks:
+    the first ``least`` characters of patterns are looked up among all runs of as many
+    in the texts, and what is found so is compared in full.
     """
     known = cut(patterns.select(F.col(patterns.columns[0]).alias("p")).where(F.length("p") >= least).distinct())
     blocks = -(-(known.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // block)
+    if blocks > MOST_BLOCKS:
+        return _seeded_hits(df, text, known, name, least)
     out = df.withColumn(name, F.lit(0).cast("long"))
     fields = out.schema
     for i in range(blocks):
