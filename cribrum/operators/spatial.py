@@ -181,12 +181,12 @@ def _sharing(rows: DataFrame, shared: int) -> DataFrame:
     Such parts have a common element besides the ``shared`` - 1 most frequent ones of
     each, so pairs come from the rest only, and their elements are then counted.
     """
-    spread = rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"))
-    place = F.row_number().over(Window.partitionBy("g", "p").orderBy(F.desc("f"), "e"))
-    rest = cut(rows.join(spread, ["g", "e"]).withColumn("k", place).where((F.col("k") >= shared) & (F.col("f") > 1)).select("g", "p", "e"))
-    near = rest.toDF("g", "a", "e").join(rest.toDF("g", "b", "e"), ["g", "e"]).where("a < b").select("g", "a", "b").distinct()
-    own = rows.groupBy("g", "p").agg(F.collect_set("e").alias("s"))
-    both = near.join(own.toDF("g", "a", "sa"), ["g", "a"]).join(own.toDF("g", "b", "sb"), ["g", "b"]).where(F.size(F.array_intersect("sa", "sb")) >= shared)
+    part = Window.partitionBy("g", "p")
+    held = rows.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("g", "e"))).withColumn("k", F.row_number().over(part.orderBy(F.desc("f"), "e")))
+    # All elements of a part go along with it, so that a pair is compared where it is found.
+    rest = cut(held.withColumn("s", F.collect_list("e").over(part)).where((F.col("k") >= shared) & (F.col("f") > 1)).select("g", "p", "e", "s"))
+    near = rest.toDF("g", "a", "e", "sa").join(rest.toDF("g", "b", "e", "sb"), ["g", "e"]).where("a < b")
+    both = near.where(F.size(F.array_intersect("sa", "sb")) >= shared).select("g", "a", "b").distinct()
     return both.select("g", F.explode(F.array("a", "b")).alias("p"), F.struct("a", "b").alias("e"))
 
 
