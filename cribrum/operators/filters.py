@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import let
+from ..functions.scalars import known_runs, let
 from .lineage import cut, few, spread
 from .replicates import nearest_quantile
 
 #: Rows up to which one side of a join is broadcast; texts and patterns among them are a few hundred bytes each.
 BROADCAST_ROWS = 100_000
-#: Heads of references up to which they are part of the expression that looks for them.
-LITERAL_HEADS = 1000
+#: Different heads of references up to which they go to the tasks, which look for them in the texts.
+KNOWN_HEADS = 100_000
 #: Bytes of patterns that go to the tasks at a time; an automaton takes some hundred times that.
 PATTERN_BYTES = 2 << 20
 #: Blocks of patterns up to which a task has an automaton for each.
@@ -149,30 +149,35 @@ def contained_references(df: DataFrame, key: str, text: str, references: DataFra
     """Rows (key, ref_id, sites): references whose pattern occurs in the text as a run of whole words.
 
     ``references``: ref_id, site (labels joined by ``|``), pattern (words, lower
-    case).  Hashes of the first words of a pattern, up to three, are looked up
-    among those of the texts' runs of words; only texts that hold them are compared in full.
+    case).  The first words of a pattern, up to three, are looked up among the texts'
+    runs of words, in one pass over each text if there are few such heads, else by
+    hashes of all runs; only texts that hold them are compared in full.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     refs = references.select("ref_id", "site", clean(F.col("pattern")).alias("pattern")).where("pattern <> ''")
-    refs = cut(refs.withColumn("_w", F.slice(F.split("pattern", " "), 1, 3)).withColumn("_n", F.size("_w")).withColumn("_t", F.xxhash64("_w")).drop("_w"))
-    sizes = sorted(r[0] for r in refs.select("_n").distinct().collect())  # 1, 2 and 3 at most
-    texts = spread(df.select(key, F.col(text).alias("_text"))).select(key, clean(F.col("_text")).alias("_text"))
-
-    def of_size(words: Column, n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
-        return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<long>"))
-
-    def runs(words: Column) -> Column:
-        return F.array_distinct(F.concat(*[of_size(words, n) for n in sizes])) if sizes else F.array().cast("array<long>")
-
-    heads, hashes = refs.select("ref_id", "_t"), let(F.split("_text", " "), runs)
-    if few(heads, LITERAL_HEADS):
-        # Most texts hold none of a few heads: they are looked for before anything is dealt out.
-        hashes = F.array_intersect(hashes, F.array(*[F.lit(r[0]) for r in heads.select("_t").distinct().collect()]).cast("array<long>"))
+    refs = cut(refs.withColumn("_t", F.array_join(F.slice(F.split("pattern", " "), 1, 3), " ")))
+    texts = spread(df.select(key, F.col(text).alias("_text")))
+    starts = refs.select("_t").distinct()
+    if few(starts, KNOWN_HEADS):
+        found = texts.select(key, F.explode(known_runs(F.col("_text"), {r[0] for r in starts.collect()})).alias("_t"))
+    else:
+        starts = cut(starts.withColumn("_w", F.split("_t", " ")).select("_t", F.size("_w").alias("_n"), F.xxhash64("_w").alias("_h")))
+        sizes = sorted(r[0] for r in starts.select("_n").distinct().collect())  # 1, 2 and 3 at most
+
+        def of_size(words: Column, n: int) -> Column:
+            every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+            return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<long>"))
+
+        hashes = let(F.split(clean(F.col("_text")), " "), lambda words: F.array_distinct(F.concat(*[of_size(words, n) for n in sizes])))
+        found = texts.select(key, F.explode(hashes).alias("_h")).join(starts, "_h").select(key, "_t")
+    heads = refs.select("ref_id", "_t")
     heads = F.broadcast(heads) if few(heads, BROADCAST_ROWS) else heads
-    near = texts.select(key, F.explode(hashes).alias("_t")).join(heads, "_t").select(key, "ref_id").distinct()
-    near = cut(near).join(refs.select("ref_id", "site", "pattern"), "ref_id")
-    # Texts stay where they are if few of them are asked for.
+    near = cut(found.join(heads, "_t").select(key, "ref_id").distinct())
+    # Texts stay where they are if few of them are asked for, and only those are cleaned.
+    asked = near.select(key).distinct()
+    asked = F.broadcast(asked) if few(asked, BROADCAST_ROWS) else asked
+    texts = texts.join(asked, key, "left_semi").select(key, clean(F.col("_text")).alias("_text"))
+    near = near.join(refs.select("ref_id", "site", "pattern"), "ref_id")
     near = F.broadcast(near) if few(near, BROADCAST_ROWS) else near
     hits = texts.join(near, key).where(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("pattern"), F.lit(" "))))
     return hits.select(key, "ref_id", F.split("site", r"\|").alias("sites")).distinct()

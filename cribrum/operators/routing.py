@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import shingles
 from .filters import contained_references
 from .lineage import few, spread
-from .similarity import BROADCAST_ROWS, SMALL_SET, shared_counts
+from .similarity import BROADCAST_ROWS, SMALL_SET, shared_counts, shared_shingles
 
 
 def route_scores(df: DataFrame, key: str, text: str, references: DataFrame) -> DataFrame:
@@ -18,10 +18,9 @@ def route_scores(df: DataFrame, key: str, text: str, references: DataFrame) -> D
     reference adds 1.  Groups that are absent score 0.
     """
     df = spread(df.select(key, text))
-    sets = df.select(F.col(key).alias("l"), shingles(F.col(text), "word", 3).alias("items"))
-    refs = references.select(F.col("ref_id").alias("r"), shingles(F.col("pattern"), "word", 3).alias("items"))
+    refs = references.select(F.col("ref_id").alias("r"), F.col("pattern").alias("text"))
     groups = references.select("ref_id", F.explode(F.split("site", r"\|")).alias("grp"))
-    sims = shared_counts(sets, refs).select(F.col("l").alias(key), F.col("r").alias("ref_id"), "sim", F.lit(False).alias("contained"))
+    sims = shared_shingles(df.select(F.col(key).alias("l"), F.col(text).alias("text")), refs).select(F.col("l").alias(key), F.col("r").alias("ref_id"), "sim", F.lit(False).alias("contained"))
     held = contained_references(df, key, text, references).select(key, "ref_id", F.lit(0.0).alias("sim"), F.lit(True).alias("contained"))
     groups = F.broadcast(groups) if few(groups, BROADCAST_ROWS) else groups
     scored = sims.unionByName(held).join(groups, "ref_id").groupBy(key, "grp").agg(F.max("sim").alias("sim"), F.bool_or("contained").alias("contained"))
