@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import distance
-from .lineage import cut
+from .lineage import cut, few
 
 _XYZ = ("x", "y", "z")
 
@@ -156,23 +156,62 @@ def bounding_boxes(points: DataFrame, group: str, padding: float) -> DataFrame:
     return boxes.select(group, *[F.col(f"{c}_centre") for c in _XYZ], *[(F.col(f"{c}_max") - F.col(f"{c}_min") + padding).alias(f"{c}_size") for c in _XYZ])
 
 
+#: Rows of groups, parts and elements that a task takes, and parts of an element up to which they are in one lot.
+TASK_ROWS, LOT_ROWS = 500_000, 100_000
+#: Elements of many parts, and groups, up to which they are broadcast.
+BROADCAST_ELEMENTS, BROADCAST_GROUPS = 100_000, 500_000
+
+
+def _tasks(rows: DataFrame) -> int:
+    """How many parts to deal a written table into, so that a task's rows, and with them its memory, do not grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
+def _in_lots(ends: DataFrame) -> DataFrame:
+    """The ends (g, p, e), where an element of more than ``LOT_ROWS`` parts is one for each lot of about so many.
+
+    The least part of each lot also has an end at one further element, which all lots
+    of an element share, so the same parts are joined.
+    """
+    many = cut(ends.groupBy("g", "e").agg(F.ceil(F.count(F.lit(1)) / LOT_ROWS).alias("lots")).where("lots > 1"))
+    if many.isEmpty():
+        return ends
+    many = F.broadcast(many) if few(many, BROADCAST_ELEMENTS) else many
+    plain = ends.join(many, ["g", "e"], "left_anti").select("g", "p", F.struct("e", F.lit(0).alias("lot")).alias("e"))
+    dealt = cut(ends.join(many, ["g", "e"]).select("g", "p", "e", (F.pmod(F.xxhash64("p"), "lots") + 1).cast("int").alias("lot")))
+    links = dealt.groupBy("g", "e", "lot").agg(F.min("p").alias("p")).select("g", "p", F.struct("e", F.lit(0).alias("lot")).alias("e"))
+    return cut(plain.unionByName(dealt.select("g", "p", F.struct("e", "lot").alias("e"))).unionByName(links))
+
+
 def _spread_labels(ends: DataFrame) -> DataFrame:
     """Rows g, p, c of rows g, p, e: the least part of the component of each part, where parts of one g with a common e are joined.
 
     Labels go from parts to elements and back until none changes, and each turn also
     takes the label of the label's part; so an element of many parts costs a row for
-    each, and no pair.  Each turn starts from a table.
+    each, and no pair.  Each turn starts from a table and goes on with the groups that
+    it has changed.  Rows are dealt out by their number: so many more tasks, and none
+    of them larger.
     """
-    label = ends.groupBy("g", "p").agg(F.min("p").alias("c"))
+    ends = _in_lots(ends)
+    n, label, done = _tasks(ends), None, []
     while True:
-        of_element = ends.join(label, ["g", "p"]).groupBy("g", "e").agg(F.min("c").alias("m"))
-        of_part = ends.join(of_element, ["g", "e"]).groupBy("g", "p").agg(F.min("m").alias("v"))
-        via = label.join(of_part, ["g", "p"]).select("g", "p", F.col("c").alias("old"), F.least("c", "v").alias("v"))
-        far = label.select("g", F.col("p").alias("v"), F.col("c").alias("f"))
-        step = cut(via.join(far, ["g", "v"]).select("g", "p", "old", F.least("v", "f").alias("c")))
-        label = step.select("g", "p", "c")
-        if step.where("old <> c").isEmpty():
-            return label
+        # At first each part has its own label.
+        known = ends.withColumn("c", F.col("p")) if label is None else ends.repartition(n, "g", "p").join(label.repartition(n, "g", "p"), ["g", "p"])
+        of_element = known.repartition(n, "g", "e").withColumn("m", F.min("c").over(Window.partitionBy("g", "e")))
+        step = of_element.select("g", "p", "c", "m").repartition(n, "g", "p").groupBy("g", "p").agg(F.first("c").alias("old"), F.min("m").alias("c"))
+        if label is not None:
+            far = label.select("g", F.col("p").alias("c"), F.col("c").alias("f")).repartition(n, "g", "c")
+            step = step.repartition(n, "g", "c").join(far, ["g", "c"]).select("g", "p", "old", F.least("c", "f").alias("c"))
+        step = cut(step)
+        labels, moved = step.select("g", "p", "c"), cut(step.where("old <> c").select("g").distinct())
+        if moved.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, labels])
+        if few(moved, BROADCAST_GROUPS):
+            moved = F.broadcast(moved)
+            ends = cut(ends.join(moved, "g", "left_semi"))
+            n = _tasks(ends)
+        done.append(labels.join(moved, "g", "left_anti"))
+        label = labels.join(moved, "g", "left_semi")
 
 
 def _sharing(rows: DataFrame, shared: int) -> DataFrame:
@@ -196,9 +235,10 @@ def largest_components(members: DataFrame, group: str, part: str, element: str,
     For one shared element labels spread over parts and elements; for more, over the
     pairs that have them.  Rows with a null group, part or element join nothing.
     """
-    rows = cut(members.select(F.col(group).alias("g"), F.col(part).alias("p"), F.col(element).alias("e")).where("g is not null and p is not null and e is not null").distinct())
+    given = cut(members.select(F.col(group).alias("g"), F.col(part).alias("p"), F.col(element).alias("e")))
+    rows = cut(given.where("g is not null and p is not null and e is not null").repartition(_tasks(given), "g", "p").distinct())
     ends = rows if shared == 1 else cut(_sharing(rows, shared))
     sizes = _spread_labels(ends).groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.where("n > 1").groupBy("g").agg(F.max("n").alias("n"))
-    groups = members.select(F.col(group).alias("g")).distinct()
+    groups = given.select("g").distinct()
     return groups.join(largest, "g", "left").select(F.col("g").alias(group), F.coalesce("n", F.lit(0)).alias("largest"))
