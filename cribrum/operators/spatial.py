@@ -192,7 +192,6 @@ def _spread_labels(ends: DataFrame) -> DataFrame:
     it has changed.  Rows are dealt out by their number: so many more tasks, and none
     of them larger.
     """
-    ends = _in_lots(ends)
     n, label, done = _tasks(ends), None, []
     while True:
         # At first each part has its own label.
@@ -237,7 +236,8 @@ def largest_components(members: DataFrame, group: str, part: str, element: str,
     """
     given = cut(members.select(F.col(group).alias("g"), F.col(part).alias("p"), F.col(element).alias("e")))
     rows = cut(given.where("g is not null and p is not null and e is not null").repartition(_tasks(given), "g", "p").distinct())
-    ends = rows if shared == 1 else cut(_sharing(rows, shared))
+    # An element of a pair has two parts and needs no lots.
+    ends = _in_lots(rows) if shared == 1 else cut(_sharing(rows, shared))
     sizes = _spread_labels(ends).groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.where("n > 1").groupBy("g").agg(F.max("n").alias("n"))
     groups = given.select("g").distinct()
