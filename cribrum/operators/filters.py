@@ -64,9 +64,11 @@ def _seeded_hits(df: DataFrame, text: str, known: DataFrame, name: str, least: i
 
     runs = rows.select("_id", text).where(F.length(text) >= least).mapInArrow(starts, "_id long, run string").select("_id", F.xxhash64("run").alias("_s"))
     patterns = known.select("p", F.xxhash64(F.substring("p", 1, least)).alias("_s"))
-    near = runs.join(F.broadcast(patterns) if few(patterns, BROADCAST_ROWS) else patterns, "_s").select("_id", "p")
-    hits = near.join(rows.select("_id", text), "_id").where(F.contains(F.col(text), F.col("p")))
-    return rows.join(hits.groupBy("_id").agg(F.count(F.lit(1)).alias(name)), "_id", "left").drop("_id").withColumn(name, F.coalesce(name, F.lit(0)))
+    # A file of a few MB may hold half a million patterns, so Spark may not broadcast by the size of files.
+    near = runs.join(F.broadcast(patterns) if few(patterns, BROADCAST_ROWS) else patterns.hint("merge"), "_s").select("_id", "p")
+    hits = near.join(rows.select("_id", text).hint("merge"), "_id").where(F.contains(F.col(text), F.col("p")))
+    counts = hits.groupBy("_id").agg(F.count(F.lit(1)).alias(name))
+    return rows.join(counts.hint("merge"), "_id", "left").drop("_id").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def literal_hits(df: DataFrame, text: str, patterns: DataFrame, name: str, least: int = 4, block: int = PATTERN_BYTES) -> DataFrame:
