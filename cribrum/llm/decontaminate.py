@@ -81,17 +81,20 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = known.unionByName(_short_seeds(of_items, ["entry"], sizes, whole=True))
     known = stage(known.select("seed", "entry", F.col("at").alias("item_at")).distinct(), "seeds")
     shift = F.col("at") - F.col("item_at")
-    # Rows of seeds and tokens of items are counted before anything is broadcast.
-    if few(known, BROADCAST_ROWS) and (items.agg(F.sum(F.size("item") + 2)).first()[0] or 0) <= BROADCAST_TOKENS:
-        hits = seeds(of_docs, ["row", "doc_id"]).join(F.broadcast(known), "seed").select("row", "doc_id", "h", "entry", shift.alias("shift"))
-        hits = hits.join(F.broadcast(items), "entry")
-    else:
-        spots = seeds(of_docs, ["row"]).select("row", "at", "seed")
-        hits = spots.join(known, "seed").select("row", "entry", shift.alias("shift")).distinct()
-        hits = hits.join(items, "entry").join(of_docs.dropDuplicates(["row"]), "row")
-    return hits.select(
-        "row", "doc_id", "entry", "item_id", F.size("item").alias("n_tokens"), "shift", _agreement(F.col("h"), F.col("item"), F.col("shift")).alias("ats"), F.size("h").alias("size")
-    )
+    spots = seeds(of_docs, ["row"]).select("row", "at", "seed")
+    # A document's tokens don't go with its places and alignments: Spark holds all that come from one document at a time.
+    hits = spots.join(F.broadcast(known) if few(known, BROADCAST_ROWS) else known.hint("merge"), "seed")
+    hits = stage(hits.select("row", "entry", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    rows = hits.select("row").distinct()
+    asked = of_docs.join(F.broadcast(rows) if few(rows, BROADCAST_ROWS) else rows.hint("merge"), "row", "left_semi")
+    # Rows and tokens of items are counted before they are broadcast.
+    small = few(items, BROADCAST_ROWS) and (items.agg(F.sum(F.size("item") + 2)).first()[0] or 0) <= BROADCAST_TOKENS
+    shifts = hits.groupBy("row", "entry").agg(F.collect_list("shift").alias("shifts")).join(F.broadcast(items) if small else items.hint("merge"), "entry")
+    found = shifts.join(asked.dropDuplicates(["row"]).hint("merge"), "row").select(
+        "row", "doc_id", "entry", "item_id", F.size("item").alias("n_tokens"), F.size("h").alias("size"),
+        F.transform("shifts", lambda x: F.struct(x.alias("shift"), _agreement(F.col("h"), F.col("item"), x).alias("ats"))).alias("found"),
+    )
+    return found.select("row", "doc_id", "entry", "item_id", "n_tokens", "size", F.inline("found"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
